@@ -95,15 +95,11 @@ class Written:
         remove(self.spark, self.path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows in an Arrow batch, and with that a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def begin(spark: SparkSession) -> None:
-    """What every operator that runs Python on the executors needs first."""
+def begin(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """What every operator that runs Python on the executors needs first: the code, and Arrow batches of
+    bounded rows, which bounds a Python worker's memory."""
     ship(spark)
-    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
