@@ -9,7 +9,6 @@ metadata and read the rest stripe by stripe in parallel.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,58 +22,238 @@ from .common import begin, fresh, sub_batches, text_bytes
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
+#: Classes of single bytes; ODD are control characters, the apostrophe and all but ASCII.
+_CLASS = np.full(256, ODD, np.uint8)
+_CLASS[0x21:0x7F] = SIGN
+_CLASS[0x30:0x3A] = DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = LETTER
+_CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+_CLASS[0x27] = ODD
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class PieceTable:
+    """From 64-bit hashes to places, by open addressing, many at a time."""
+
+    def __init__(self, bits: int = 21):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.places, self.size = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
+
+    def room(self) -> int:
+        return (1 << self.bits) * 6 // 10 - self.size
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of the keys, -1 where unknown. A key is not zero."""
+        out = np.full(len(keys), -1, np.int32)
+        rest, slot = np.arange(len(keys)), self._slot(keys)
+        while len(rest):
+            there = self.keys[slot]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.places[slot[hit]]
+            on = ~hit & (there != 0)
+            rest, slot = rest[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Distinct new keys."""
+        self.size += len(keys)
+        rest, slot = np.arange(len(keys)), self._slot(keys)
+        while len(rest):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[rest[free]]  # of several for one slot the last is in
+            done = self.keys[slot] == keys[rest]
+            self.places[slot[done]] = places[rest[done]]
+            rest, slot = rest[~done], (slot[~done] + 1) & ((1 << self.bits) - 1)
+
+
 class ChunkEncoder:
-    """A ``tokenizers`` vocabulary that drops white space, applied to each distinct chunk once.
+    """A ``tokenizers`` vocabulary that drops white space, applied to each distinct piece of text once.
 
-    Where white space is dropped, no token, normalisation or pre-token spans an ASCII blank, so a text's
-    ids are those of its blank-separated chunks in order. Chunks are encoded by the library and kept in
-    a table of bounded size; it is emptied when full, which costs time and changes no result.
+    Where white space is dropped, no token, normalisation or pre-token spans an ASCII blank. Text is cut
+    at blanks, and where only ASCII and two-byte Latin letters occur also between letters, digits and
+    signs, as the vocabulary's pattern does; a chunk with any other character stays whole. New pieces are
+    encoded by the library, known ones are found by a 64-bit hash in a table of bounded size, which is
+    emptied when full: that costs time and changes no result. Pieces of 100 bytes or more are never kept.
     Strings of special tokens count as ordinary text.
     """
 
-    def __init__(self, path: str, most_chunks: int = 600_000, most_bytes: int = 48 << 20):
+    LONG = 100
+
+    def __init__(self, path: str, bits: int = 21, most_bytes: int = 4 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.most_chunks, self.most_bytes = most_chunks, most_bytes
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.ends, self.bytes = array("i"), array("q", [0]), 0
-
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > self.most_chunks or self.bytes > self.most_bytes:
-            self.forget()
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.known[chunk] = len(self.known)
-                self.flat.extend(e.ids)
-                self.ends.append(len(self.flat))
-                self.bytes += len(chunk)
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.final[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        self.most_bytes = most_bytes
+        self.table = PieceTable(bits)
+        self.power, self.inverse = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table.clear()
+        self.flat, self.ends = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.n_pieces = 0
+
+    def _library(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[bytes], simple: list[bool]) -> list[list[int]]:
+        """The ids of each piece; simple ones are one pre-token and go to the library many at a time, told
+        apart by the marks of word ends."""
+        ids: list[list[int] | None] = [None] * len(pieces)
+        plain = [k for k, ok in enumerate(simple) if ok]
+        for at in range(0, len(plain), 500):
+            part = plain[at : at + 500]
+            got = np.array(self._library([b" ".join([pieces[k] for k in part])])[0], np.int32)
+            stops = np.flatnonzero(self.final[got]) + 1
+            if len(stops) == len(part):
+                got, a = got.tolist(), 0
+                for k, b in zip(part, stops.tolist(), strict=True):
+                    ids[k], a = got[a:b], b
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            for k, got in zip(part, self._library([pieces[k] for k in part]), strict=True):
+                ids[k] = got
+        return ids
+
+    def _keep(self, ids: list[list[int]]) -> np.ndarray:
+        """Append the ids; the places of the pieces."""
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = int(self.ends[self.n_pieces])
+        ends = at + np.cumsum(n)
+        while len(self.flat) < ends[-1]:
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.ends) <= self.n_pieces + len(ids):
+            self.ends = np.concatenate([self.ends, np.empty_like(self.ends)])
+        self.flat[at : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+        self.ends[self.n_pieces + 1 : self.n_pieces + 1 + len(ids)] = ends
+        places = np.arange(self.n_pieces, self.n_pieces + len(ids), dtype=np.int32)
+        self.n_pieces += len(ids)
+        return places
+
+    @staticmethod
+    def _classes(data: np.ndarray) -> np.ndarray:
+        """The class of every byte; two-byte Latin letters become lower case in ``data`` where that is one bit."""
+        kind = _CLASS[data]
+        if (data >= 0x80).any():
+            lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8))
+            second = data[lead + 1]
+            sign = (data[lead] == 0xC3) & ((second == 0x97) | (second == 0xB7))
+            dotted = (data[lead] == 0xC4) & (second == 0xB0)  # U+0130, whose lower case is a letter and a mark
+            kind[lead] = kind[lead + 1] = np.where(dotted, ODD, np.where(sign, SIGN, LETTER))
+            upper = lead[(data[lead] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] + 1
+            data[upper] += 32
+        return kind
+
+    def _some(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a buffer, and the byte at which the piece of each begins."""
+        raw = _LOWER[np.frombuffer(data + b" ", np.uint8)]
+        kind = self._classes(raw)
+        filled = kind != SPACE
+        begins = filled.copy()
+        begins[1:] &= ~filled[:-1]
+        chunk = np.flatnonzero(begins)
+        if not len(chunk):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        odd = np.flatnonzero(np.maximum.reduceat(kind, chunk) == ODD)
+        if len(odd):
+            stop = np.flatnonzero(filled & np.concatenate((~filled[1:], [True]))) + 1
+            mark = np.zeros(len(kind) + 1, np.int32)
+            mark[chunk[odd]] += 1
+            mark[stop[odd]] -= 1
+            kind[np.cumsum(mark[:-1]) > 0] = ODD
+        begins[1:] |= filled[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+        over = filled.copy()
+        over[:-1] &= begins[1:] | ~filled[1:]
+        start, end = np.flatnonzero(begins), np.flatnonzero(over) + 1
+        if len(raw) >= len(self.power):
+            self.power, self.inverse = _powers(_BASE, len(raw) + 1), _powers(_INVERSE, len(raw) + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[: len(raw)], dtype=np.uint64)))
+        keys = (total[end] - total[start]) * self.inverse[start]
+        keys ^= keys >> np.uint64(32)
+        keys |= (keys == 0).astype(np.uint64)
+        short = end - start < self.LONG
+        place = np.full(len(keys), -1, np.int32)
+        place[short] = self.table.find(keys[short])
+        if (place < 0).any():
+            body = raw.tobytes()
+
+            def learn(which: np.ndarray) -> None:
+                cut = [body[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
+                places = self._keep(self._encode_pieces(cut, (kind[start[which]] != ODD).tolist()))
+                kept = short[which]
+                self.table.add(keys[which][kept], places[kept])
+                place[which] = places
+
+            new = np.flatnonzero((place < 0) & short)
+            first = new[np.unique(keys[new], return_index=True)[1]]
+            if len(first) > self.table.room() or self.n_pieces > 1 << (self.table.bits + 1):
+                self._forget()
+                place[:] = -1
+                new = np.flatnonzero(short)
+                first = new[np.unique(keys[new], return_index=True)[1]]
+                while len(first) > self.table.room():
+                    self.table.bits += 1
+                    self.table.clear()
+            if len(first):
+                learn(first)
+                place[new] = self.table.find(keys[new])
+            if not short.all():
+                learn(np.flatnonzero(~short))
+        low, n = self.ends[place], self.ends[place + 1] - self.ends[place]
+        before = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(low - before[:-1], n) + np.arange(before[-1])]
+        return ids, np.repeat(start, n)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        split = [t.split() for t in texts]
-        every = set(chain.from_iterable(split))
-        new = [c for c in every if c not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.most_chunks:
-                self.forget()
-                new = list(every)
-            self.learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        ends, flat = np.array(self.ends), np.frombuffer(self.flat, np.int32) if len(self.flat) else np.empty(0, np.int32)
-        start, n = ends[place], ends[place + 1] - ends[place]
-        before = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(start - before[:-1], n) + np.arange(before[-1])]
-        at = np.concatenate(([0], np.cumsum(counts)))
-        return ids, before[at[1:]] - before[at[:-1]]
+        parts, counts = [], np.zeros(len(texts), np.int64)
+        for at, buffer, inside in self._buffers(texts):
+            ids, begin = self._some(buffer)
+            parts.append(ids)
+            edges = np.searchsorted(begin, inside)
+            counts[at : at + len(inside)] += np.diff(np.append(edges, len(ids)))
+        return np.concatenate(parts) if parts else np.empty(0, np.int32), counts
+
+    def _buffers(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, list[int]]]:
+        """Texts joined by a blank into buffers of bounded size: the first text, the bytes, where each begins.
+        A text that is longer goes in several parts, cut at blanks where it has any."""
+        at, held, size = 0, [], 0
+        for k, text in enumerate(texts):
+            if held and size + len(text) > self.most_bytes:
+                yield at, b" ".join(held), np.cumsum([0, *(len(t) + 1 for t in held[:-1])]).tolist()
+                at, held, size = k, [], 0
+            while len(text) > self.most_bytes:
+                cut = max(text.rfind(b, 0, self.most_bytes) for b in (b" ", b"\n", b"\t", b"\r"))
+                if cut <= 0:
+                    break
+                yield k, text[:cut], [0]
+                text = text[cut:]
+            held.append(text)
+            size += len(text) + 1
+        if held:
+            yield at, b" ".join(held), np.cumsum([0, *(len(t) + 1 for t in held[:-1])]).tolist()
 
 
 def encoder(path: str) -> ChunkEncoder:
