@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -51,8 +51,8 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        # a state: (token before, pending bytes, length of the last token of each pending prefix)
-        self.states: list[tuple[bytes, bytes, tuple[int, ...]]] = [(b"", b"", (0,))]
+        # a state: token before, pending bytes, length of the last token of each pending prefix, live starts
+        self.states: list[tuple[bytes, bytes, tuple[int, ...], tuple[int, ...]]] = [(b"", b"", (0,), (0,))]
         self.numbers: dict[tuple[bytes, bytes], int] = {(b"", b""): 0}
         self.arcs: dict[int, tuple[int, tuple[bytes, ...]]] = {}
 
@@ -86,55 +86,50 @@ class Transducer:
             ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return ok
 
-    def _last(self, before: bytes, pending: bytes, last: list[int] | tuple[int, ...]) -> int:
-        """The length of the last token of ``pending``, given those of its prefixes."""
+    def _last(self, before: bytes, pending: bytes, last: Sequence[int], live: Iterable[int]) -> int:
+        """The length of the last token of ``pending``, given those of its prefixes. It starts at one of the
+        positions ``live`` whose bytes so far begin a longer token."""
         n = len(pending)
-        ranks, whole = self.ranks, self.whole
-        for k in range(min(n, self.longest), 0, -1):
-            t = pending[n - k :]
-            if t not in ranks or not (whole.get(t) or self._token(t)):
-                continue
-            at = n - k
-            left = pending[at - last[at] : at] if at else before
-            if at and not last[at]:
-                continue
-            if not left or self._agree(left, t):
-                return k
+        ranks, whole, pairs = self.ranks, self.whole, self.pairs
+        for at in live:
+            t = pending[at:]
+            if t in ranks and (whole.get(t) or self._token(t)):
+                left = pending[at - last[at] : at] if at else before
+                if not left or (pairs[left, t] if (left, t) in pairs else self._agree(left, t)):
+                    return n - at
         raise ValueError("the vocabulary lacks a single byte")
 
     def _arc(self, number: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
-        before, pending, last = self.states[number]
+        before, pending, last, live = self.states[number]
         pending += bytes((byte,))
-        last = (*last, self._last(before, pending, last))
         n = len(pending)
-        live = [q for q in range(n + 1) if pending[q:] in self.prefixes and (q == 0 or last[q])]
+        last = (*last, self._last(before, pending, last, live))
+        prefixes = self.prefixes
+        live = (*[q for q in live if pending[q:] in prefixes], n)
         out: tuple[bytes, ...] = ()
         if live[0] > 0:
-            common: set[int] | None = None
-            for q in live:
-                path = {q}
-                while q:
-                    q -= last[q]
-                    path.add(q)
-                common = path if common is None else common & path
-            if settled := max(common or {0}):
-                tokens, q = [], settled
-                while q:
-                    tokens.append(pending[q - last[q] : q])
-                    q -= last[q]
-                out = tuple(reversed(tokens))
-                still = set(live)
-                last = (0, *(last[q] if q in still else 0 for q in range(settled + 1, n + 1)))
+            # walk the encodings of all live prefixes back to the last boundary they share
+            heads = list(live)
+            while len(heads) > 1:
+                q = heads.pop()
+                q -= last[q]
+                if q not in heads:
+                    heads.append(q)
+                    heads.sort()
+            if settled := heads[0]:
+                out = tuple(self._rest(pending[:settled], last))
+                last = (0, *last[settled + 1 :])
+                live = tuple(q - settled for q in live)
                 before, pending = out[-1], pending[settled:]
         key = (before, pending)
         to = self.numbers.get(key)
         if to is None:
             to = self.numbers[key] = len(self.states)
-            self.states.append((before, pending, last))
+            self.states.append((before, pending, last, live))
         arc = self.arcs[number << 8 | byte] = (to, out)
         return arc
 
-    def _rest(self, pending: bytes, last: list[int] | tuple[int, ...]) -> list[bytes]:
+    def _rest(self, pending: bytes, last: Sequence[int]) -> list[bytes]:
         tokens, q = [], len(pending)
         while q:
             tokens.append(pending[q - last[q] : q])
@@ -146,12 +141,15 @@ class Transducer:
         if piece in self.ranks:
             return [piece]
         if len(piece) > self.LONG:
-            last = [0]
-            view = self.longest
+            last, live, floor = [0], [0], 0
+            prefixes = self.prefixes
             for i in range(1, len(piece) + 1):
-                # the last token lies within the longest token's reach, its neighbour within twice that
-                cut = max(0, i - 2 * view)
-                last.append(self._last(b"", piece[cut:i], last[cut:]) if cut else self._last(b"", piece[:i], last))
+                # a token and its left neighbour lie within twice the longest token's reach
+                floor = max(0, i - 2 * self.longest)
+                part = piece[floor:i]
+                last.append(self._last(b"", part, last[floor:], [q - floor for q in live]))
+                live = [q for q in live if piece[q:i] in prefixes]
+                live.append(i)
             return self._rest(piece, last)
         if len(self.states) > self.most_states:
             self._restart()
@@ -160,7 +158,7 @@ class Transducer:
             number, some = arcs.get(number << 8 | byte) or self._arc(number, byte)
             if some:
                 out += some
-        _, pending, last = self.states[number]
+        _, pending, last, _ = self.states[number]
         return out + self._rest(pending, last)
 
 
