@@ -17,16 +17,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, sub_batches, texts
+from .common import begin, sub_batches, text_bytes
+from .pieces import ODD, SPACE, PieceTable, SpanHash, classes
 
 _CODECS: dict[str, "Codec"] = {}
+NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,6 +51,7 @@ class Transducer:
         self.most_states = most_states
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
+        self.spines: tuple[dict, dict] = ({}, {})
         self._restart()
 
     def _restart(self) -> None:
@@ -78,12 +82,54 @@ class Transducer:
             ok = self.whole[t] = t in self.ranks and self.merge(t) == [t]
         return ok
 
+    def _spine(self, t: bytes, side: int) -> list[tuple[bytes, int, int]]:
+        """The parts of token t at its left (0) or right (1) edge while it is merged, largest first: the
+        part, the rank at which it is made, the rank at which it goes into the next larger one."""
+        spine = self.spines[side].get(t)
+        if spine is None:
+            spine, part, until = [], t, NEVER
+            while True:
+                made = self.ranks[part] if len(part) > 1 else -1
+                spine.append((part, made, until))
+                if len(part) == 1:
+                    break
+                part, until = self._halves(part)[side], made
+            self.spines[side][t] = spine
+        return spine
+
+    def _halves(self, t: bytes) -> tuple[bytes, bytes]:
+        """The two parts that the last merge of token t joins."""
+        parts = [t[i : i + 1] for i in range(len(t))]
+        ranks = self.ranks
+        while len(parts) > 2:
+            best, at = NEVER, -1
+            for i in range(len(parts) - 1):
+                r = ranks.get(parts[i] + parts[i + 1], NEVER)
+                if r < best:
+                    best, at = r, i
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts[0], parts[1]
+
     def _agree(self, a: bytes, b: bytes) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
+        """Whether tokens a and b, side by side, stay as they are: no part at a's right edge merges with the
+        part at b's left edge that exists at the same time before either goes into its own larger part."""
+        if len(self.pairs) > 400_000:
+            self.pairs.clear()
+        ok, ranks = True, self.ranks
+        left, right = self._spine(a, 1), self._spine(b, 0)
+        i = j = 0
+        while i < len(left) and j < len(right):
+            x, x_made, x_until = left[i]
+            y, y_made, y_until = right[j]
+            r = ranks.get(x + y)
+            if r is not None and r < x_until and r <= y_until:
+                ok = False
+                break
+            if x_made > y_made:
+                i += 1
+            else:
+                j += 1
+        self.pairs[a, b] = ok
         return ok
 
     def _last(self, before: bytes, pending: bytes, last: Sequence[int], live: Iterable[int]) -> int:
@@ -200,42 +246,134 @@ class Utf8Stream:
 
 
 class Codec:
-    """Text to ids and back, one piece of the pattern at a time."""
+    """Text to ids and back, one piece of the pattern at a time.
 
-    def __init__(self, ranks_path: str, pattern: str, most_pieces: int = 400_000, most_bytes: int = 48 << 20):
+    Ids of a text are kept as their decimals, each followed by a space. Each distinct piece goes through the
+    transducer once while the table of pieces, which is of bounded size, has room. Where a text holds only
+    blanks, digits, signs but the apostrophe, and ASCII or two-byte Latin letters, and the pattern is
+    the known one, pieces are cut and looked up all at once; any other text is cut by the pattern itself.
+    """
+
+    #: The pattern for which :meth:`_cut` cuts plain texts the same way.
+    KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    LONG = 100
+
+    def __init__(self, ranks_path: str, pattern: str, bits: int = 21):
         import regex
 
         self.ranks = read_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(self.ranks)
         self.bytes_of = {b"%d" % i: t for t, i in self.ranks.items()}
-        self.most_pieces, self.most_bytes = most_pieces, most_bytes
+        self.plain = pattern == self.KNOWN
+        self.table, self.hash = PieceTable(bits), SpanHash()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table.clear()
+        self.flat, self.ends, self.counts = bytearray(), array("q", [0]), array("i")
         self.seen: dict[str, bytes] = {}
-        self.seen_bytes = 0
 
-    def _piece(self, piece: str) -> bytes:
+    def _ids(self, piece: bytes) -> bytes:
         ranks = self.ranks
-        ids = b" ".join([b"%d" % ranks[t] for t in self.transducer.tokens(piece.encode())])
-        if len(self.seen) >= self.most_pieces or self.seen_bytes > self.most_bytes:
-            self.seen.clear()
-            self.seen_bytes = 0
-        self.seen[piece] = ids
-        self.seen_bytes += len(piece) + len(ids)
-        return ids
-
-    def encode_joined(self, text: str) -> bytes:
-        """The decimal ids of a text, joined by one space."""
-        get, make = self.seen.get, self._piece
-        return b" ".join([get(p) or make(p) for p in self.split(text)])
+        return b"".join([b"%d " % ranks[t] for t in self.transducer.tokens(piece)])
+
+    def _by_pattern(self, text: str) -> bytes:
+        get, out = self.seen.get, []
+        for p in self.split(text):
+            ids = get(p)
+            if ids is None:
+                if len(self.seen) > 100_000:
+                    self.seen.clear()
+                ids = self.seen[p] = self._ids(p.encode())
+            out.append(ids)
+        return b"".join(out)
+
+    @staticmethod
+    def _cut(raw: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Where the pieces of plain texts begin, and the zero bytes that end each text."""
+        first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        after = np.append(first[1:], len(kind))
+        what = kind[first]
+        begins = raw == 0
+        words = first[(what != SPACE) & (what != ODD)]
+        begins[words - ((raw[words - 1] == 0x20) & (words > 0))] = True
+        a, b = first[what == SPACE], after[what == SPACE]
+        last = raw[b] == 0
+        begins[a[last | (b - a > 1)]] = True
+        begins[b[~last & (raw[b - 1] != 0x20)] - 1] = True
+        return np.flatnonzero(begins)
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        at = len(self.counts)
+        for p in pieces:
+            ids = self._ids(p)
+            self.flat += ids
+            self.ends.append(len(self.flat))
+            self.counts.append(ids.count(b" "))
+        return np.arange(at, len(self.counts), dtype=np.int32)
+
+    def _some(self, texts: list[bytes]) -> Iterator[tuple[bytes, int]]:
+        raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        kind = classes(raw)
+        begin = self._cut(raw, kind)
+        real = raw[begin] != 0
+        start, end = begin[real], np.append(begin[1:], len(raw))[real]
+        keys = self.hash(raw, start, end)
+        short = end - start < self.LONG
+        place = np.full(len(keys), -1, np.int32)
+        place[short] = self.table.find(keys[short])
+        if (place < 0).any():
+            body = raw.tobytes()
+            for again in (False, True):
+                new = np.flatnonzero((place < 0) & short)
+                first = new[np.unique(keys[new], return_index=True)[1]]
+                if len(first) <= self.table.room() and len(self.counts) < 1 << (self.table.bits + 1):
+                    break
+                self._forget()
+                place[:] = -1
+                while again and len(first) > self.table.room():
+                    self.table.bits += 1
+                    self.table.clear()
+            self.table.add(keys[first], self._learn([body[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]))
+            place[new] = self.table.find(keys[new])
+            rest = np.flatnonzero(~short)
+            place[rest] = self._learn([body[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)])
+        ends, counts = np.array(self.ends), np.array(self.counts, np.int64)
+        low, n = ends[place], ends[place + 1] - ends[place]
+        before = np.concatenate(([0], np.cumsum(n)))
+        joined = np.frombuffer(bytes(self.flat), np.uint8)[np.repeat(low - before[:-1], n) + np.arange(before[-1])].tobytes()
+        tokens = np.concatenate(([0], np.cumsum(counts[place])))
+        edges = np.searchsorted(start, np.concatenate(([0], np.flatnonzero(raw == 0) + 1)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield joined[before[a] : before[b]], int(tokens[b] - tokens[a])
+
+    def encode_all(self, texts: list[bytes], most_bytes: int = 256 << 10) -> Iterator[tuple[bytes, int]]:
+        """The decimal ids of each text, each followed by a space, and their number."""
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at + len(some) < len(texts) and size < most_bytes:
+                some.append(texts[at + len(some)])
+                size += len(some[-1])
+            at += len(some)
+            plain = [self.plain and len(t) < 8 * most_bytes and not (t and (classes(np.frombuffer(t, np.uint8)) == ODD).any()) for t in some]
+            ready = self._some([t for t, ok in zip(some, plain, strict=True) if ok]) if any(plain) else iter(())
+            for t, ok in zip(some, plain, strict=True):
+                if ok:
+                    yield next(ready)
+                else:
+                    ids = self._by_pattern(t.decode())
+                    yield ids, ids.count(b" ")
 
     def encode(self, text: str) -> list[int]:
-        return list(map(int, self.encode_joined(text).split()))
+        return list(map(int, next(self.encode_all([text.encode()]))[0].split()))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.bytes_of[b"%d" % i] for i in ids])
 
     def decode_joined(self, joined: bytes, chunk: int = 1 << 20) -> Iterator[bytes]:
-        """The bytes of ids as :meth:`encode_joined` gives them, a chunk of ids at a time."""
+        """The bytes of ids as :meth:`encode_all` gives them, a chunk of ids at a time."""
         of, at = self.bytes_of.__getitem__, 0
         while at < len(joined):
             end = joined.find(b" ", at + chunk)
@@ -265,7 +403,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for batch in sub_batches(batches, text_col):
-            ids = pa.array([c.encode(t) for t in texts(batch.column(text_col))], pa.list_(pa.int32()))
+            ids = pa.array([list(map(int, x.split())) for x, _ in c.encode_all(text_bytes(batch.column(text_col)))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out_col])
 
     return docs.drop(out_col).mapInArrow(run, schema)
@@ -297,10 +435,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         c = codec(ranks_path, pattern)
         for batch in sub_batches(batches, "text"):
             counts, ids, decoded = [], [], []
-            for t in texts(batch.column("text")):
-                joined = c.encode_joined(t)
-                counts.append(joined.count(b" ") + 1 if joined else 0)
-                ids.append(hashlib.sha256(joined).hexdigest())
+            for joined, n in c.encode_all(text_bytes(batch.column("text"))):
+                counts.append(n)
+                ids.append(hashlib.sha256(joined[:-1]).hexdigest())
                 stream, digest = Utf8Stream(), hashlib.sha256()
                 for part in c.decode_joined(joined):
                     digest.update(stream.feed(part).encode())
@@ -310,7 +447,3 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def all_tokens(transducer: Transducer, pieces: Iterable[bytes]) -> list[bytes]:
-    return list(chain.from_iterable(map(transducer.tokens, pieces)))

@@ -18,70 +18,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import begin, fresh, sub_batches, text_bytes
+from .pieces import DIGIT, LOWER, ODD, SPACE, PieceTable, SpanHash, classes
 
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
-SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
-#: Classes of single bytes; ODD are control characters, the apostrophe and all but ASCII.
-_CLASS = np.full(256, ODD, np.uint8)
-_CLASS[0x21:0x7F] = SIGN
-_CLASS[0x30:0x3A] = DIGIT
-_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = LETTER
-_CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
-_CLASS[0x27] = ODD
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class PieceTable:
-    """From 64-bit hashes to places, by open addressing, many at a time."""
-
-    def __init__(self, bits: int = 21):
-        self.bits = bits
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.places, self.size = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
-
-    def room(self) -> int:
-        return (1 << self.bits) * 6 // 10 - self.size
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The places of the keys, -1 where unknown. A key is not zero."""
-        out = np.full(len(keys), -1, np.int32)
-        rest, slot = np.arange(len(keys)), self._slot(keys)
-        while len(rest):
-            there = self.keys[slot]
-            hit = there == keys[rest]
-            out[rest[hit]] = self.places[slot[hit]]
-            on = ~hit & (there != 0)
-            rest, slot = rest[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
-        """Distinct new keys."""
-        self.size += len(keys)
-        rest, slot = np.arange(len(keys)), self._slot(keys)
-        while len(rest):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = keys[rest[free]]  # of several for one slot the last is in
-            done = self.keys[slot] == keys[rest]
-            self.places[slot[done]] = places[rest[done]]
-            rest, slot = rest[~done], (slot[~done] + 1) & ((1 << self.bits) - 1)
-
-
 class ChunkEncoder:
     """A ``tokenizers`` vocabulary that drops white space, applied to each distinct piece of text once.
 
@@ -106,7 +47,7 @@ class ChunkEncoder:
         self.final[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.most_bytes = most_bytes
         self.table = PieceTable(bits)
-        self.power, self.inverse = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.hash = SpanHash()
         self._forget()
 
     def _forget(self) -> None:
@@ -152,24 +93,11 @@ class ChunkEncoder:
         self.n_pieces += len(ids)
         return places
 
-    @staticmethod
-    def _classes(data: np.ndarray) -> np.ndarray:
-        """The class of every byte; two-byte Latin letters become lower case in ``data`` where that is one bit."""
-        kind = _CLASS[data]
-        if (data >= 0x80).any():
-            lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8))
-            second = data[lead + 1]
-            sign = (data[lead] == 0xC3) & ((second == 0x97) | (second == 0xB7))
-            dotted = (data[lead] == 0xC4) & (second == 0xB0)  # U+0130, whose lower case is a letter and a mark
-            kind[lead] = kind[lead + 1] = np.where(dotted, ODD, np.where(sign, SIGN, LETTER))
-            upper = lead[(data[lead] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] + 1
-            data[upper] += 32
-        return kind
-
     def _some(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a buffer, and the byte at which the piece of each begins."""
-        raw = _LOWER[np.frombuffer(data + b" ", np.uint8)]
-        kind = self._classes(raw)
+        given = np.frombuffer(data + b" ", np.uint8)
+        raw = LOWER[given]
+        kind = classes(raw, fold=True)
         filled = kind != SPACE
         begins = filled.copy()
         begins[1:] &= ~filled[:-1]
@@ -182,17 +110,14 @@ class ChunkEncoder:
             mark = np.zeros(len(kind) + 1, np.int32)
             mark[chunk[odd]] += 1
             mark[stop[odd]] -= 1
-            kind[np.cumsum(mark[:-1]) > 0] = ODD
+            whole = np.cumsum(mark[:-1]) > 0
+            kind[whole] = ODD
+            raw[whole] = given[whole]  # composition comes before lower case there
         begins[1:] |= filled[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
         over = filled.copy()
         over[:-1] &= begins[1:] | ~filled[1:]
         start, end = np.flatnonzero(begins), np.flatnonzero(over) + 1
-        if len(raw) >= len(self.power):
-            self.power, self.inverse = _powers(_BASE, len(raw) + 1), _powers(_INVERSE, len(raw) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[: len(raw)], dtype=np.uint64)))
-        keys = (total[end] - total[start]) * self.inverse[start]
-        keys ^= keys >> np.uint64(32)
-        keys |= (keys == 0).astype(np.uint64)
+        keys = self.hash(raw, start, end)
         short = end - start < self.LONG
         place = np.full(len(keys), -1, np.int32)
         place[short] = self.table.find(keys[short])
