@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 END_ID = 2
+#: <|endoftext|> of word_bpe_49k, which no text is encoded to.
+END_OF_TEXT = 49407
 
 
 def _tokenizer(name: str) -> str:
@@ -49,7 +51,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("place")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op3_simhash, op5_decontaminate, op7_byte_bpe, op8_exact_dedup)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import document_token_counts
+
+    return document_token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_OF_TEXT)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op3_simhash, op5_decontaminate, op7_byte_bpe, op8_exact_dedup, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
