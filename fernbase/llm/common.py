@@ -12,8 +12,9 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -136,3 +137,25 @@ def fold(column: str, modulus: int, held_out: int) -> F.Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sum_vectors(df: DataFrame, vector_of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum, over all batches, of a vector of fixed size: each task sends one vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += vector_of(batch)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["i", "v"])
+
+    out = np.zeros(size)
+    for i, v in df.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[i] = v
+    return out
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A list column whose lists all have ``width`` numbers."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)

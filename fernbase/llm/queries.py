@@ -25,6 +25,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"), modulus=3, held_out=1).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -37,6 +43,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=4, held_out=2, threshold=0.7)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +69,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_OF_TEXT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op3_simhash, op5_decontaminate, op7_byte_bpe, op8_exact_dedup, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_language, op3_simhash, op5_decontaminate, op6_quality, op7_byte_bpe, op8_exact_dedup, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
