@@ -69,7 +69,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_OF_TEXT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_language, op3_simhash, op5_decontaminate, op6_quality, op7_byte_bpe, op8_exact_dedup, op9_token_counts)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=5, held_out=0, threshold=0.5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_language, op3_simhash, op5_decontaminate, op6_quality, op7_byte_bpe, op8_exact_dedup, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
