@@ -37,6 +37,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=50)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination_report
 
@@ -75,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=5, held_out=0, threshold=0.5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_language, op3_simhash, op5_decontaminate, op6_quality, op7_byte_bpe, op8_exact_dedup, op9_token_counts, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_language, op3_simhash, op4_substring_dedup, op5_decontaminate, op6_quality, op7_byte_bpe, op8_exact_dedup, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
