@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..plans import filters
+from ..sources.scratch import settled
 from .find import ROW, Projection, project
 
 
@@ -70,7 +71,9 @@ def lookup(df: DataFrame, spec: Lookup, bounded: bool = False) -> DataFrame:
         keys = df.select((F.explode(key.column) if isinstance(key.kind, T.ArrayType) else key.column).alias("__key")).distinct()
         right = right.join(F.broadcast(keys), "__key", "left_semi")
     if isinstance(key.kind, T.ArrayType):
-        numbered = df.withColumn("__n", F.monotonically_increasing_id())
+        own = next((c for c in (ROW, "id") if c in df.columns), None)
+        # without a number or id of its own a row gets one, written down so that both uses below see the same
+        numbered = df.withColumn("__n", F.col(own)) if own else settled(df.withColumn("__n", F.monotonically_increasing_id()))
         probes = numbered.select("__n", F.posexplode(key.column).alias("__at", "__key"))
         found = probes.join(right, "__key").groupBy("__n").agg(F.array_sort(F.collect_list(F.struct("__at", "__doc"))).alias("__found"))
         doc_type = right.schema["__doc"].dataType

@@ -84,12 +84,18 @@ def _merged(schema: T.StructType, field: T.StructField) -> T.StructType:
 
 
 def first_of_each(docs: DataFrame, key: str = "id", last: bool = False) -> DataFrame:
-    """Of rows with one id the first (or last) by their order in ``docs``."""
-    order = F.col("__at") if "__at" in docs.columns else F.monotonically_increasing_id()
-    numbered = docs.withColumn("__at", order)
+    """Of rows with one id the first (or last) by their order in ``docs``, or by a column ``__at`` of it."""
+    return _first(_placed(docs), key, last).drop("__at").select(*[c for c in docs.columns if c != "__at"])
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs if "__at" in docs.columns else docs.withColumn("__at", F.monotonically_increasing_id())
+
+
+def _first(docs: DataFrame, key: str, last: bool = False) -> DataFrame:
     pick = F.max_by if last else F.min_by
-    body = F.struct(*[F.col(f"`{c}`") for c in numbered.columns if c != key])
-    return numbered.groupBy(key).agg(pick(body, F.col("__at")).alias("__b")).select(key, "__b.*").drop("__at").select(*[c for c in docs.columns if c != "__at"])
+    body = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != key])
+    return docs.groupBy(key).agg(pick(body, F.col("__at")).alias("__b")).select(key, "__b.*")
 
 
 def numbered_after(df: DataFrame, new: DataFrame, order: list[Column] | None = None) -> DataFrame:
@@ -114,7 +120,7 @@ def _stamped(df: DataFrame, clock: dt.datetime | None, *names: str) -> DataFrame
 
 def insert_many(df: DataFrame, docs: DataFrame, unique: list[list[str]] | None = None, clock: dt.datetime | None = None) -> DataFrame:
     """Documents whose id (or other unique key) is not there yet are added; of several the first."""
-    new = first_of_each(docs)
+    new = _first(_placed(docs), "id")
     if clock is not None:
         new = _stamped(new, clock, CREATED, UPDATED)
     new = new.join(df.select("id"), "id", "left_anti")
@@ -124,9 +130,9 @@ def insert_many(df: DataFrame, docs: DataFrame, unique: list[list[str]] | None =
         some = [F.col(f"`{k}`").isNotNull() for k in keys]
         known = df.select(*keys).where(filters._fold(some, True)).distinct()
         blank = new.where(~filters._fold(some, True))
-        full = first_of_each(new.where(filters._fold(some, True)).withColumn("__k", F.struct(*keys)), "__k").drop("__k")
+        full = _first(new.where(filters._fold(some, True)).withColumn("__k", F.struct(*keys)), "__k").drop("__k")
         new = blank.unionByName(full.join(known, keys, "left_anti"))
-    have, new = aligned(df, numbered_after(df, new))
+    have, new = aligned(df, numbered_after(df, new.drop("__at")))
     return have.unionByName(new)
 
 

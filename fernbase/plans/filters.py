@@ -232,7 +232,7 @@ STRING_KINDS = {
 def _any(field: Field, test: Any, negate: bool) -> Column:
     """Whether any element of an array passes a test; a null array has none."""
     found = F.exists(field.column, lambda x: two_valued(test(x)))
-    return ~two_valued(found) if negate else found
+    return ~two_valued(found) if negate else two_valued(found)
 
 
 def equal(field: Field, value: Any, negate: bool, implicit: bool = False) -> Column:
@@ -388,7 +388,7 @@ def _all(field: Field, required: Any, negate: bool) -> Column:
     column, kind = field.column, field.kind
     if not isinstance(kind, T.ArrayType) or column is None or not isinstance(required, (list, tuple)) or not required:
         return _truth(negate)
-    hit = _fold([two_valued(F.exists(column, lambda x, r=r: two_valued(same(x, kind.elementType, r)))) for r in required], True)
+    hit = _fold([_any(field, lambda x: same(x, kind.elementType, r), False) for r in required], True)  # noqa: B023  used at once
     return ~hit if negate else hit
 
 
