@@ -159,3 +159,22 @@ def sum_vectors(df: DataFrame, vector_of: Callable[[pa.RecordBatch], np.ndarray]
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """A list column whose lists all have ``width`` numbers."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of the frame has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: Plan nodes that give the same rows in the same places each time they run.
+_STEADY = ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation")
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """A frame whose rows keep their places when it runs again: itself if it only reads, else a written copy."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()]
+    return df if all(n in _STEADY for n in nodes) else Written(df, "input").df

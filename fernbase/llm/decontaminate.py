@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, sub_batches, text_bytes
+from .common import begin, free_name, repeatable, sub_batches, text_bytes
 
 #: Word characters of the normal form: 0-9, a-z after lower-casing A-Z, and all bytes from 0x80.
 _KEEP = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -220,6 +220,7 @@ def find_contamination(
     ``most_words`` words is gone through in blocks, one pass over the documents for each.
     """
     begin(docs.sparkSession)
+    docs = repeatable(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
 
     def one_pass(block: list[tuple[object, list[bytes]]]) -> DataFrame:
@@ -273,9 +274,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_
     begin(docs.sparkSession)
     blocks = blocks_of(benchmark, "item_id", "text", most_words) or [[]]
     if len(blocks) > 1:
+        docs = repeatable(docs)
         found = find_contamination(docs, benchmark, window, id_col, text_col, most_words=most_words)
-        gone = found.where(is_contaminated()).select(F.col("place").alias("_place"))
-        return docs.withColumn("_place", F.monotonically_increasing_id()).join(gone, "_place", "left_anti").drop("_place")
+        place = free_name(docs, "place")
+        gone = found.where(is_contaminated()).select(F.col("place").alias(place))
+        return docs.withColumn(place, F.monotonically_increasing_id()).join(gone, place, "left_anti").drop(place)
     scan = _scanner(docs, blocks[0], window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

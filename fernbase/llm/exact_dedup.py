@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, free_name
 
 #: The characters that a comparison ignores: space and \\x09 to \\x0D.
 BLANKS = " \t\n\x0b\f\r"
@@ -98,14 +98,16 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     digests decide as well, and of rows alike in id and digest the one with the most code points stays.
     """
     decided = Written(exact_dedup(docs, id_col, text_col, bits), "dedup-decided").df
-    per_id = decided.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.count_if("kept").alias("_kept"))
-    unclear = per_id.where((F.col("_kept") > 0) & (F.col("_kept") < F.col("_n")))
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
-    out = docs.join(per_id.where(F.col("_kept") < F.col("_n")).select("_id"), same, "left_anti")
+    per_id = decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
+    gone = per_id.where("n_kept < n").select("doc_id")
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]), "left_anti")
+    unclear = per_id.where("n_kept > 0 AND n_kept < n").select("doc_id")
     if unclear.isEmpty():
         return out
-    some = docs.join(unclear.select("_id"), same, "left_semi").withColumn("_sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    kept = decided.where("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
-    some = some.join(kept, same & (F.col("_sha") == F.col("text_sha256")), "left_semi")
-    one = some.groupBy(id_col, "_sha").agg(F.max_by(F.struct(*docs.columns), F.coalesce(F.length(text_col), F.lit(0))).alias("_row"))
-    return out.unionByName(one.select("_row.*"))
+    sha = free_name(docs, "sha")
+    some = docs.join(unclear, docs[id_col].eqNullSafe(unclear["doc_id"]), "left_semi").withColumn(sha, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    kept = decided.where("kept").select("doc_id", "text_sha256")
+    some = some.join(kept, some[id_col].eqNullSafe(kept["doc_id"]) & (some[sha] == kept["text_sha256"]), "left_semi")
+    row = free_name(docs, "row")
+    best = F.max_by(F.struct(*docs.columns), F.coalesce(F.length(text_col), F.lit(0)))
+    return out.unionByName(some.groupBy(id_col, sha).agg(best.alias(row)).select(f"{row}.*"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, begin, sub_batches, text_bytes
+from .common import Written, begin, repeatable, sub_batches, text_bytes
 from .fm_index import FMIndex
 from .pieces import SpanHash
 
@@ -220,7 +220,8 @@ def settle_windows(words: DataFrame, window: int) -> DataFrame:
 
 def covered_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(place, spans): for each row of the input the spans of words that a window covers which also starts in
-    a document of a smaller id. Rows without such spans are left out; spans may overlap."""
+    a document of a smaller id. Rows without such spans are left out; spans may overlap. ``docs`` must keep
+    its rows' places when it runs again, as :func:`repeatable` frames do."""
     spark = docs.sparkSession
     begin(spark)
     rows = _rows(docs, id_col, text_col)
@@ -265,6 +266,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     other columns are not read.
     """
     spark = docs.sparkSession
+    docs = repeatable(docs.select(id_col, text_col))
     spans = Written(covered_spans(docs, window, id_col, text_col), "substring-covered").df
     begin(spark)
 
