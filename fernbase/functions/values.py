@@ -91,7 +91,7 @@ def infer_type(value: Any) -> T.DataType:
         found = next((infer_type(x) for x in value if x is not None), T.StringType())
         return T.ArrayType(found)
     if kind == OBJECT:
-        return T.StructType([T.StructField(k, infer_type(v)) for k, v in value.items()])
+        return T.StructType([T.StructField(k, infer_type(v)) for k, v in value.items() if v is not None])
     return T.StringType()
 
 

@@ -36,10 +36,19 @@ def rows_of(spark: Any, docs: list[dict[str, Any]], schema: T.StructType | None
         for name, value in doc.items():
             if value is not None:
                 kind = _wide(kind, name, value)
+    kind = _filled(kind)
     made = [_fitted({"id": None, **d, **({"id": str(d["id"])} if d.get("id") is not None else {"id": new_id()})} if isinstance(kind["id"].dataType, T.StringType) else d, kind) for d in docs]
     return spark.createDataFrame(made, kind)
 
 
+def _filled(kind: Any) -> Any:
+    """The type without objects that have no fields, which cannot be stored."""
+    if isinstance(kind, T.StructType):
+        fields = [T.StructField(f.name, _filled(f.dataType)) for f in kind.fields]
+        return T.StructType([f for f in fields if f.dataType != T.StructType([])])
+    return T.ArrayType(_filled(kind.elementType)) if isinstance(kind, T.ArrayType) else kind
+
+
 def _wide(kind: T.StructType, path: str, value: Any) -> T.StructType:
     have = updates.type_at(kind, path)
     if have is None:

@@ -217,12 +217,12 @@ def _typed(field: Field, op: str, value: Any) -> Field:
         return Field(F.when(shape != "VOID", F.lit(True)), T.BooleanType()) if some is None else Field(None, T.NullType())
     sql, pattern, out = kind
     cast = F.try_variant_get(column, path, sql)
-    # numbers push down as they are; text and booleans also convert from other types, which must not match
-    return Field(cast if pattern is None else F.when(shape.rlike(pattern), cast), out)
+    # values also convert from other types, which must not match
+    return Field(F.when(shape.rlike(pattern), cast), out)
 
 
 STRING_KINDS = {
-    V.NUMBER: ("double", None, T.DoubleType()),
+    V.NUMBER: ("double", "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)", T.DoubleType()),
     V.STRING: ("string", "^STRING$", T.StringType()),
     V.BOOLEAN: ("boolean", "^BOOLEAN$", T.BooleanType()),
     V.DATE: ("timestamp", "^(TIMESTAMP|DATE)", T.TimestampType()),

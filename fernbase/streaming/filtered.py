@@ -29,4 +29,5 @@ def with_update(stream: DataFrame, filter_: dict[str, Any], update: dict[str, An
 
 def counts(stream: DataFrame, time: str, width: str, late: str, filter_: dict[str, Any] | None = None) -> DataFrame:
     """Matching rows per window of event time; windows close once the watermark has passed."""
-    return matching(stream, filter_ or {}).withWatermark(time, late).groupBy(F.window(time, width)).agg(F.count("*").alias("n"))
+    timed = matching(stream, filter_ or {}).withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late).groupBy(F.window(time, width)).agg(F.count("*").alias("n"))
