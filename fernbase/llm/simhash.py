@@ -25,7 +25,7 @@ from .components import components
 
 SEED = 42
 #: Fingerprints of a bucket that are compared at once.
-TILE = 2048
+TILE = 512
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -230,5 +230,6 @@ def one_of_each_group(docs: DataFrame, size: int = 3, radius: int = 2, id_col: s
     stay only in groups of null ids alone; of rows that repeat with one id, all that the id keeps stay.
     """
     found = near_duplicates(docs, size, radius, id_col=id_col, text_col=text_col)
-    gone = Written(found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "simhash-gone")
-    return docs.join(gone.df, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    late = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = Written(found.where(late).select("doc_id").distinct(), "simhash-gone").df
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]), "left_anti")
