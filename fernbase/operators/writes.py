@@ -270,6 +270,18 @@ def update_one(df: DataFrame, filter_: dict[str, Any] | None, update: dict[str,
     return out.select(*schema.names)
 
 
+def update_counts(df: DataFrame, filter_: dict[str, Any] | None, update: dict[str, Any], *, one: bool = False, sort: Sort = None, hide_deleted: bool = False, clock: dt.datetime | None = None) -> DataFrame:
+    """One row (matched, modified): the rows that an update finds, and those that it really changes. A scan, no join."""
+    rows = df.filter(filters.compile_filter(filters.visible(filter_, hide_deleted), df.schema))
+    if one:
+        rows = rows.orderBy(*(order_columns(df, sort) or [F.col("id").asc()])).limit(1)
+    update = _with_clock(updates.check(update), clock)
+    schema = updates.widen(df.schema, update)
+    new = updates.apply(schema, update)
+    same = filters._fold([F.col(f"`{c}`").eqNullSafe(v) for c, v in new.items()], True)
+    return updates.extended(rows, schema).agg(F.count("*").alias("matched"), F.count_if(~same).alias("modified"))
+
+
 def bulk_update(df: DataFrame, items: list[dict[str, Any]], *, hide_deleted: bool = False, clock: dt.datetime | None = None) -> DataFrame:
     """A list of ``{filter, update, options}``, each an update_one on what the ones before it left.
 

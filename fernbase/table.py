@@ -159,11 +159,13 @@ class DocTable:
             if all(k in df.columns for k in keys) and (bad := writes.broken_unique(df, keys).first()) is not None:
                 raise UniqueError(f"{keys} has a value that several rows have: {bad}")
 
-    def _write(self, change: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
+    def _write(self, change: Callable[[DataFrame], DataFrame], count: Callable[[DataFrame], dict[str, int]] | None = None) -> dict[str, int]:
+        """Stage what ``change`` makes of the rows, unless nothing changes. ``count`` tells that from the rows
+        before, without a join; by default both states are compared."""
         with self.transaction():
             before = self.df
             after = change(before)
-            counts = writes.changes(before, after).first().asDict()
+            counts = count(before) if count else writes.changes(before, after).first().asDict()
             if any(counts.values()) or before.schema != after.schema:
                 self._staged = after
             return counts
@@ -197,15 +199,17 @@ class DocTable:
 
     def _updated(self, filter_: dict[str, Any] | None, update: dict[str, Any], one: bool, upsert: bool, sort: find.Sort) -> dict[str, int]:
         update, filter_ = _hooked(self.hooks.check_update, updates.check(dict(update))), self._filter(filter_)
-        hide, clock = self._hide(False), self._clock()
-        matched = find.count(self.df, filter_, hide).first()[0]
-        if one:
-            work = writes.upsert_one if upsert else writes.update_one
-            counts = self._write(lambda df: work(df, filter_, update, sort=sort, hide_deleted=hide, clock=clock))
-        else:
-            work = writes.upsert_many if upsert else writes.update_many
-            counts = self._write(lambda df: work(df, filter_, update, hide_deleted=hide, clock=clock))
-        return {"matched": min(matched, 1) if one else matched, "modified": counts["modified"], "upserted": counts["inserted"]}
+        options = {"hide_deleted": self._hide(False), "clock": self._clock()}
+        chosen = {**options, "sort": sort} if one else options
+        with self.transaction():
+            found = writes.update_counts(self.df, filter_, update, one=one, sort=sort, **options).first().asDict()
+            if upsert and not found["matched"]:
+                work = writes.upsert_one if one else writes.upsert_many
+                self._write(lambda df: work(df, filter_, update, **chosen), lambda df: {"inserted": 1})
+                return {**found, "upserted": 1}
+            work = writes.update_one if one else writes.update_many
+            self._write(lambda df: work(df, filter_, update, **chosen), lambda df: {"modified": found["modified"]})
+            return {**found, "upserted": 0}
 
     def update_one(self, filter_: dict[str, Any] | None, update: dict[str, Any], *, upsert: bool = False, sort: find.Sort = None) -> dict[str, int]:
         return self._updated(filter_, update, True, upsert, sort)
@@ -218,13 +222,17 @@ class DocTable:
 
     def _deleted(self, filter_: dict[str, Any] | None, one: bool, sort: find.Sort, real: bool) -> int:
         filter_ = self._filter(filter_)
-        if self.options.mark_delete and not real:
-            clock = self.now()
-            work = (lambda df: writes.soft_delete_one(df, filter_, clock, sort)) if one else (lambda df: writes.soft_delete_many(df, filter_, clock))
-            return self._write(work)["modified"]
         hide = self._hide(real)
-        work = (lambda df: writes.delete_one(df, filter_, sort=sort, hide_deleted=hide)) if one else (lambda df: writes.delete_many(df, filter_, hide_deleted=hide))
-        return self._write(work)["removed"]
+        with self.transaction():
+            n = find.count(self.df, filter_, hide).first()[0]
+            n = min(n, 1) if one else n
+            if self.options.mark_delete and not real:
+                clock = self.now()
+                work = (lambda df: writes.soft_delete_one(df, filter_, clock, sort)) if one else (lambda df: writes.soft_delete_many(df, filter_, clock))
+            else:
+                work = (lambda df: writes.delete_one(df, filter_, sort=sort, hide_deleted=hide)) if one else (lambda df: writes.delete_many(df, filter_, hide_deleted=hide))
+            self._write(work, lambda df: {"removed": n})
+            return n
 
     def delete(self, id_: Any, *, real_delete: bool = False, read_delete: bool = False) -> int:
         return self._deleted({"id": id_}, False, None, real_delete or read_delete)
@@ -236,7 +244,7 @@ class DocTable:
         return self._deleted(filter_, False, None, real_delete or read_delete)
 
     def clear(self) -> None:
-        self._write(lambda df: df.limit(0))
+        self._write(lambda df: df.limit(0), lambda df: {"removed": 1})
 
     def clear_all(self) -> None:
         self.options.indexes, self.options.unique = [], []
