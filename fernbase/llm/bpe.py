@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import begin, sub_batches, text_bytes
 from .pieces import ODD, SPACE, PieceTable, SpanHash, classes
@@ -200,13 +201,31 @@ class Transducer:
         if len(self.states) > self.most_states:
             self._restart()
         number, out, arcs = 0, [], self.arcs
-        for byte in piece:
-            number, some = arcs.get(number << 8 | byte) or self._arc(number, byte)
+        for i, byte in enumerate(piece):
+            arc = arcs.get(number << 8 | byte)
+            if arc is None:
+                # one new arc a piece: prefixes that come again get states, endings met once do not
+                number, some = self._arc(number, byte)
+                out += some
+                return out + self._simulate(number, piece[i + 1 :])
+            number, some = arc
             if some:
                 out += some
         _, pending, last, _ = self.states[number]
         return out + self._rest(pending, last)
 
+    def _simulate(self, number: int, tail: bytes) -> list[bytes]:
+        """The tokens pending in a state and those of the bytes after it, without making states."""
+        before, pending, last, live = self.states[number]
+        last, prefixes = list(last), self.prefixes
+        at, whole = len(pending), pending + tail
+        for i in range(at + 1, len(whole) + 1):
+            pending = whole[:i]
+            last.append(self._last(before, pending, last, live))
+            live = [q for q in live if pending[q:] in prefixes]
+            live.append(i)
+        return self._rest(whole, last)
+
 
 class Utf8Stream:
     """Incremental UTF-8: bytes in chunks of any length, complete characters out.
@@ -339,11 +358,15 @@ class Codec:
             place[new] = self.table.find(keys[new])
             rest = np.flatnonzero(~short)
             place[rest] = self._learn([body[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)])
-        ends, counts = np.array(self.ends), np.array(self.counts, np.int64)
-        low, n = ends[place], ends[place + 1] - ends[place]
+        # views of the tables, not copies; none may be left when the tables grow again
+        low, high = np.frombuffer(self.ends, np.int64)[place], np.frombuffer(self.ends, np.int64)[place + 1]
+        n = high - low
         before = np.concatenate(([0], np.cumsum(n)))
-        joined = np.frombuffer(bytes(self.flat), np.uint8)[np.repeat(low - before[:-1], n) + np.arange(before[-1])].tobytes()
-        tokens = np.concatenate(([0], np.cumsum(counts[place])))
+        at = np.arange(before[-1])
+        at += np.repeat(low - before[:-1], n)
+        joined = np.frombuffer(self.flat, np.uint8)[at].tobytes() if len(at) else b""
+        tokens = np.concatenate(([0], np.cumsum(np.frombuffer(self.counts, np.int32)[place], dtype=np.int64))) if len(place) else np.zeros(1, np.int64)
+        del at, low, high, n
         edges = np.searchsorted(start, np.concatenate(([0], np.flatnonzero(raw == 0) + 1)))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             yield joined[before[a] : before[b]], int(tokens[b] - tokens[a])
@@ -398,7 +421,7 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """The input with the token ids of each whole text as array<int> in ``out_col``. A null text counts as empty."""
     begin(docs.sparkSession)
-    schema = docs.drop(out_col).schema.add(out_col, "array<int>")
+    schema = T.StructType([*docs.drop(out_col).schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -412,7 +435,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """The input with the text that the ids in ``ids_col`` stand for; null ids give an empty text."""
     begin(rows.sparkSession)
-    schema = rows.drop(out_col).schema.add(out_col, "string")
+    schema = T.StructType([*rows.drop(out_col).schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
