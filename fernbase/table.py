@@ -254,9 +254,15 @@ class DocTable:
         self.store.drop()
 
     def compact(self, files: int = 1) -> None:
+        """Rewrite the rows into few files, in the order of the first index: its keys' ranges then prune files and
+        row groups, as an index would."""
+        keys = next((list(i["keys"]) for i in self.options.indexes if i.get("keys")), [])
         with self.transaction():
             base = self.store.version()
-            self.store.commit(self.store.read(), base, self._meta(), files)
+            rows = self.store.read()
+            if keys:
+                rows = rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+            self.store.commit(rows, base, self._meta(), files)
             self._base = base + 1
 
     def close(self) -> None:
@@ -349,13 +355,26 @@ class TreeTable(DocTable):
         return tree.list_nodes(self.df, parent_id, **options)
 
 
+_DEFAULT: dict[str, str] = {}
+
+
+def define_default_root(root: str) -> None:
+    """The folder of tables that are defined by a bare name."""
+    _DEFAULT["root"] = root.rstrip("/")
+
+
 def define_table(path: str, **settings: Any) -> Callable[[SparkSession], DocTable]:
-    """A function that gives one and the same table for a session."""
+    """A function that gives one and the same table for a session; a bare name lies in the default root."""
 
     def bound(spark: SparkSession) -> DocTable:
-        key = (spark.sparkContext.applicationId, path.rstrip("/"))
+        full = path.rstrip("/")
+        if "/" not in full:
+            if "root" not in _DEFAULT:
+                raise QueryError(f"{full} is a bare name, and no default root is defined")
+            full = f"{_DEFAULT['root']}/{full}"
+        key = (spark.sparkContext.applicationId, full)
         if key not in _TABLES:
-            _TABLES[key] = DocTable(spark, path, **settings)
+            _TABLES[key] = DocTable(spark, full, **settings)
         return _TABLES[key]
 
     return bound

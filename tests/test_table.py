@@ -13,7 +13,7 @@ from fernbase.functions import order_keys
 from fernbase.functions.names import unique_names
 from fernbase.operators import tree, writes
 from fernbase.operators.lookup import Lookup
-from fernbase.table import DocTable, Hooks, Options, TreeTable, define_table
+from fernbase.table import DocTable, Hooks, Options, TreeTable, define_default_root, define_table
 
 NOW = dt.datetime(2024, 3, 4, 5, 6)
 
@@ -119,6 +119,18 @@ def test_define_table_is_one(spark, tmp_path):
     made(spark).close()
 
 
+def test_default_root_and_sorted_compaction(spark, tmp_path):
+    with pytest.raises(QueryError):
+        define_table("bare")(spark)
+    define_default_root(f"file://{tmp_path}")
+    t = define_table("bare", schema="n int", options=Options(indexes=[{"keys": ["n"]}]))(spark)
+    t.insert_many([{"id": str(k), "n": (k * 7) % 50} for k in range(50)])
+    t.compact(2)
+    parts = t.df.withColumn("f", F.input_file_name()).groupBy("f").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).orderBy("lo").collect()
+    assert t.count() == 50 and len(parts) == 2 and parts[0].hi < parts[1].lo
+    assert t.store.root == f"file://{tmp_path}/bare"
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_framed_backup(table, spark, tmp_path, compress):
     table.insert_many([{"id": str(k), "name": f"n{k}", "n": k, "tags": ["a", str(k)]} for k in range(2300)])
