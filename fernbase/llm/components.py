@@ -25,8 +25,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has two edges down, and none an edge down and one up: then each component is a star."""
+    ends = edges.select("u", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,13 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` must be a written table, as it is read more than once. Without edges the result is empty.
     """
-    now, mark = None, None
+    now = None
     frame = edges.distinct()
     while True:
-        after = Written(_small_star(_large_star(frame).distinct()).distinct(), "components")
-        sums = _sum(after.df)
+        after = Written(_small_star(_large_star(frame).distinct()).distinct(), "components", narrow=True)
         if now:
             now.drop()
-        if sums == mark:
+        if _stars(after.df):
             return after.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now, mark, frame = after, sums, after.df
+        now, frame = after, after.df

@@ -55,12 +55,12 @@ def tree_merge(rows: DataFrame, bits: int = 4) -> tuple[list[Written], DataFrame
     leaves (run, digest), the best entry of the whole input and the size of the group."""
     levels: list[Written] = []
     leaf = rows.groupBy("run", *KEY).agg(F.min(_best()).alias("best"), F.count("*").alias("n"))
-    levels.append(Written(leaf, "dedup-level0"))
+    levels.append(Written(leaf, "dedup-level0", narrow=True))
     top = levels[0].df.agg(F.max("run")).first()[0]
     while top:
         below = levels[-1].df.withColumn("run", F.shiftright("run", bits))
         merged = below.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        levels.append(Written(merged, f"dedup-level{len(levels)}"))
+        levels.append(Written(merged, f"dedup-level{len(levels)}", narrow=True))
         top >>= bits
     answer = levels[-1].df
     for level in reversed(levels[:-1]):
@@ -97,7 +97,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows are dropped by id. Only where an id repeats, with some of its rows kept and some not, the
     digests decide as well, and of rows alike in id and digest the one with the most code points stays.
     """
-    decided = Written(exact_dedup(docs, id_col, text_col, bits), "dedup-decided").df
+    decided = Written(exact_dedup(docs, id_col, text_col, bits), "dedup-decided", narrow=True).df
     per_id = decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
     gone = per_id.where("n_kept < n").select("doc_id")
     out = docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]), "left_anti")

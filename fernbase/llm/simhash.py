@@ -213,12 +213,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, blocks: int
     """
     spark = docs.sparkSession
     fp = Written(fingerprints(docs, size, id_col, text_col), "simhash-fp")
-    first = Written(fp.df.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    first = Written(fp.df.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct", narrow=True)
     edges = Written(links(first.df.select("fp"), radius, blocks), "simhash-links")
     label = components(edges.df)
     rooted = first.df.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = Written(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-components")
+    of_fp = Written(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-components", narrow=True)
     begin(spark)
     return fp.df.join(of_fp.df, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -231,5 +231,5 @@ def one_of_each_group(docs: DataFrame, size: int = 3, radius: int = 2, id_col: s
     """
     found = near_duplicates(docs, size, radius, id_col=id_col, text_col=text_col)
     late = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = Written(found.where(late).select("doc_id").distinct(), "simhash-gone").df
+    gone = Written(found.where(late).select("doc_id").distinct(), "simhash-gone", narrow=True).df
     return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]), "left_anti")

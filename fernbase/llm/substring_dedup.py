@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     docs = repeatable(docs.select(id_col, text_col))
-    spans = Written(covered_spans(docs, window, id_col, text_col), "substring-covered").df
+    spans = Written(covered_spans(docs, window, id_col, text_col), "substring-covered", narrow=True).df
     begin(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -238,7 +238,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_o
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~fold("doc_id", modulus, held_out))
-    usable = Written(usable.groupBy("doc_id").agg(F.max("label").alias("label")), "toxic-labels").df
+    usable = Written(usable.groupBy("doc_id").agg(F.max("label").alias("label")), "toxic-labels", narrow=True).df
     n, toxic = usable.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < toxic < n:
         score = F.lit((toxic + 0.5) / (n + 1.0))
@@ -248,7 +248,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_o
     seen = Written(read_votes(docs, lexicon), "toxic-votes").df
     begin(docs.sparkSession, 1 << 13)
     rows = Written(seen.join(usable, "doc_id", "left"), "toxic-rows").df
-    patterns = Written(rows.groupBy("votes", "label").agg(F.count("*").alias("n")), "toxic-patterns").df
+    patterns = Written(rows.groupBy("votes", "label").agg(F.count("*").alias("n")), "toxic-patterns", narrow=True).df
     model = fit_label_model(patterns)
     w = fit_logistic(rows, model)
 
