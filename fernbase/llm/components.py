@@ -31,8 +31,9 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (u, v), u > v: root is the smallest node reachable.
+def components(edges: DataFrame) -> Written:
+    """A written table (u, v): every node u of the edges (u, v), u > v, that is not the smallest node reachable
+    from it, and that smallest node v.
 
     ``edges`` must be a written table, as it is read more than once. Without edges the result is empty.
     """
@@ -43,5 +44,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now:
             now.drop()
         if _stars(after.df):
-            return after.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return after
         now, frame = after, after.df

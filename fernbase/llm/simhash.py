@@ -216,9 +216,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, blocks: int
     first = Written(fp.df.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct", narrow=True)
     edges = Written(links(first.df.select("fp"), radius, blocks), "simhash-links")
     label = components(edges.df)
-    rooted = first.df.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = first.df.join(label.df.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = Written(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-components", narrow=True)
+    for done in (first, edges, label):
+        done.drop()
     begin(spark)
     return fp.df.join(of_fp.df, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -218,18 +218,24 @@ def settle_windows(words: DataFrame, window: int) -> DataFrame:
     return late.groupBy("anchor", "content", "doc_id").agg(F.collect_list(span).alias("spans"))
 
 
-def covered_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def covered_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> Written:
     """(place, spans): for each row of the input the spans of words that a window covers which also starts in
     a document of a smaller id. Rows without such spans are left out; spans may overlap. ``docs`` must keep
     its rows' places when it runs again, as :func:`repeatable` frames do."""
     spark = docs.sparkSession
     begin(spark)
+    made: list[Written] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(Written(df, name))
+        return made[-1].df
+
     rows = _rows(docs, id_col, text_col)
-    found = Written(find_segments(rows, window), "substring-segments").df
+    found = written(find_segments(rows, window), "substring-segments")
     met = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    shared = Written(found.join(met, "anchor"), "substring-shared").df
+    shared = written(found.join(met, "anchor"), "substring-shared")
     best = F.min(F.struct("doc_id", "place", "start", "windows"))
-    reps = Written(shared.groupBy("anchor", "content").agg(best.alias("r")).select("anchor", "content", "r.*"), "substring-reps").df
+    reps = written(shared.groupBy("anchor", "content").agg(best.alias("r")).select("anchor", "content", "r.*"), "substring-reps")
     wanted = reps.groupBy("place").agg(F.collect_list(F.struct("anchor", "content", "doc_id", "start", "windows")).alias("wanted"))
     begin(spark)
 
@@ -246,14 +252,17 @@ def covered_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", tex
     if hot.isEmpty():
         spans = search_segments(words, window)
     else:
-        words = Written(words, "substring-words").df
+        words = written(words, "substring-words")
         spans = search_segments(words.join(hot, "anchor", "left_anti"), window).unionByName(settle_windows(words.join(hot, "anchor", "left_semi"), window))
-    spans = Written(spans.select("anchor", "content", F.col("doc_id").alias("first_id"), "spans"), "substring-spans").df
+    spans = written(spans.select("anchor", "content", "spans"), "substring-spans")
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + window - 1).alias("b")))
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
     of_each = shared.join(reps.select("anchor", "content", F.col("doc_id").alias("rep")), ["anchor", "content"]).join(spans.select("anchor", "content", "spans"), ["anchor", "content"], "left")
     each = of_each.select("place", F.when(F.col("doc_id") > F.col("rep"), whole).otherwise(moved).alias("spans")).where("size(spans) > 0")
-    return each.groupBy("place").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = Written(each.groupBy("place").agg(F.flatten(F.collect_list("spans")).alias("spans")), "substring-covered", narrow=True)
+    for table in made:
+        table.drop()
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,7 +276,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     docs = repeatable(docs.select(id_col, text_col))
-    spans = Written(covered_spans(docs, window, id_col, text_col), "substring-covered", narrow=True).df
+    spans = covered_spans(docs, window, id_col, text_col).df
     begin(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
