@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.code import ship
+
 TAG = "\0$t"
 MISSING = type("Missing", (), {"__repr__": lambda self: "MISSING", "__bool__": lambda self: False})()
 
@@ -376,6 +378,7 @@ def deep_merged(old: Any, new: Any) -> Any:
 
 def filter_documents(df: DataFrame, filter_: dict[str, Any], column: str = "data") -> DataFrame:
     """Rows whose tagged JSON document matches. Plain equalities of strings first reduce the rows in the JVM."""
+    ship(df.sparkSession)
     narrowed = df
     for key, want in filter_.items():
         if isinstance(want, str) and re.fullmatch(r"\w+", key) and "\0" not in want:
@@ -392,6 +395,7 @@ def filter_documents(df: DataFrame, filter_: dict[str, Any], column: str = "data
 
 def update_documents(df: DataFrame, filter_: dict[str, Any], op: dict[str, Any], column: str = "data") -> DataFrame:
     """All rows, with matching documents updated."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -407,6 +411,7 @@ def update_documents(df: DataFrame, filter_: dict[str, Any], op: dict[str, Any],
 
 def merge_documents(old: DataFrame, new: DataFrame, key: str = "id", column: str = "data") -> DataFrame:
     """Upsert by deep merge of tagged JSON documents."""
+    ship(old.sparkSession)
     both = old.select(key, F.col(column).alias("o")).join(new.select(key, F.col(column).alias("n")), key, "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,6 +425,7 @@ def merge_documents(old: DataFrame, new: DataFrame, key: str = "id", column: str
 
 def sort_documents(df: DataFrame, path: str, descending: bool = False, column: str = "data") -> DataFrame:
     """Rows by a path of their documents, types in the order of :func:`rank`, values in theirs; nulls first."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
