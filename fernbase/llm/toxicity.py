@@ -30,7 +30,9 @@ BEGINNINGS = range(4, 9)
 GROUPS = 6
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\w)")
-_MASKED = re.compile(r"[^\W_]*[0134578@$][^\W_@$]*(?:[0134578@$][^\W_@$]*)*")
+_MASKS = re.compile(r"[0134578@$]")
+_EDGES = ".,;:!?\"'()[]{}|&%#*"
+_STRETCHED = re.compile(r"(.)\1{2,}")
 _UNMASK = str.maketrans("0134578@$", "oieastbas")
 #: Voters after the groups of words: types and rates of beginnings, several words, disguises, style.
 STYLES = ("one_beginning", "two_beginnings", "four_beginnings", "beginning_rate", "two_words", "word_rate", "masked", "spaced", "stretched", "shouting", "cries")
@@ -39,6 +41,12 @@ FEATURES = ("one", "words", "beginnings", "word_rate", "beginning_rate", "weight
 WIDTH = len(FEATURES)
 
 
+def _has_run(text: str) -> bool:
+    """Whether a character from the letters on comes three times in a row."""
+    raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return bool(((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] >= 0x61)).any())
+
+
 class Lexicon:
     """Weights (log odds) of words and of word beginnings; words are dealt to groups by rank."""
 
@@ -46,6 +54,8 @@ class Lexicon:
         self.words, self.beginnings = words, beginnings
         self.group = {w: k % GROUPS for k, w in enumerate(sorted(words, key=lambda w: (-words[w], w)))}
         self.lengths = sorted({len(b) for b in beginnings})
+        self.head = min(self.lengths, default=0)
+        self.heads = {b[: self.head] for b in beginnings}
 
     def beginning(self, word: str) -> float:
         """The largest weight of a beginning of the word, 0 if none is in the lexicon."""
@@ -59,12 +69,15 @@ class Lexicon:
         n = len(every) + 1
         types = set(every)
         hits = [w for w in types if w in self.words]
-        starts = {w: b for w in types if w not in self.words and (b := self.beginning(w))}
+        head, heads = self.head, self.heads
+        starts = {w: b for w in types if w[:head] in heads and w not in self.words and (b := self.beginning(w))}
         n_hits = sum(map(every.count, hits))
         n_starts = sum(map(every.count, starts)) if len(starts) < 50 else len(starts)
-        masked = {m.translate(_UNMASK) for m in _MASKED.findall(low)} & self.words.keys()
-        spaced = {re.sub(r"[ .*_-]", "", m) for m in _SPACED.findall(low)} & self.words.keys()
-        stretched = {s for w in types if w not in self.words and (s := re.sub(r"(.)\1{2,}", r"\1", w)) != w and s in self.words}
+        masked = {m.strip(_EDGES).translate(_UNMASK) for m in low.split() if _MASKS.search(m)} & self.words.keys() if _MASKS.search(low) else ()
+        single = sum(map((1).__eq__, map(len, every))) >= 4
+        spaced = {re.sub(r"[ .*_-]", "", m) for m in _SPACED.findall(low)} & self.words.keys() if single else ()
+        long = [w for w in types if _STRETCHED.search(w)] if _has_run(low) else []
+        stretched = {s for w in long if w not in self.words and (s := _STRETCHED.sub(r"\1", w)) in self.words}
         upper = sum(map(str.isupper, text)) if len(text) < 1000 else sum(map(str.isupper, text[::7])) * 7
         groups = [0] * GROUPS
         for w in hits:
@@ -105,14 +118,16 @@ def _shingle_sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataF
 def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_odds: float = 2.3, most_entries: int = 2000) -> Lexicon:
     """``labels``: (doc_id, label). Words and beginnings whose log odds reach ``least_odds``, and whose support
     is five documents or one in 200 of the toxic ones; the weightiest ``most_entries`` of each kind."""
-    once = Written(_shingle_sample(docs, labels, most_rows), "toxic-sample").df
+    sample = Written(_shingle_sample(docs, labels, most_rows), "toxic-sample")
+    once = sample.df
     size = {r["label"]: (r["n"], r["types"]) for r in once.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("types")).collect()}
     if size.get(0, (0, 0))[1] == 0 or size.get(1, (0, 0))[1] == 0:
         return Lexicon({}, {})
     (n0, t0), (n1, t1) = size[0], size[1]
     least = max(min(5, n1), n1 // 200)
     counted = once.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
-    words = Written(counted, "toxic-words").df
+    table = Written(counted, "toxic-words")
+    words = table.df
     odds = F.log((F.col("a") + 0.5) / t1) - F.log((F.col("b") + 0.5) / t0)
     good = words.where(F.col("a") >= least).withColumn("odds", odds).where(F.col("odds") >= least_odds)
     found = {r["word"]: r["odds"] for r in good.orderBy(F.desc("odds"), "word").limit(most_entries).collect()}
@@ -121,6 +136,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, l
     summed = parts.groupBy("start").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("a").alias("top"))
     starts = summed.where((F.col("a") >= 2 * least) & (F.col("top") < 0.5 * F.col("a"))).withColumn("odds", odds).where(F.col("odds") >= least_odds)
     begun = {r["start"]: r["odds"] for r in starts.orderBy(F.desc("odds"), "start").limit(most_entries).collect()}
+    sample.drop()
+    table.drop()
     # a longer beginning adds nothing where a shorter one is as telling
     kept = {b: o for b, o in begun.items() if not any(b[:k] in begun and begun[b[:k]] >= o - 1.0 for k in BEGINNINGS if k < len(b))}
     return Lexicon(found, kept)
@@ -245,11 +262,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_o
         same = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("score"))
         return same.select("doc_id", fold("doc_id", modulus, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("score").alias("label_posterior"))
     lexicon = learn_lexicon(docs, usable)
-    seen = Written(read_votes(docs, lexicon), "toxic-votes").df
+    seen = Written(read_votes(docs, lexicon), "toxic-votes")
     begin(docs.sparkSession, 1 << 13)
-    rows = Written(seen.join(usable, "doc_id", "left"), "toxic-rows").df
-    patterns = Written(rows.groupBy("votes", "label").agg(F.count("*").alias("n")), "toxic-patterns", narrow=True).df
-    model = fit_label_model(patterns)
+    rows = Written(seen.df.join(usable, "doc_id", "left"), "toxic-rows").df
+    seen.drop()
+    patterns = Written(rows.groupBy("votes", "label").agg(F.count("*").alias("n")), "toxic-patterns", narrow=True)
+    model = fit_label_model(patterns.df)
+    patterns.drop()
     w = fit_logistic(rows, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
