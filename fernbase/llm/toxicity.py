@@ -31,7 +31,7 @@ GROUPS = 6
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\w)")
 _MASKS = re.compile(r"[0134578@$]")
-_EDGES = ".,;:!?\"'()[]{}|&%#*"
+_MASKABLE = re.compile(r"[\w@$]+")
 _STRETCHED = re.compile(r"(.)\1{2,}")
 _UNMASK = str.maketrans("0134578@$", "oieastbas")
 #: Voters after the groups of words: types and rates of beginnings, several words, disguises, style.
@@ -73,7 +73,9 @@ class Lexicon:
         starts = {w: b for w in types if w[:head] in heads and w not in self.words and (b := self.beginning(w))}
         n_hits = sum(map(every.count, hits))
         n_starts = sum(map(every.count, starts)) if len(starts) < 50 else len(starts)
-        masked = {m.strip(_EDGES).translate(_UNMASK) for m in low.split() if _MASKS.search(m)} & self.words.keys() if _MASKS.search(low) else ()
+        # a disguised word ends at any other sign, and at an underscore
+        near = [m for m in low.replace("_", " ").split() if _MASKS.search(m)] if _MASKS.search(low) else []
+        masked = {r.translate(_UNMASK) for m in near for r in _MASKABLE.findall(m) if _MASKS.search(r)} & self.words.keys()
         single = sum(map((1).__eq__, map(len, every))) >= 4
         spaced = {re.sub(r"[ .*_-]", "", m) for m in _SPACED.findall(low)} & self.words.keys() if single else ()
         long = [w for w in types if _STRETCHED.search(w)] if _has_run(low) else []

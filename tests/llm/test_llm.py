@@ -26,7 +26,7 @@ from fernbase.llm import substring_dedup
 from fernbase.llm.substring_dedup import remove_repeats
 from fernbase.llm.token_counts import count_tokens, document_token_counts
 from fernbase.llm.token_files import ChunkEncoder, read_token_orc, token_files, write_token_orc
-from fernbase.llm.toxicity import toxicity_scores
+from fernbase.llm.toxicity import STYLES, Lexicon, toxicity_scores
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and to in is was for on that with as by at from ha ou er th nd ing ly ble".split()
@@ -375,6 +375,27 @@ def test_toxicity(spark, docs, none):
     assert toxicity_scores(documents, labels.limit(0)).first().score == 0.5
 
 
+def style(lexicon, text, name):
+    """The vote of one of the styles on a text."""
+    votes, _ = lexicon.read(text)
+    return votes[len(votes) - len(STYLES) + STYLES.index(name)]
+
+
+def test_disguised_words_beside_other_signs():
+    lexicon = Lexicon({"idiot": 3.0, "asshole": 3.0}, {})
+    found = ["1d10t", "1d10t-faced", "you/1d10t", "1d10t's", "well—1d10t—yes", "“1d10t”", "1d10t…", "<b>1d10t</b>", "_1d10t_", "`1d10t`", "(1D10T),", "«a$$h0le»", "@sshole!"]
+    lost = ["idiot", "idiot 10", "idiot-10", "1d10ts", "x1d10t", "1d1 0t", "", "漢字1d10t"]
+    assert [t for t in found if not style(lexicon, f"so {t} then", "masked")] == []
+    assert [t for t in lost if style(lexicon, f"so {t} then", "masked")] == []
+    # against the search over the whole text
+    search = re.compile(r"[^\W_]*[0134578@$][^\W_@$]*(?:[0134578@$][^\W_@$]*)*")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(["1d10t", "idiot", "a$$", "hole", "@", "0", "9", "x", "_", "-", "'", "—", " ", "\n", "É"]) for _ in range(8))
+        want = {m.translate(str.maketrans("0134578@$", "oieastbas")) for m in search.findall(text.lower())} & lexicon.words.keys()
+        assert style(lexicon, text, "masked") == bool(want), text
+
+
 def test_language(spark, docs, none):
     documents, _ = labelled(spark)
     got = predict_languages(documents).join(documents.select("doc_id", "lang"), "doc_id")
