@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,12 +68,13 @@ class Lexicon:
         low = text.lower()
         every = _WORD.findall(low)
         n = len(every) + 1
-        types = set(every)
+        counts = Counter(every)
+        types = counts.keys()
         hits = [w for w in types if w in self.words]
         head, heads = self.head, self.heads
         starts = {w: b for w in types if w[:head] in heads and w not in self.words and (b := self.beginning(w))}
-        n_hits = sum(map(every.count, hits))
-        n_starts = sum(map(every.count, starts)) if len(starts) < 50 else len(starts)
+        n_hits = sum(map(counts.__getitem__, hits))
+        n_starts = sum(map(counts.__getitem__, starts))
         # a disguised word ends at any other sign, and at an underscore
         near = [m for m in low.replace("_", " ").split() if _MASKS.search(m)] if _MASKS.search(low) else []
         masked = {r.translate(_UNMASK) for m in near for r in _MASKABLE.findall(m) if _MASKS.search(r)} & self.words.keys()

@@ -26,7 +26,7 @@ from fernbase.llm import substring_dedup
 from fernbase.llm.substring_dedup import remove_repeats
 from fernbase.llm.token_counts import count_tokens, document_token_counts
 from fernbase.llm.token_files import ChunkEncoder, read_token_orc, token_files, write_token_orc
-from fernbase.llm.toxicity import STYLES, Lexicon, toxicity_scores
+from fernbase.llm.toxicity import FEATURES, STYLES, Lexicon, toxicity_scores
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and to in is was for on that with as by at from ha ou er th nd ing ly ble".split()
@@ -396,6 +396,18 @@ def test_disguised_words_beside_other_signs():
         assert style(lexicon, text, "masked") == bool(want), text
 
 
+def test_beginnings_are_counted_at_every_size():
+    lexicon = Lexicon({"bad": 3.0}, {"zorg": 3.0})
+    for types in (1, 49, 50, 51, 200):
+        words = [f"zorg{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(types)]
+        text = " ".join(words * 20 + ["bad"] * 30 + ["plain"] * (40_000 - 20 * types))
+        n = 40_031
+        _, features = lexicon.read(text)
+        assert features[FEATURES.index("beginning_rate")] == pytest.approx((20 * types / n) ** 0.5)
+        assert features[FEATURES.index("word_rate")] == pytest.approx((30 / n) ** 0.5)
+        assert style(lexicon, text, "beginning_rate") == (20 * types > 0.01 * n)
+
+
 def test_language(spark, docs, none):
     documents, _ = labelled(spark)
     got = predict_languages(documents).join(documents.select("doc_id", "lang"), "doc_id")
