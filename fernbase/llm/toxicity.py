@@ -82,7 +82,7 @@ class Lexicon:
         spaced = {re.sub(r"[ .*_-]", "", m) for m in _SPACED.findall(low)} & self.words.keys() if single else ()
         long = [w for w in types if _STRETCHED.search(w)] if _has_run(low) else []
         stretched = {s for w in long if w not in self.words and (s := _STRETCHED.sub(r"\1", w)) in self.words}
-        upper = sum(map(str.isupper, text)) if len(text) < 1000 else sum(map(str.isupper, text[::7])) * 7
+        upper = sum(map(str.isupper, text))
         groups = [0] * GROUPS
         for w in hits:
             groups[self.group[w]] = 1

@@ -408,6 +408,14 @@ def test_beginnings_are_counted_at_every_size():
         assert style(lexicon, text, "beginning_rate") == (20 * types > 0.01 * n)
 
 
+def test_capitals_of_the_whole_text_are_counted():
+    lexicon = Lexicon({}, {})
+    for times in (10, 200, 2000):
+        assert style(lexicon, "aBCDEFG" * times, "shouting") and style(lexicon, "éÀÉÎ " * times, "shouting")
+        assert not style(lexicon, "Abcdefg" * times, "shouting") and not style(lexicon, "Ab" * times, "shouting")
+        assert style(lexicon, "Ab" * times + "C", "shouting")
+
+
 def test_language(spark, docs, none):
     documents, _ = labelled(spark)
     got = predict_languages(documents).join(documents.select("doc_id", "lang"), "doc_id")
