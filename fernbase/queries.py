@@ -309,13 +309,33 @@ def _coming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where("c_custkey > 50").select(F.col("c_custkey").cast("string").alias("id"), F.lit("new").alias("name"), F.col("c_nationkey").alias("nation"))
 
 
+#: For the same verbs as NAME_whole: all customers are in the table; those with orders come in, and suppliers under new ids.
+STORED_WHOLE = "(SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_acctbal AS bal FROM customer)"
+COMING_WHOLE = "(SELECT CAST(c_custkey AS VARCHAR) AS id, 'new' AS name, c_nationkey AS nation FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT CAST(-1 - s_suppkey AS VARCHAR), 'new ' || s_nationkey, s_nationkey FROM supplier)"
+
+
+def _stored_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+
+
+def _coming_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buyers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    known = buyers.select(F.col("c_custkey").cast("string").alias("id"), F.lit("new").alias("name"), F.col("c_nationkey").alias("nation"))
+    fresh = table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).cast("string").alias("id"), F.concat(F.lit("new "), F.col("s_nationkey").cast("string")).alias("name"), F.col("s_nationkey").alias("nation"))
+    return known.unionByName(fresh)
+
+
 def _verb(name: str, sql: str, work: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    sql = sql.format(s=STORED, c=COMING)
+    _verb_over(name, sql.format(s=STORED, c=COMING), work, _stored, _coming)
+    _verb_over(f"{name}_whole", sql.format(s=STORED_WHOLE, c=COMING_WHOLE), work, _stored_whole, _coming_whole)
+
+
+def _verb_over(name: str, sql: str, work: Callable[[DataFrame, DataFrame], DataFrame], stored: Query, coming: Query) -> None:
     filled = "nation" in sql.split(" FROM ")[0]  # an absent number is -1 on both sides
     sql = f"SELECT * REPLACE (coalesce(nation, -1) AS nation) FROM ({sql})" if filled else sql
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = work(_stored(spark, sf_dir), _coming(spark, sf_dir))
+        out = work(stored(spark, sf_dir), coming(spark, sf_dir))
         return out.na.fill(-1, ["nation"]) if filled else out
 
     query(name, sql)(run)

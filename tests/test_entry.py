@@ -41,6 +41,15 @@ def test_same_rows_as_sql(spark, sql, name):
     assert got == sorted(tuple(plain(r[k]) for k in at) for r in out.fetchall())
 
 
+def test_write_verbs_over_whole_tables(spark, sql):
+    buyers, new = sql.sql("SELECT (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), (SELECT count(*) FROM supplier)").fetchall()[0]
+    row = queries.QUERIES["write_changes_whole"](spark, SF).first()
+    assert buyers > 50 and (row.modified, row.inserted, row.removed) == (buyers, new, 0)
+    for name in ("insert_skip_existing", "set_many_shallow", "set_many_overwrite", "set_many_update_only", "set_many_insert_only", "set_many_set_on_insert", "set_with_clock", "insert_unique_key"):
+        ids = {r.id for r in queries.QUERIES[f"{name}_whole"](spark, SF).select("id").collect()}
+        assert {str(k) for (k,) in sql.sql("SELECT c_custkey FROM customer").fetchall()} <= ids
+
+
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert entry.oracle_sql().keys() <= entry.queries().keys()
