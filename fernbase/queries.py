@@ -68,6 +68,13 @@ filtered("filter_exists", "orders", {"status": {"$exists": True}, "nothing": {"$
 filtered("filter_in_null", "orders", {"status": {"$in": [None, "F"]}, "o_orderkey": {"$lt": 5000}}, ["o_orderkey", "status"], "(status IS NULL OR status = 'F') AND o_orderkey < 5000", _status, NULLABLE)
 filtered("filter_nin_null", "orders", {"status": {"$nin": [None, "F"]}, "o_orderkey": {"$lt": 5000}}, ["o_orderkey", "status"], "status IS NOT NULL AND status <> 'F' AND o_orderkey < 5000", _status, NULLABLE)
 filtered("filter_not_range_null", "orders", {"$nor": [{"status": {"$gte": "G"}}], "o_orderkey": {"$lt": 5000}}, ["o_orderkey", "status"], "(status < 'G' OR status IS NULL) AND o_orderkey < 5000", _status, NULLABLE)
+# the same over all orders
+filtered("filter_null_whole", "orders", {"status": None}, ["o_orderkey"], "status IS NULL", _status, NULLABLE)
+filtered("filter_ne_matches_missing_whole", "orders", {"status": {"$ne": "F"}}, ["o_orderkey", "status"], "status <> 'F' OR status IS NULL", _status, NULLABLE)
+filtered("filter_exists_whole", "orders", {"status": {"$exists": True}, "nothing": {"$exists": False}}, ["o_orderkey", "status"], "status IS NOT NULL", _status, NULLABLE)
+filtered("filter_in_null_whole", "orders", {"status": {"$in": [None, "F"]}}, ["o_orderkey", "status"], "status IS NULL OR status = 'F'", _status, NULLABLE)
+filtered("filter_nin_null_whole", "orders", {"status": {"$nin": [None, "F"]}}, ["o_orderkey", "status"], "status IS NOT NULL AND status <> 'F'", _status, NULLABLE)
+filtered("filter_not_range_null_whole", "orders", {"$nor": [{"status": {"$gte": "G"}}]}, ["o_orderkey", "status"], "status < 'G' OR status IS NULL", _status, NULLABLE)
 TAGGED = "(SELECT *, string_split(p_name, ' ') AS tags FROM part)"
 _tags = lambda df: df.withColumn("tags", F.split("p_name", " "))
 PART = ["p_partkey", "p_name"]
@@ -156,6 +163,17 @@ def find_dotted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("c_custkey", F.col("info.nation.code").alias("code"))
 
 
+@query("find_exclude_whole", "SELECT c_custkey, c_name FROM customer")
+def find_exclude_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find.find_many(table(spark, sf_dir, "customer"), {}, projection={"c_nationkey": 0, "c_acctbal": -1, "c_mktsegment": False})
+
+
+@query("find_dotted_projection_whole", "SELECT c_custkey, c_nationkey AS code FROM customer")
+def find_dotted_projection_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = find.find_many(_nested(table(spark, sf_dir, "customer")), {}, projection=["c_custkey", "info.nation.code"])
+    return cut.select("c_custkey", F.col("info.nation.code").alias("code"))
+
+
 @query("count_filter", "SELECT count(*) AS count FROM events WHERE event_type = 'purchase' AND value > 50")
 def count_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find.count(table(spark, sf_dir, "events"), {"event_type": "purchase", "value": {"$gt": 50}})
@@ -194,6 +212,12 @@ def lookup_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(orders, Lookup(some, "o_custkey", "c_custkey", "customer")).select("o_orderkey", "customer.c_name", "customer.c_acctbal")
 
 
+@query("lookup_one_whole", "SELECT o_orderkey, c_name, c_acctbal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey")
+def lookup_one_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = find.find_many(table(spark, sf_dir, "customer"), {"c_mktsegment": "BUILDING"})
+    return lookup(table(spark, sf_dir, "orders"), Lookup(some, "o_custkey", "c_custkey", "customer")).select("o_orderkey", "customer.c_name", "customer.c_acctbal")
+
+
 @query("lookup_many", "SELECT o_custkey AS c_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderkey) AS found, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def lookup_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
@@ -221,6 +245,12 @@ def lookup_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(orders, Lookup(words, "status", "code", "meaning")).select("o_orderkey", "meaning.word")
 
 
+@query("lookup_null_key_whole", f"SELECT o_orderkey, CASE WHEN status = 'F' THEN 'done' END AS word FROM {NULLABLE}")
+def lookup_null_key_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([("F", "done")], "code string, word string")
+    return lookup(_status(table(spark, sf_dir, "orders")), Lookup(words, "status", "code", "meaning")).select("o_orderkey", "meaning.word")
+
+
 @query("lookup_hidden_target", "SELECT s_suppkey, CASE WHEN n_regionkey <> 1 THEN n_name END AS n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def lookup_hidden_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").withColumn("_isDeleted", F.col("n_regionkey") == 1)
@@ -378,6 +408,14 @@ def soft_delete_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.unionByName(gone)
 
 
+@query("soft_delete_view_whole", "SELECT c_custkey, c_acctbal >= 0 AS seen FROM customer")
+def soft_delete_view_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = writes.soft_delete_many(table(spark, sf_dir, "customer"), {"c_acctbal": {"$lt": 0}}, CLOCK)
+    seen = find.find_many(marked, {}, hide_deleted=True).select("c_custkey", F.lit(True).alias("seen"))
+    gone = find.find_many(marked, {"_isDeleted": True}, hide_deleted=True).select("c_custkey", F.lit(False).alias("seen"))
+    return seen.unionByName(gone)
+
+
 @query("unique_violations", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.broken_unique(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])

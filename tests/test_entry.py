@@ -50,6 +50,15 @@ def test_write_verbs_over_whole_tables(spark, sql):
         assert {str(k) for (k,) in sql.sql("SELECT c_custkey FROM customer").fetchall()} <= ids
 
 
+def test_filters_and_lookups_over_whole_tables(spark, sql):
+    """Every row is on one side of each filter, and every row of a lookup's or projection's table is there."""
+    count = {name: queries.QUERIES[f"{name}_whole"](spark, SF).count() for name in ("filter_null", "filter_exists", "filter_in_null", "filter_nin_null", "lookup_one", "lookup_null_key", "find_exclude", "find_dotted_projection", "soft_delete_view")}
+    orders, people = sql.sql("SELECT (SELECT count(*) FROM orders), (SELECT count(*) FROM customer)").fetchall()[0]
+    assert count["filter_null"] + count["filter_exists"] == count["filter_in_null"] + count["filter_nin_null"] == orders
+    assert count["lookup_one"] == count["lookup_null_key"] == orders
+    assert count["find_exclude"] == count["find_dotted_projection"] == count["soft_delete_view"] == people
+
+
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert entry.oracle_sql().keys() <= entry.queries().keys()
