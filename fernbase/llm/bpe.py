@@ -9,14 +9,16 @@ that is a token and agrees with its left neighbour.
 A state of the transducer is the token before a settled boundary and the bytes after it, with the last
 token of every prefix. A boundary is settled once the encodings of all prefixes at which a later token
 may still start (those whose remainder begins some token) agree on it; the tokens before it are
-emitted. That bounds the lookahead by the vocabulary. States and arcs are made when first needed and
-kept in a table of bounded size.
+emitted. That bounds the lookahead by the vocabulary. What is pending when a piece ends is the state's final
+output. States, arcs and final outputs are made when first needed and kept in a table of bounded size: every
+byte of every piece that is not itself a token is read by an arc.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import begin, sub_batches, text_bytes
-from .pieces import ODD, SPACE, PieceTable, SpanHash, classes
+from .common import begin, free_name, sub_batches, text_bytes
+from .pieces import ODD, SPACE, Known, PieceTable, SpanHash, classes
 
 _CODECS: dict[str, "Codec"] = {}
 NEVER = 1 << 62
@@ -40,10 +42,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Compiled merges; ``ranks`` maps token bytes to ids, which are also the merges' priorities."""
+    """Compiled merges; ``ranks`` maps token bytes to ids, which are also the merges' priorities.
 
-    #: Pieces longer than this run through the recurrence without leaving states behind.
-    LONG = 64
+    ``read`` counts the bytes that arcs have read, ``made`` those for which the arc had to be made first, and
+    ``early`` the bytes of the tokens that arcs emitted before their piece had ended.
+    """
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
         self.ranks = ranks
@@ -53,6 +56,7 @@ class Transducer:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
+        self.read = self.made = self.early = 0
         self._restart()
 
     def _restart(self) -> None:
@@ -60,6 +64,17 @@ class Transducer:
         self.states: list[tuple[bytes, bytes, tuple[int, ...], tuple[int, ...]]] = [(b"", b"", (0,), (0,))]
         self.numbers: dict[tuple[bytes, bytes], int] = {(b"", b""): 0}
         self.arcs: dict[int, tuple[int, tuple[bytes, ...]]] = {}
+        self.finals: dict[int, list[bytes]] = {}
+
+    def _anew(self, number: int) -> int:
+        """Empty the table but for one state; its new number."""
+        state = self.states[number]
+        self._restart()
+        if not number:
+            return 0
+        self.states.append(state)
+        self.numbers[state[:2]] = 1
+        return 1
 
     def merge(self, text: bytes) -> list[bytes]:
         """Merge the pair of least rank until none is left; for tokens and pairs of tokens only."""
@@ -184,92 +199,97 @@ class Transducer:
         return tokens[::-1]
 
     def tokens(self, piece: bytes) -> list[bytes]:
-        """The tokens of one piece. A piece that is a token is that token."""
+        """The tokens of one piece, of any length. A piece that is a token is that token."""
         if piece in self.ranks:
             return [piece]
-        if len(piece) > self.LONG:
-            last, live, floor = [0], [0], 0
-            prefixes = self.prefixes
-            for i in range(1, len(piece) + 1):
-                # a token and its left neighbour lie within twice the longest token's reach
-                floor = max(0, i - 2 * self.longest)
-                part = piece[floor:i]
-                last.append(self._last(b"", part, last[floor:], [q - floor for q in live]))
-                live = [q for q in live if piece[q:i] in prefixes]
-                live.append(i)
-            return self._rest(piece, last)
-        if len(self.states) > self.most_states:
-            self._restart()
         number, out, arcs = 0, [], self.arcs
-        for i, byte in enumerate(piece):
+        for byte in piece:
             arc = arcs.get(number << 8 | byte)
             if arc is None:
-                # one new arc a piece: prefixes that come again get states, endings met once do not
-                number, some = self._arc(number, byte)
-                out += some
-                return out + self._simulate(number, piece[i + 1 :])
+                if len(self.states) > self.most_states:
+                    number = self._anew(number)
+                    arcs = self.arcs
+                arc = self._arc(number, byte)
+                self.made += 1
             number, some = arc
             if some:
                 out += some
-        _, pending, last, _ = self.states[number]
-        return out + self._rest(pending, last)
-
-    def _simulate(self, number: int, tail: bytes) -> list[bytes]:
-        """The tokens pending in a state and those of the bytes after it, without making states."""
-        before, pending, last, live = self.states[number]
-        last, prefixes = list(last), self.prefixes
-        at, whole = len(pending), pending + tail
-        for i in range(at + 1, len(whole) + 1):
-            pending = whole[:i]
-            last.append(self._last(before, pending, last, live))
-            live = [q for q in live if pending[q:] in prefixes]
-            live.append(i)
-        return self._rest(whole, last)
+        self.read += len(piece)
+        self.early += sum(map(len, out))
+        final = self.finals.get(number)
+        if final is None:
+            _, pending, last, _ = self.states[number]
+            final = self.finals[number] = self._rest(pending, last)
+        return out + final
+
+
+#: UTF-8 as a machine. Kinds of bytes: ASCII, three ranges of continuation, never valid, and the leads.
+_KINDS = (
+    [(0x00, 0x80, 0), (0x80, 0x90, 1), (0x90, 0xA0, 2), (0xA0, 0xC0, 3), (0xC0, 0xC2, 4), (0xC2, 0xE0, 5)]
+    + [(0xE0, 0xE1, 6), (0xE1, 0xED, 7), (0xED, 0xEE, 8), (0xEE, 0xF0, 7), (0xF0, 0xF1, 9), (0xF1, 0xF4, 10), (0xF4, 0xF5, 11), (0xF5, 0x100, 4)]
+)
+_KIND = bytes(k for low, high, k in _KINDS for _ in range(low, high))
+START, ONE, TWO, AFTER_E0, AFTER_ED, AFTER_F0, THREE, AFTER_F4, BAD = range(9)
+#: From the start by a byte's kind, and from the other states by the kinds of continuation that they take.
+_FIRST = (START, BAD, BAD, BAD, BAD, ONE, AFTER_E0, TWO, AFTER_ED, AFTER_F0, THREE, AFTER_F4)
+_GO_ON = {ONE: ((1, 2, 3), START), TWO: ((1, 2, 3), ONE), AFTER_E0: ((3,), ONE), AFTER_ED: ((1, 2), ONE), AFTER_F0: ((2, 3), TWO), THREE: ((1, 2, 3), TWO), AFTER_F4: ((1,), TWO)}
+_MOVE = [list(_FIRST)] + [[_GO_ON[s][1] if k in _GO_ON[s][0] else BAD for k in range(12)] for s in range(1, 8)]
+#: The bits of a lead byte that belong to the character.
+_BITS = {ONE: 0x1F, AFTER_E0: 0x0F, TWO: 0x0F, AFTER_ED: 0x0F, AFTER_F0: 0x07, THREE: 0x07, AFTER_F4: 0x07}
+_RUNS = re.compile(rb"[\x00-\x7f]+|[\x80-\xff]+")
 
 
 class Utf8Stream:
     """Incremental UTF-8: bytes in chunks of any length, complete characters out.
 
-    The state is the bytes of a character that has begun. Bytes that cannot be part of one come out as
-    U+FFFD, as Python's "replace" does; after ``finish`` an incomplete character does so too.
+    A state machine over kinds of bytes; between chunks it holds its state and the bits of a character that
+    has begun. Bytes that cannot be part of one come out as U+FFFD, one for each longest beginning of a
+    character, as Python's "replace" does; after ``finish`` an incomplete character does so too.
     """
 
     def __init__(self) -> None:
-        self.held = b""
+        self.state, self.code = START, 0
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data)
-        for back in range(1, min(4, len(data) + 1)):
-            lead = data[-back]
-            if lead & 0xC0 == 0x80:
+        if self.state == START and data.isascii():
+            return data.decode("ascii")
+        out: list[str] = []
+        state, code = self.state, self.code
+        for run in _RUNS.findall(data):
+            if run[0] < 0x80:
+                if state != START:
+                    out.append("\ufffd")
+                    state = START
+                out.append(run.decode("ascii"))
                 continue
-            need = 4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1
-            if need > back and lead < 0xF8 and self._may_go_on(data[-back:]):
-                cut = len(data) - back
-            break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
-
-    @staticmethod
-    def _may_go_on(part: bytes) -> bool:
-        try:
-            part.decode("utf-8")
-        except UnicodeDecodeError as e:
-            return e.reason == "unexpected end of data"
-        return False
+            for byte in run:
+                kind = _KIND[byte]
+                to = _MOVE[state][kind]
+                if to == BAD and state != START:
+                    out.append("\ufffd")
+                    state, to = START, _FIRST[kind]
+                if to == BAD:
+                    out.append("\ufffd")
+                elif state == START:
+                    state, code = to, byte & _BITS[to]
+                else:
+                    state, code = to, code << 6 | byte & 0x3F
+                    if to == START:
+                        out.append(chr(code))
+        self.state, self.code = state, code
+        return "".join(out)
 
     def finish(self) -> str:
-        held, self.held = self.held, b""
-        return held.decode("utf-8", "replace")
+        held, self.state = self.state != START, START
+        return "\ufffd" if held else ""
 
 
 class Codec:
     """Text to ids and back, one piece of the pattern at a time.
 
     Ids of a text are kept as their decimals, each followed by a space. Each distinct piece goes through the
-    transducer once while the table of pieces, which is of bounded size, has room. Where a text holds only
-    blanks, digits, signs but the apostrophe, and ASCII or two-byte Latin letters, and the pattern is
+    transducer once while the table of pieces, which is of bounded size, has room; a piece is found in it by
+    a hash and then compared byte for byte. Where a text holds only blanks, digits, signs but the apostrophe, and ASCII or two-byte Latin letters, and the pattern is
     the known one, pieces are cut and looked up all at once; any other text is cut by the pattern itself.
     """
 
@@ -285,11 +305,12 @@ class Codec:
         self.transducer = Transducer(self.ranks)
         self.bytes_of = {b"%d" % i: t for t, i in self.ranks.items()}
         self.plain = pattern == self.KNOWN
-        self.table, self.hash = PieceTable(bits), SpanHash()
+        self.table, self.known, self.hash = PieceTable(bits), Known(), SpanHash()
         self._forget()
 
     def _forget(self) -> None:
         self.table.clear()
+        self.known.clear()
         self.flat, self.ends, self.counts = bytearray(), array("q", [0]), array("i")
         self.seen: dict[str, bytes] = {}
 
@@ -325,6 +346,7 @@ class Codec:
 
     def _learn(self, pieces: list[bytes]) -> np.ndarray:
         at = len(self.counts)
+        self.known.add(pieces)
         for p in pieces:
             ids = self._ids(p)
             self.flat += ids
@@ -333,31 +355,38 @@ class Codec:
         return np.arange(at, len(self.counts), dtype=np.int32)
 
     def _some(self, texts: list[bytes]) -> Iterator[tuple[bytes, int]]:
-        raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        kind = classes(raw)
-        begin = self._cut(raw, kind)
+        raw = np.frombuffer(b"\0".join(texts) + b"\0" * 8, np.uint8)  # the last seven are to spare
+        kind = classes(raw[:-7])
+        begin = self._cut(raw[:-7], kind)
         real = raw[begin] != 0
-        start, end = begin[real], np.append(begin[1:], len(raw))[real]
+        start, end = begin[real], np.append(begin[1:], len(raw) - 7)[real]
         keys = self.hash(raw, start, end)
         short = end - start < self.LONG
         place = np.full(len(keys), -1, np.int32)
         place[short] = self.table.find(keys[short])
-        if (place < 0).any():
-            body = raw.tobytes()
-            for again in (False, True):
-                new = np.flatnonzero((place < 0) & short)
-                first = new[np.unique(keys[new], return_index=True)[1]]
-                if len(first) <= self.table.room() and len(self.counts) < 1 << (self.table.bits + 1):
-                    break
-                self._forget()
-                place[:] = -1
-                while again and len(first) > self.table.room():
-                    self.table.bits += 1
-                    self.table.clear()
-            self.table.add(keys[first], self._learn([body[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]))
+        body = raw.tobytes()
+
+        def learn(which: np.ndarray) -> np.ndarray:
+            return self._learn([body[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)])
+
+        for again in (False, True):
+            new = np.flatnonzero((place < 0) & short)
+            first = new[np.unique(keys[new], return_index=True)[1]]
+            if len(first) <= self.table.room() and len(self.counts) < 1 << (self.table.bits + 1):
+                break
+            self._forget()
+            place[:] = -1
+            while again and len(first) > self.table.room():
+                self.table.bits += 1
+                self.table.clear()
+        if len(first):
+            self.table.add(keys[first], learn(first))
             place[new] = self.table.find(keys[new])
-            rest = np.flatnonzero(~short)
-            place[rest] = self._learn([body[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)])
+        alike = np.zeros(len(keys), bool)
+        alike[short] = self.known.same(raw, start[short], end[short], place[short])
+        rest = np.flatnonzero(~alike)
+        if len(rest):
+            place[rest] = learn(rest)
         # views of the tables, not copies; none may be left when the tables grow again
         low, high = np.frombuffer(self.ends, np.int64)[place], np.frombuffer(self.ends, np.int64)[place + 1]
         n = high - low
@@ -367,7 +396,7 @@ class Codec:
         joined = np.frombuffer(self.flat, np.uint8)[at].tobytes() if len(at) else b""
         tokens = np.concatenate(([0], np.cumsum(np.frombuffer(self.counts, np.int32)[place], dtype=np.int64))) if len(place) else np.zeros(1, np.int64)
         del at, low, high, n
-        edges = np.searchsorted(start, np.concatenate(([0], np.flatnonzero(raw == 0) + 1)))
+        edges = np.searchsorted(start, np.concatenate(([0], np.flatnonzero(raw[:-7] == 0) + 1)))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             yield joined[before[a] : before[b]], int(tokens[b] - tokens[a])
 
@@ -418,10 +447,17 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def _new_column(df: DataFrame, name: str) -> str:
+    if free_name(df, name) != name:
+        raise ValueError(f"the input has a column {name} already: name another")
+    return name
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """The input with the token ids of each whole text as array<int> in ``out_col``. A null text counts as empty."""
+    """The input with the token ids of each whole text, however long, as array<int> in ``out_col``, which must be
+    a new column. A null text counts as empty; an empty table gives no rows; repeated rows repeat."""
     begin(docs.sparkSession)
-    schema = T.StructType([*docs.drop(out_col).schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(_new_column(docs, out_col), T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -429,13 +465,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             ids = pa.array([list(map(int, x.split())) for x, _ in c.encode_all(text_bytes(batch.column(text_col)))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out_col])
 
-    return docs.drop(out_col).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """The input with the text that the ids in ``ids_col`` stand for; null ids give an empty text."""
+    """The input with the text that the ids in ``ids_col`` stand for in ``out_col``, which must be a new column;
+    null ids give an empty text, an id outside the vocabulary is an error."""
     begin(rows.sparkSession)
-    schema = T.StructType([*rows.drop(out_col).schema.fields, T.StructField(out_col, T.StringType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(_new_column(rows, out_col), T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -443,14 +480,15 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
             back = pa.array([c.decode(x or ()) for x in batch.column(ids_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, back], [*batch.schema.names, out_col])
 
-    return rows.drop(out_col).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each whole text, decode the ids, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     A null text counts as empty: no ids, the digest of no bytes. One row per input row, so repeated rows
-    repeat; an empty table gives no rows; only the id and the text are read of the input's columns.
+    repeat; a text of any length is encoded whole and decoded as a stream; an empty table gives no rows; only
+    the id and the text are read of the input's columns, whatever the others' names.
     """
     begin(docs.sparkSession)
 

@@ -1,13 +1,14 @@
 """Helpers the training-data operators share: shared scratch tables, Arrow batches, code shipping.
 
 Everything written here goes to the folder named by ``spark.checkpoint.dir``, which the driver
-and every executor can see. Only where that setting is absent (tests, notebooks) is a local
-temporary folder used.
+and every executor can see. Only where that setting is absent and the master is local (tests, notebooks)
+is a temporary folder of the machine used; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,6 +33,8 @@ def shared_root(spark: SparkSession) -> str:
     if app not in _ROOTS:
         top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not top:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
             top = "file://" + tempfile.mkdtemp(prefix="fernbase-shared-")
         _ROOTS[app] = f"{top.rstrip('/')}/fernbase-{app}"
         atexit.register(_remove_quietly, spark, _ROOTS[app])
@@ -57,19 +60,39 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Bytes read for each file of a narrow table, and for each partition of texts in a shuffle.
+NARROW_BYTES, SHUFFLE_BYTES = 16 << 20, 64 << 20
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """The bytes that a frame's plan reads, as the planner estimates them for each leaf: of files all that they hold.
+    None if it cannot tell, as for rows that the driver sent."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else None
+
+
+def partitions_for(df: DataFrame, each: int = SHUFFLE_BYTES) -> int | None:
+    """As many partitions as the frame's bytes ask for; None where the session's number is as many."""
+    n = -(-(plan_bytes(df) or 0) // each)
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 class Written:
     """A table written to the shared folder: its rows survive lost executors, its lineage is cut.
 
-    ``narrow`` tables, a few numbers a row after a shuffle, go to an eighth as many files as there are
-    shuffle partitions: opening a file costs an executor more than its rows do.
+    ``narrow`` tables, a few numbers a row after a shuffle, go to as many files as the bytes read for them
+    ask for: opening a file costs an executor more than a few rows do.
     """
 
     def __init__(self, df: DataFrame, name: str, narrow: bool = False):
         self.spark = df.sparkSession
         self.path = fresh(self.spark, name)
         self.schema = df.schema
-        if narrow:
-            df = df.coalesce(max(12, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        if narrow and (read := plan_bytes(df)) is not None:
+            files = max(12, -(-read // NARROW_BYTES))
+            if files < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+                df = df.coalesce(files)
         df.write.parquet(self.path)
 
     @property
@@ -153,12 +176,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Plan nodes that give the same rows in the same places each time they run.
-_STEADY = ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation")
+#: Plan nodes that give the same rows in the same places each time they run, if their expressions do.
+_STEADY = ("Project", "Filter", "LogicalRelation", "LocalRelation")
 
 
 def repeatable(df: DataFrame) -> DataFrame:
-    """A frame whose rows keep their places when it runs again: itself if it only reads, else a written copy."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = [line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()]
-    return df if all(n in _STEADY for n in nodes) else Written(df, "input").df
+    """A frame whose rows keep their places when it runs again: itself if it only reads files and filters or
+    projects them by deterministic expressions of the JVM, else a written copy."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+
+    def steady(node: object) -> bool:
+        below = node.children()
+        return node.getClass().getSimpleName() in _STEADY and all(steady(below.apply(k)) for k in range(below.size()))
+
+    return df if plan.deterministic() and steady(plan) else Written(df, "input").df

@@ -1,15 +1,14 @@
-"""An FM-index over words: the Burrows-Wheeler transform of a shard in a wavelet matrix of packed bits.
+"""An FM-index over the words of a shard, and matching statistics of streamed texts by backward search.
 
-Rows are ordered by their first 64 symbols, which is all that backward search of shorter patterns needs.
-Searches advance in lock-step: one step extends many patterns by one symbol each.
+The text itself is kept only as its Burrows-Wheeler transform in a wavelet matrix of packed bits. Beside
+it lie, for shortening a match, the common prefix of each two neighbouring rows and the nearest rows with
+a shorter one. Many texts are streamed in lock-step: one step extends or shortens the match of each.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 64
-
 
 class Bits:
     """Packed bits with a count before each word of 64."""
@@ -44,84 +43,100 @@ class WaveletMatrix:
         return i
 
 
-def _names(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+def _later(names: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros_like(names)
+    if by < len(names):
+        out[: len(names) - by] = names[by:]
+    return out
+
+
+def _sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and the common prefix of each with the one before (-1 at both ends). The ends of
+    segments (0) count as different symbols, so no two suffixes are alike beyond one."""
+    n = len(text)
+    ends = text == 0
+    first = text + int(ends.sum())
+    first[ends] = np.arange(int(ends.sum()))
+    names = [np.unique(first, return_inverse=True)[1].astype(np.int64)]
+    while names[-1].max(initial=0) + 1 < n:
+        width = 1 << (len(names) - 1)
+        names.append(np.unique(names[-1] * (n + 1) + _later(names[-1], width), return_inverse=True)[1].astype(np.int64))
+    suffix = np.empty(n, np.int64)
+    suffix[names[-1]] = np.arange(n)
+    shared = np.full(n + 1, -1, np.int32)
+    a, b = suffix[:-1].copy(), suffix[1:].copy()
+    length = np.zeros(max(0, n - 1), np.int32)
+    for k in range(len(names) - 1, -1, -1):
+        inside = (a < n) & (b < n)
+        same = inside & (names[k][np.minimum(a, n - 1)] == names[k][np.minimum(b, n - 1)])
+        length[same] += 1 << k
+        a[same] += 1 << k
+        b[same] += 1 << k
+    shared[1:n] = length
+    return suffix, shared
+
+
+def _nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before and after it with a smaller value."""
+    held = values.tolist()
+    n = len(held)
+    before, after, stack = [0] * n, [n - 1] * n, [0]
+    for i in range(1, n):
+        v = held[i]
+        while held[stack[-1]] > v:
+            after[stack.pop()] = i
+        top = stack[-1]
+        before[i] = before[top] if held[top] == v else top
+        stack.append(i)
+    return np.array(before, np.int32), np.array(after, np.int32)
 
 
 class FMIndex:
-    """``text``: the symbols as numbers from 1, with 0 between segments. ``window`` at most 64.
-
-    ``floor[r]`` and ``ceil[r]`` enclose the rows that share window - 1 symbols with row r, which is where a
-    match goes when its last symbol is dropped.
-    """
-
-    def __init__(self, text: np.ndarray, window: int):
-        n = len(text)
-        self.text, self.window = text, window
-        names, at = {1: text.astype(np.int64)}, 1
-        while at < DEPTH:
-            names[2 * at] = _names(names[at] * (n + 1) + self._later(names[at], at))
-            at *= 2
-        suffix = np.argsort(names[DEPTH], kind="stable")
-        half = 1 << ((window - 1).bit_length() - 1)
-        edge, group = self._groups(names[half], suffix, half, window - 1)
-        self.floor, self.ceil = edge[group].astype(np.int32), edge[group + 1].astype(np.int32)
-        self.edge, self.group = self._groups(names[half], suffix, half, window)
-        self.row = np.empty(n, np.int32)
-        self.row[suffix] = np.arange(n, dtype=np.int32)
-        self.suffix = suffix
-        transformed = text[suffix - 1]
+    """``text``: symbols as numbers from 1, with a 0 after each segment, the last one included."""
+
+    def __init__(self, text: np.ndarray):
+        text = text.astype(np.int64)
+        self.n = len(text)
+        suffix, self.shared = _sorted_suffixes(text)
+        self.before, self.after = _nearest_smaller(self.shared)
         n_symbols = int(text.max(initial=0)) + 1
-        self.wavelet = WaveletMatrix(transformed, n_symbols)
+        self.wavelet = WaveletMatrix(text[suffix - 1], n_symbols)
         every = np.arange(n_symbols)
-        self.less = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols))))[:-1]
-        self.origin = self.less - self.wavelet.move(every, np.zeros(n_symbols, np.int64))
-
-    def _groups(self, names: np.ndarray, suffix: np.ndarray, half: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of the runs of rows that share ``length`` symbols (half to twice half), and each row's run."""
-        part = names * (len(names) + 1) + self._later(names, length - half)
-        edge = np.flatnonzero(np.concatenate(([True], part[suffix[1:]] != part[suffix[:-1]], [True])))
-        return edge, np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-
-    def least(self, value_of_row: np.ndarray) -> np.ndarray:
-        """For each row the smallest value among the rows that share ``window`` symbols with it."""
-        return np.minimum.reduceat(value_of_row, self.edge[:-1])[self.group]
-
-    @staticmethod
-    def _later(names: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros_like(names)
-        if by < len(names):
-            out[: len(names) - by] = names[by:]
-        return out
+        less = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols))))[:-1]
+        self.origin = less - self.wavelet.move(every, np.zeros(n_symbols, np.int64))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search: the rows of symbol + pattern, from those of the patterns."""
-        both = self.origin[np.concatenate([symbol, symbol])] + self.wavelet.move(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        """Backward search: the rows that begin with symbol + match, from those of the match; none if low = high."""
+        twice = np.concatenate([symbol, symbol])
+        both = self.origin[twice] + self.wavelet.move(twice, np.concatenate([low, high]))
         return both[: len(symbol)], both[len(symbol) :]
 
-    def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of matches of ``window`` symbols without their last symbol."""
-        return self.floor[low], self.ceil[high - 1]
-
-    def matches(self, first: np.ndarray, count: np.ndarray, chain: int = 32):
-        """Stream the windows that begin at first[k] .. first[k] + count[k] - 1 through the index from right to
-        left, all k at once. Yields (positions, low, high): the rows that begin with each window. A window's match
-        has the full length, as the streamed words are indexed too; longer ones are cut to the window."""
-        pieces = -(-count // chain)
-        owner = np.repeat(np.arange(len(first)), pieces)
-        ordinal = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = first[owner] + ordinal * chain
-        size = np.minimum(chain, count[owner] - ordinal * chain)
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        at = begin + size - 1
-        row = self.row[at + 1]
-        low, high = self.floor[row].astype(np.int64), self.ceil[row].astype(np.int64)
-        for step in range(int(size.max(initial=0))):
-            live = int(np.searchsorted(-size, -step, side="left"))
-            at, low, high = at[:live], low[:live], high[:live]
-            low, high = self.extend(self.text[at], low, high)
-            yield at, low, high
-            low, high = self.shorten(low, high)
-            low, high = low.astype(np.int64), high.astype(np.int64)
-            at = at - 1
+    def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next longer set of rows: those of the match without as many last symbols as all its rows share
+        no more; and the length that is left."""
+        at = np.where(self.shared[low] >= self.shared[high], low, high)
+        return self.before[at].astype(np.int64), self.after[at].astype(np.int64), np.maximum(self.shared[at], 0).astype(np.int64)
+
+    def statistics(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Matching statistics of the stretches begin[k] .. end[k] of ``text``, each streamed from right to left:
+        for each place the length of the longest match that begins there and ends in its stretch. Symbols that
+        the index lacks are 0."""
+        out = np.zeros(len(text), np.int64)
+        some = end > begin
+        begin, at = begin[some].astype(np.int64), end[some].astype(np.int64)
+        low, high, length = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64), np.zeros(len(at), np.int64)
+        while len(at):
+            symbol = text[at - 1]
+            new_low, new_high = self.extend(symbol, low, high)
+            grows = (new_high > new_low) & (symbol > 0)
+            stuck = ~grows & (length == 0)
+            shrinks = ~grows & ~stuck
+            low, high, length = np.where(grows, new_low, low), np.where(grows, new_high, high), length + grows
+            if shrinks.any():
+                low[shrinks], high[shrinks], length[shrinks] = self.shorten(low[shrinks], high[shrinks])
+            at = at - (grows | stuck)
+            out[at[grows]] = length[grows]
+            live = at > begin
+            if not live.all():
+                begin, at, low, high, length = begin[live], at[live], low[live], high[live], length[live]
+        return out

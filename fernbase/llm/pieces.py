@@ -1,4 +1,7 @@
-"""Many short pieces of text at once: byte classes, hashes of spans, a table from hashes to places."""
+"""Many short pieces of text at once: byte classes, hashes of spans, a table from hashes to places.
+
+Hashes only say where to look: whoever takes a place from the table compares the bytes (:class:`Known`).
+"""
 
 from __future__ import annotations
 
@@ -57,8 +60,54 @@ class SpanHash:
         return keys
 
 
+def _octets(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte, as one number; ``raw`` has seven bytes to spare."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))
+
+
+class Known:
+    """The bytes of pieces, by place, and exact comparison of many spans with them, eight bytes at a time."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.raw, self.begin, self.n = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, pieces: list[bytes]) -> None:
+        """The pieces get the next places."""
+        at = int(self.begin[self.n])
+        ends = at + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        end = int(ends[-1]) if len(ends) else at
+        while len(self.raw) < end + 8:
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        while len(self.begin) <= self.n + len(pieces):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.raw[at:end] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.begin[self.n + 1 : self.n + 1 + len(pieces)] = ends
+        self.n += len(pieces)
+
+    def same(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each span of ``raw`` (seven bytes to spare at its end) is the piece at its place."""
+        at, size = self.begin[place], end - start
+        equal = self.begin[place + 1] - at == size
+        here, there = _octets(raw), _octets(self.raw)
+        rest = np.flatnonzero(equal)
+        done = 0
+        while len(rest):
+            left = size[rest] - done
+            differ = here[start[rest] + done] ^ there[at[rest] + done]
+            short = left < 8
+            differ[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+            wrong = differ != 0
+            equal[rest[wrong]] = False
+            rest = rest[~wrong & (left > 8)]
+            done += 8
+        return equal
+
+
 class PieceTable:
-    """From 64-bit hashes to places, by open addressing, many at a time."""
+    """From 64-bit hashes to places, by open addressing, many at a time. Two pieces may share a hash."""
 
     def __init__(self, bits: int = 21):
         self.bits = bits

@@ -31,24 +31,24 @@ MARKS = "file string, block long, n long, at long, gap long"
 def write_flat_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> Written:
     """Write each partition's documents to one flat file of 16-bit ids, in the order of its rows.
 
-    Nothing is shuffled. A file appears under its name only when complete, so a task that is run again
-    replaces it by the same bytes. Returns the written table (file, ordinal, doc_id). A null text is
-    written as the end id alone.
+    Nothing is shuffled. Texts are nothing but text here: the string of a special token in one is encoded
+    like any other, so that no id inside a document is the separator. Each attempt of a task writes a file
+    of its own name; those of attempts that Spark did not keep are deleted at the end. Returns the written
+    table (file, ordinal, doc_id). A null text is written as the end id alone.
     """
     begin(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, plain_text=True)
         if len(enc.final) > 1 << 16:
             raise ValueError("the vocabulary does not fit 16 bits")
         fs, base = pa.fs.FileSystem.from_uri(folder)
-        part = f"part-{TaskContext.get().partitionId():06d}.bin"
-        hidden = f"{base}/_{part}.{uuid.uuid4().hex}"
+        part = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         ordinal, stream = 0, None
         for batch in sub_batches(batches, "text"):
             if stream is None:
                 fs.create_dir(base, recursive=True)
-                stream = fs.open_output_stream(hidden)
+                stream = fs.open_output_stream(f"{base}/{part}")
             ids, offsets = with_end(*enc.encode(text_bytes(batch.column("text"))), end_id)
             stream.write(ids.astype("<u2").tobytes())
             n = len(offsets) - 1
@@ -56,10 +56,21 @@ def write_flat_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             ordinal += n
         if stream is not None:
             stream.close()
-            fs.move(hidden, f"{base}/{part}")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return Written(rows.mapInArrow(run, "file string, ordinal long, doc_id long"), "flat-ids")
+    written = Written(rows.mapInArrow(run, "file string, ordinal long, doc_id long"), "flat-ids")
+    kept = {r["file"] for r in written.df.select("file").distinct().collect()}  # one name a partition
+    fs, base = pa.fs.FileSystem.from_uri(folder)
+    for name in _files(fs, base):
+        if name not in kept:
+            fs.delete_file(f"{base}/{name}")
+    return written
+
+
+def _files(fs: pa.fs.FileSystem, base: str) -> dict[str, int]:
+    """The names and sizes of a folder's files."""
+    found = fs.get_file_info(pa.fs.FileSelector(base, allow_not_found=True))
+    return {f.base_name: f.size for f in found if f.is_file and not f.base_name.startswith(("_", "."))}
 
 
 def scan_blocks(spark: SparkSession, folder: str, end_id: int, width: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
@@ -67,8 +78,7 @@ def scan_blocks(spark: SparkSession, folder: str, end_id: int, width: int = 2, b
     in ids, and the ids since the block's previous separator (null for a block's first); and a row with a
     null ``n`` for each file's end."""
     fs, base = pa.fs.FileSystem.from_uri(folder)
-    found = fs.get_file_info(pa.fs.FileSelector(base, allow_not_found=True))
-    files = [(f.base_name, f.size) for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
+    files = list(_files(fs, base).items())
     begin(spark, 1 << 14)
     step = block_bytes // width * width
     listed = spark.createDataFrame(files, "file string, size long")
@@ -131,7 +141,8 @@ def document_token_counts(docs: DataFrame, tokenizer_path: str, end_id: int) ->
     """Write the documents to flat files in the shared folder, and count their tokens by scanning these.
 
     One row per input row: doc_id, n_tokens (without the end id), file, start. Null texts have no tokens,
-    repeated rows repeat, an empty table gives no rows; columns other than id and text are not read.
+    repeated rows repeat, texts of any length are written whole, an empty table gives no rows; columns other
+    than id and text are not read, whatever their names. Strings of special tokens count as ordinary text.
     """
     spark = docs.sparkSession
     folder = fresh(spark, "tokens-flat")

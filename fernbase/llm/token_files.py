@@ -1,6 +1,6 @@
 """Token ids in ORC files, and the encoder that fills them.
 
-The files hold (doc_id, ids) in ascending order of doc_id: file i holds smaller ids than file i + 1,
+The files hold (doc_id, ids, tie) in ascending order of doc_id: file i holds smaller ids than file i + 1,
 and rows are sorted inside each file. ORC run-length encodes the integers, keeps minimum and maximum
 of doc_id for every row group and stripe, and a Bloom filter on doc_id, so that readers prune stripes by
 metadata and read the rest stripe by stripe in parallel.
@@ -8,6 +8,7 @@ metadata and read the rest stripe by stripe in parallel.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import begin, fresh, sub_batches, text_bytes
-from .pieces import DIGIT, LOWER, ODD, SPACE, PieceTable, SpanHash, classes
+from .common import begin, fresh, partitions_for, sub_batches, text_bytes
+from .pieces import DIGIT, LOWER, ODD, SPACE, Known, PieceTable, SpanHash, classes
 
-_ENCODERS: dict[str, "ChunkEncoder"] = {}
+_ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
@@ -28,30 +29,39 @@ class ChunkEncoder:
 
     Where white space is dropped, no token, normalisation or pre-token spans an ASCII blank. Text is cut
     at blanks, and where only ASCII and two-byte Latin letters occur also between letters, digits and
-    signs, as the vocabulary's pattern does; a chunk with any other character stays whole. New pieces are
-    encoded by the library, known ones are found by a 64-bit hash in a table of bounded size, which is
-    emptied when full: that costs time and changes no result. Pieces of 100 bytes or more are never kept.
-    Strings of special tokens count as ordinary text.
+    signs, as the vocabulary's pattern does; a chunk with any other character, or with the string of an
+    added token, stays whole. New pieces are encoded by the library. Known ones are found by a 64-bit hash
+    in a table of bounded size and then compared byte for byte: a piece that shares another's hash goes to
+    the library each time. The table is emptied when full: that costs time and changes no result. Pieces
+    of 100 bytes or more are never kept.
+
+    As in the library, the string of a special token in a text gives that token's id, unless ``plain_text``
+    says that texts are nothing but text: then it is encoded like any other string.
     """
 
     LONG = 100
 
-    def __init__(self, path: str, bits: int = 21, most_bytes: int = 4 << 20):
+    def __init__(self, path: str, bits: int = 21, most_bytes: int = 4 << 20, plain_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_text
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        if any(t.lstrip or t.rstrip or t.normalized or len(t.content.split()) != 1 for t in added):
+            raise ValueError("an added token that reaches over blanks, or is looked for in normalised text, does not fit cutting at blanks")
+        self.added = [t.content.encode() for t in added if not (plain_text and t.special)]
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.final[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.most_bytes = most_bytes
-        self.table = PieceTable(bits)
+        self.table, self.known = PieceTable(bits), Known()
         self.hash = SpanHash()
         self._forget()
 
     def _forget(self) -> None:
         self.table.clear()
+        self.known.clear()
         self.flat, self.ends = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
         self.n_pieces = 0
 
@@ -78,9 +88,10 @@ class ChunkEncoder:
                 ids[k] = got
         return ids
 
-    def _keep(self, ids: list[list[int]]) -> np.ndarray:
-        """Append the ids; the places of the pieces."""
+    def _keep(self, pieces: list[bytes], ids: list[list[int]]) -> np.ndarray:
+        """Append pieces and their ids; the places of the pieces."""
         n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.add(pieces)
         at = int(self.ends[self.n_pieces])
         ends = at + np.cumsum(n)
         while len(self.flat) < ends[-1]:
@@ -95,7 +106,7 @@ class ChunkEncoder:
 
     def _some(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a buffer, and the byte at which the piece of each begins."""
-        given = np.frombuffer(data + b" ", np.uint8)
+        given = np.frombuffer(data + b" " * 8, np.uint8)
         raw = LOWER[given]
         kind = classes(raw, fold=True)
         filled = kind != SPACE
@@ -105,6 +116,8 @@ class ChunkEncoder:
         if not len(chunk):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         odd = np.flatnonzero(np.maximum.reduceat(kind, chunk) == ODD)
+        if marked := self._with_added(data):
+            odd = np.union1d(odd, np.searchsorted(chunk, marked, "right") - 1)
         if len(odd):
             stop = np.flatnonzero(filled & np.concatenate((~filled[1:], [True]))) + 1
             mark = np.zeros(len(kind) + 1, np.int32)
@@ -117,39 +130,50 @@ class ChunkEncoder:
         over = filled.copy()
         over[:-1] &= begins[1:] | ~filled[1:]
         start, end = np.flatnonzero(begins), np.flatnonzero(over) + 1
+        place = self._places(raw, kind, start, end)
+        low, n = self.ends[place], self.ends[place + 1] - self.ends[place]
+        before = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(low - before[:-1], n) + np.arange(before[-1])]
+        return ids, np.repeat(start, n)
+
+    def _with_added(self, data: bytes) -> list[int]:
+        """Where the strings of added tokens begin."""
+        return sorted(m.start() for t in self.added if t in data for m in re.finditer(re.escape(t), data))
+
+    def _places(self, raw: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each span's piece; new pieces are learnt."""
         keys = self.hash(raw, start, end)
         short = end - start < self.LONG
         place = np.full(len(keys), -1, np.int32)
         place[short] = self.table.find(keys[short])
-        if (place < 0).any():
-            body = raw.tobytes()
+        body = raw.tobytes() if (place < 0).any() else b""
 
-            def learn(which: np.ndarray) -> None:
-                cut = [body[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
-                places = self._keep(self._encode_pieces(cut, (kind[start[which]] != ODD).tolist()))
-                kept = short[which]
-                self.table.add(keys[which][kept], places[kept])
-                place[which] = places
+        def learn(which: np.ndarray) -> np.ndarray:
+            cut = [body[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
+            return self._keep(cut, self._encode_pieces(cut, (kind[start[which]] != ODD).tolist()))
 
+        for again in (False, True):
             new = np.flatnonzero((place < 0) & short)
             first = new[np.unique(keys[new], return_index=True)[1]]
-            if len(first) > self.table.room() or self.n_pieces > 1 << (self.table.bits + 1):
-                self._forget()
-                place[:] = -1
-                new = np.flatnonzero(short)
-                first = new[np.unique(keys[new], return_index=True)[1]]
-                while len(first) > self.table.room():
-                    self.table.bits += 1
-                    self.table.clear()
-            if len(first):
-                learn(first)
-                place[new] = self.table.find(keys[new])
-            if not short.all():
-                learn(np.flatnonzero(~short))
-        low, n = self.ends[place], self.ends[place + 1] - self.ends[place]
-        before = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(low - before[:-1], n) + np.arange(before[-1])]
-        return ids, np.repeat(start, n)
+            if len(first) <= self.table.room() and self.n_pieces <= 1 << (self.table.bits + 1):
+                break
+            self._forget()
+            body = body or raw.tobytes()
+            place[:] = -1
+            while again and len(first) > self.table.room():
+                self.table.bits += 1
+                self.table.clear()
+        if len(first):
+            self.table.add(keys[first], learn(first))
+            place[new] = self.table.find(keys[new])
+        # a hash says where to look, the bytes decide
+        alike = np.zeros(len(keys), bool)
+        alike[short] = self.known.same(raw, start[short], end[short], place[short])
+        rest = np.flatnonzero(~alike)
+        if len(rest):
+            body = body or raw.tobytes()
+            place[rest] = learn(rest)
+        return place
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -181,11 +205,11 @@ class ChunkEncoder:
             yield at, b" ".join(held), np.cumsum([0, *(len(t) + 1 for t in held[:-1])]).tolist()
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, plain_text: bool = False) -> ChunkEncoder:
     """One encoder a worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    if (path, plain_text) not in _ENCODERS:
+        _ENCODERS[path, plain_text] = ChunkEncoder(path, plain_text=plain_text)
+    return _ENCODERS[path, plain_text]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,31 +223,35 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, offsets
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the token ids of each whole text with end_id appended, in the order of the rows."""
+#: doc_id, its ids with the end id, and a hash of the text that orders rows with one id.
+SCHEMA = "doc_id long, ids array<int>, tie long"
+
+
+def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", row_index_stride: int = 1000) -> None:
+    """Write (doc_id, ids, tie) of every document to ORC files in ascending order of doc_id, null ids first.
+
+    Texts, not ids, travel in the shuffle, as they are the smaller; the ranges' number follows from the
+    input's bytes. Rows that repeat with one id are in the order of ``tie``, a hash of the text, so that an
+    id (or no id) that many rows share is spread over several files. A null text counts as empty and gives
+    the end id alone; texts of any length are encoded whole, in parts of bounded size; an empty table gives
+    no rows; columns other than id and text are not read, whatever their names.
+    """
+    begin(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    parts = partitions_for(docs)
+    ordered = rows.repartitionByRange(parts, "doc_id", "tie") if parts else rows.repartitionByRange("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in sub_batches(batches, "text", 2 << 20):
             ids, offsets = with_end(*enc.encode(text_bytes(batch.column("text"))), end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
-
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, batch.column("tie")], ["doc_id", "ids", "tie"])
 
-def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", row_index_stride: int = 1000) -> None:
-    """Write the ids of every document to ORC files in ascending order of doc_id (null ids first).
-
-    Texts, not ids, travel in the shuffle, as they are the smaller. A null text counts as empty and
-    gives the end id alone; an empty table gives no rows; repeated ids give a row each.
-    """
-    begin(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     (
-        encode_documents(ordered, tokenizer_path, end_id)
+        ordered.sortWithinPartitions("doc_id", "tie")
+        .mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -232,12 +260,19 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     )
 
 
+def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the named documents. The ids reach the reader: stripes and row groups whose range or
+    whose Bloom filter excludes them are not read."""
+    return spark.read.schema(SCHEMA).orc(path).where(F.col("doc_id").isin([int(i) for i in doc_ids])).select("doc_id", "ids")
+
+
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files.
 
     Each stripe is read on its own. ``start`` is a prefix scan: totals per file, scanned over the files in
-    their order, plus a running sum inside each file. Rows with the same id are ordered by length and
-    checksum. ids_crc32 is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers.
+    their order, plus a running sum inside each file. ids_crc32 is the unsigned CRC-32 of the ids as
+    little-endian unsigned 32-bit integers. A file holds a bounded share of the input, so neither scan
+    meets more than a file's rows or one row a file.
     """
     begin(spark)
 
@@ -247,12 +282,13 @@ def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
             offsets = lists.offsets.to_numpy()
             ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
+            n = pa.array(np.diff(offsets).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), batch.column("file"), n, pa.array(crc, pa.int64())], ["doc_id", "tie", "file", "n_tokens", "ids_crc32"])
 
     file_no = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
-    rows = spark.read.schema("doc_id long, ids array<int>").orc(path).select("doc_id", "ids", file_no.alias("file"))
-    rows = rows.mapInArrow(run, "doc_id long, file long, n_tokens long, ids_crc32 long")
-    inside = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    rows = spark.read.schema(SCHEMA).orc(path).select("doc_id", "ids", "tie", file_no.alias("file"))
+    rows = rows.mapInArrow(run, "doc_id long, tie long, file long, n_tokens long, ids_crc32 long")
+    inside = Window.partitionBy("file").orderBy("doc_id", "tie", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     across = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))

@@ -25,7 +25,7 @@ from fernbase.llm.simhash import near_duplicates, near_pairs, one_of_each_group
 from fernbase.llm import substring_dedup
 from fernbase.llm.substring_dedup import remove_repeats
 from fernbase.llm.token_counts import count_tokens, document_token_counts
-from fernbase.llm.token_files import ChunkEncoder, read_token_orc, token_files, write_token_orc
+from fernbase.llm.token_files import ChunkEncoder, find_documents, read_token_orc, token_files, write_token_orc
 from fernbase.llm.toxicity import FEATURES, STYLES, Lexicon, toxicity_scores
 
 SF = "/root/testdata/sf0.001"
@@ -160,26 +160,83 @@ def test_substring_dedup(docs, rows, none, hot, monkeypatch):
     assert remove_repeats(none).count() == 0
 
 
-def test_fm_index_search():
-    rng = np.random.default_rng(2)
-    symbols = np.append(rng.integers(1, 4, 300), 0)
-    index = FMIndex(symbols, 5)
-    n = 296
-    for at, low, high in index.matches(np.array([0]), np.array([n])):
-        for p, a, b in zip(at, low, high):
-            here = sorted(index.suffix[a:b].tolist())
-            assert here == [k for k in range(n) if (symbols[k : k + 5] == symbols[p : p + 5]).all()]
+#: Two words that a polynomial hash modulo 2**64 gives one value, whatever its base.
+ALIKE = ("sgrsmtdbrzvumtgorzvumtgosgrsmtdbrzvumtgosgrsmtdbsgrsmtdbrzvumtgo", "rzvumtgosgrsmtdbsgrsmtdbrzvumtgosgrsmtdbrzvumtgorzvumtgosgrsmtdb")
+
 
+def test_words_decide_not_their_hashes(spark):
+    """Sequences whose polynomial hashes are equal, and no two windows of which are."""
+    signs = [bin(i).count("1") % 2 for i in range(64)]
+    pairs = [("8d7f6b0d", "f845e4d0"), ALIKE]
+    rows = [(10 * k + j, " ".join(p[t ^ j] for t in signs)) for k, p in enumerate(pairs) for j in (0, 1)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and {(r.n_words, r.n_removed) for r in got} == {(64, 0)}
 
-def test_long_words_and_stretches(monkeypatch):
+
+def matching(segments, query):
+    """Matching statistics by trying every length."""
+    out = []
+    for i in range(len(query)):
+        n = 0
+        while i + n < len(query) and any(query[i : i + n + 1] == s[k : k + n + 1] for s in segments for k in range(len(s) - n)):
+            n += 1
+        out.append(n)
+    return out
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        segments = [rng.integers(1, 4, rng.integers(1, 30)).tolist() for _ in range(rng.integers(1, 6))]
+        text = np.array([x for s in segments for x in (*s, 0)])
+        query = rng.integers(0, 4, 60)
+        query[query > text.max()] = 0
+        got = FMIndex(text).statistics(query, np.array([0, 20]), np.array([20, 60])).tolist()
+        assert got == matching(segments, query[:20].tolist()) + matching(segments, query[20:].tolist())
+
+
+def shard(rng, window):
+    words = [" ".join(rng.choice("abcabcabcx") for _ in range(rng.randrange(window, 25))).encode() for _ in range(rng.randrange(1, 12))]
+    return words, np.array([rng.randrange(3) for _ in words]), np.array([rng.randrange(5) for _ in words])
+
+
+def test_shard_search(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(200):
+        window = rng.choice([2, 3, 5])
+        monkeypatch.setattr(substring_dedup, "CHAIN", rng.choice([1, 2, 128]))
+        words, anchor, owner = shard(rng, window)
+        cut = [{tuple(w.split()[k : k + window]) for k in range(len(w.split()) - window + 1)} for w in words]
+        for j, found in enumerate(substring_dedup.search_shard(words, anchor, owner, window)):
+            before = set().union(*(cut[i] for i in range(len(words)) if anchor[i] == anchor[j] and owner[i] < owner[j]))
+            mine = words[j].split()
+            assert found.tolist() == [k for k in range(len(mine) - window + 1) if tuple(mine[k : k + window]) in before]
+
+
+def test_nothing_is_found_without_backward_search(monkeypatch):
+    words = [b" ".join([b"a", b"b", b"c", b"d"] * 20)] * 2
+    find = lambda: substring_dedup.search_shard(words, np.zeros(2), np.arange(2), 50)[1]
+    assert len(find()) == 31
+    monkeypatch.setattr(FMIndex, "extend", lambda self, symbol, low, high: (low, low))
+    assert len(find()) == 0
+
+
+def test_segments_of_long_texts(monkeypatch):
     monkeypatch.setattr(substring_dedup, "STRETCH", 100)
+    monkeypatch.setattr(substring_dedup, "MOST_WINDOWS", 30)
     rng = random.Random(3)
-    words = substring_dedup.word_hashes(text(rng, 700).encode())
-    start, count, anchor, _ = substring_dedup.segments(words, 50)
-    assert sorted(k for s, c in zip(start, count) for k in range(s, s + c)) == list(range(651))
-    long = ("y" * 70 + " ") * 3 + "z" * (1 << 20) + " end"
-    assert len(substring_dedup.word_hashes(long.encode())) == 5
-    assert substring_dedup.word_hashes(b"").size == 0
+    for source in (text(rng, 700), "ab " * 700):
+        squeezed = substring_dedup.squeezed(source.encode())
+        hashes = substring_dedup.word_hashes(squeezed, *substring_dedup.word_edges(squeezed))
+        for gram in (8, 16, 50):
+            start, count, _ = substring_dedup.segments(hashes, 50, gram)
+            assert sorted(k for s, c in zip(start, count) for k in range(s, s + c)) == list(range(651)) and count.max() <= 30
+    long = ("y" * 70 + " \t ") * 3 + "z" * (1 << 20) + " end\n"
+    squeezed = substring_dedup.squeezed(long.encode())
+    assert squeezed == b" ".join(long.encode().split())
+    low, high = substring_dedup.word_edges(squeezed)
+    assert [squeezed[a:b] for a, b in zip(low, high)] == long.encode().split() and len(substring_dedup.word_hashes(squeezed, low, high)) == 5
+    assert [len(x) for x in substring_dedup.word_edges(b"")] == [0, 0]
 
 
 NORMAL = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -254,6 +311,9 @@ def test_byte_bpe(docs, rows, none, reference):
     got = [(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in round_trip(docs, RANKS, P.PATTERN).collect()]
     assert sorted(got) == sorted(want)
     assert round_trip(none, RANKS, P.PATTERN).count() == 0
+    for clash in ("text", "N", "score"):
+        with pytest.raises(ValueError, match="already"):
+            encode(docs, RANKS, P.PATTERN, out_col=clash)
     back = decode(encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN, out_col="back").select("text", "back").collect()
     assert all((r.text or "") == r.back for r in back)
 
@@ -267,6 +327,32 @@ def test_transducer_is_exact(reference):
         assert [ranks[t] for t in transducer.tokens(piece)] == reference._core_bpe.encode_single_piece(piece)
 
 
+def test_arcs_read_whole_texts(spark, reference):
+    """Every byte of a piece that is no token goes through an arc; on running text most arcs are there already, and
+    most bytes leave before their piece has ended."""
+    ranks = read_ranks(RANKS)
+    transducer = Transducer(ranks)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    pieces = {p.encode() for t in texts for p in reference_split(t)}
+    for p in pieces:
+        assert b"".join(transducer.tokens(p)) == p
+    new = sum(len(p) for p in pieces if p not in ranks)
+    assert transducer.read == new and transducer.made < 0.3 * new and transducer.early > 0.5 * new
+
+
+def reference_split(text):
+    import regex
+
+    return regex.findall(P.PATTERN, text)
+
+
+def test_words_that_share_a_hash(tokenizer, reference):
+    codec, encoder = Codec(RANKS, P.PATTERN), ChunkEncoder(P.path("word_bpe_49k.json"))
+    for word in (*ALIKE, *ALIKE, " ".join(ALIKE)):
+        assert codec.encode(word) == reference.encode_ordinary(word)
+        assert encoder.encode([word.encode()])[0].tolist() == tokenizer.encode(word, add_special_tokens=False).ids
+
+
 def test_codec_tables_may_be_small(reference):
     codec, rng = Codec(RANKS, P.PATTERN, bits=6), random.Random(1)
     texts = ["".join(rng.choice("abAB  \n\t..,12é'sl É× 漢") for _ in range(rng.randrange(80))) for _ in range(400)]
@@ -296,9 +382,10 @@ def tokenizer():
 
 def test_token_files(spark, docs, rows, none, tokenizer, tmp_path):
     want, start = [], 0
-    coded = [(i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
+    coded = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for _, t in rows]
     crc = lambda ids: binascii.crc32(np.array(ids, "<u4").tobytes())
-    for i, ids in sorted(coded, key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), crc(x[1]))):
+    tie = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    for (i, t), ids in sorted(zip(rows, coded), key=lambda x: (x[0][0] is not None, x[0][0] or 0, tie(x[0][1]))):
         want.append((str(i), start, len(ids), crc(ids)))
         start += len(ids)
     path = f"file://{tmp_path}/orc"
@@ -306,8 +393,41 @@ def test_token_files(spark, docs, rows, none, tokenizer, tmp_path):
     got = [(str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in read_token_orc(spark, path).collect()]
     assert sorted(got) == sorted(want)
     assert token_files(none, P.path("word_bpe_49k.json"), 2).count() == 0
-    plan = spark.read.orc(path).where("doc_id = 5")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan
+    found = {r.doc_id: r.ids for r in find_documents(spark, path, [5, 300, 999]).collect()}
+    assert found == {i: ids for (i, _), ids in zip(rows, coded) if i in (5, 300)}
+
+
+def rows_read(df):
+    """Rows that the scan of a frame gives to its filter."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_token_files_are_pruned_by_metadata(spark, tmp_path):
+    """Even ids in files with a row index every 1000 rows: ranges exclude all row groups but one, and for an odd id
+    inside a range the Bloom filter excludes that one too."""
+    path, n = f"file://{tmp_path}/orc", 20_000
+    docs = spark.range(0, 2 * n, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"))
+    write_token_orc(docs, path, P.path("word_bpe_49k.json"), 2)
+    assert rows_read(spark.read.orc(path)) == n
+    assert find_documents(spark, path, [4242]).count() == 1
+    assert 0 < rows_read(find_documents(spark, path, [4242])) <= 1000
+    assert rows_read(find_documents(spark, path, [-1, 10**9])) == 0
+    assert sum(rows_read(find_documents(spark, path, [k])) > 0 for k in range(4001, 4101, 2)) <= 5
+
+
+def test_an_id_that_many_rows_share_is_spread(spark, tmp_path):
+    path = f"file://{tmp_path}/orc"
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put so few rows in one file
+    write_token_orc(docs, path, P.path("word_bpe_49k.json"), 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.orc(path).where("doc_id IS NULL").select("_metadata.file_name").distinct().count()
+    assert files > 1
+    got = sorted((r.start, r.n_tokens) for r in read_token_orc(spark, path).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(got, got[1:])) and len(got) == 3000
 
 
 def test_chunk_encoder_is_the_library(tokenizer):
@@ -319,10 +439,21 @@ def test_chunk_encoder_is_the_library(tokenizer):
         ids, counts = encoder.encode([t.encode() for t in texts])
         at = 0
         for t, n in zip(texts, counts):
-            assert ids[at : at + n].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+            assert ids[at : at + n].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
             at += n
 
 
+def test_strings_of_special_tokens(tokenizer):
+    texts = ["a <|endoftext|> b", "x<|startoftext|>Y É<|endoftext|>é", "<|ENDOFTEXT|> <|endoftext|><|endoftext|>", "<|endoftext", "<|endoftext|>"]
+    encoder, plain = (ChunkEncoder(P.path("word_bpe_49k.json"), plain_text=p) for p in (False, True))
+    for t in texts:
+        assert encoder.encode([t.encode()])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        tokenizer.encode_special_tokens = True
+        assert plain.encode([t.encode()])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        tokenizer.encode_special_tokens = False
+    assert encoder.encode([b"a <|endoftext|> b"])[0].tolist() == [320, 49407, 321]
+
+
 def test_token_counts(docs, rows, none, tokenizer):
     got = sorted((str(r.doc_id), r.n_tokens) for r in document_token_counts(docs, P.path("word_bpe_49k.json"), 49407).collect())
     assert got == sorted((str(i), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
