@@ -16,6 +16,24 @@ def numbered(name: str) -> str:
     return f"{found[1]} ({int(found[2]) + 1}){extension}" if found else f"{stem} (1){extension}"
 
 
+#: A numbered name as :func:`numbered` writes it: stem, number, extension.
+NUMBERED = r"^(.*) \(([1-9][0-9]{0,17})\)(\.[^.]*)?$"
+#: The extension of a name; a leading dot begins none.
+EXTENSION = r"(?<=.)(\.[^.]*)$"
+
+
+def joined(stem: str, extension: str, number: int) -> str:
+    return f"{stem} ({number}){extension}"
+
+
+def split(name: str) -> tuple[str, str, int]:
+    """Stem, extension and number of a numbered name."""
+    dot = name.rfind(".")
+    base, extension = (name[:dot], name[dot:]) if dot > 0 else (name, "")
+    found = _NUMBERED.fullmatch(base)
+    return found[1], extension, int(found[2])
+
+
 def unique_names(wanted: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
     """The names, numbered up until none is taken by a sibling or an earlier one."""
     used, out = set(taken), []

@@ -1,8 +1,13 @@
 """Directory trees: nodes that name their parent, with counts and sizes rolled up to every directory.
 
 A tree is a frame with ``id, parentId, name, isDir, index, size, modif`` and the managed columns ``cmodif,
-childLastIndex, csize, ctotal, cftotal``; ``/`` is the parent of the top nodes. Requests (ids, new nodes) are
-lists of what a caller names; everything that the tree answers with stays a frame.
+childLastIndex, csize, ctotal, cftotal``; ``/`` is the parent of the top nodes.
+
+Requests (ids, new nodes, places) are lists of what a caller names. The driver gathers no more than these
+lists' rows: the named nodes, the directories above them, one conflict for each, the last key of each named
+directory. Children, siblings and subtrees stay frames. Verbs expect managed columns that are right, as they
+leave them: a change is added along the directories above it. Merges, restored subtrees and :func:`set_nodes`
+work all roll-ups out anew.
 """
 
 from __future__ import annotations
@@ -17,9 +22,9 @@ from pyspark.sql import types as T
 
 from ..errors import QueryError
 from ..functions import order_keys
-from ..functions.names import unique_names
+from ..functions import names as file_names
 from ..plans import filters
-from ..sources.scratch import settled
+from ..sources.scratch import release, settled
 from . import find, writes
 
 ROOT = "/"
@@ -74,26 +79,37 @@ def list_nodes(tree: DataFrame, parent_id: str, *, only_types: list[str] | None
     return find.find_many(live(tree), {"$and": parts}, sort=sort or ["index", "id"], **options)
 
 
-def descendants(tree: DataFrame, roots: list[str], include_self: bool = False) -> DataFrame:
-    """All nodes below the roots that exist, level by level; a node that was met is not met again, so a cycle
-    ends. Each level is one join of the children with the level above."""
-    spark = tree.sparkSession
+def _ids(values: list[str] | DataFrame, spark: Any) -> DataFrame:
+    return values.select("id").distinct() if isinstance(values, DataFrame) else _one("id", values, spark)
+
+
+def descendants(tree: DataFrame, roots: list[str] | DataFrame, include_self: bool = False) -> DataFrame:
+    """All nodes below the roots that exist; a node that was met is not met again, so a cycle ends. Two levels are
+    one job: the children of the last level, and theirs."""
     links = tree.select("id", "parentId")
-    start = settled(_one("id", roots, spark).join(links.select("id"), "id", "left_semi"))
-    seen, level = start, start
+    start = settled(_ids(roots, tree.sparkSession).join(links.select("id"), "id", "left_semi").withColumn("last", F.lit(True)))
+    seen = [start]
     while True:
-        below = links.join(level.select(F.col("id").alias("parentId")), "parentId", "left_semi").select("id")
-        level = settled(below.join(seen, "id", "left_anti").distinct())
-        if level.isEmpty():
+        above = seen[-1].where("last").select(F.col("id").alias("parentId"))
+        met = seen[0].select("id")
+        for s in seen[1:]:
+            met = met.unionByName(s.select("id"))
+        one = links.join(above, "parentId", "left_semi").select("id")
+        two = links.join(one.select(F.col("id").alias("parentId")), "parentId", "left_semi").select("id")
+        both = one.withColumn("last", F.lit(False)).unionByName(two.withColumn("last", F.lit(True)))
+        level = settled(both.groupBy("id").agg(F.max("last").alias("last")).join(met, "id", "left_anti"))
+        seen.append(level)
+        if level.where("last").isEmpty():
             break
-        seen = settled(seen.unionByName(level))
-    wanted = seen if include_self else seen.join(start, "id", "left_anti")
+    wanted = seen[0].select("id") if include_self else seen[0].select("id").limit(0)
+    for s in seen[1:]:
+        wanted = wanted.unionByName(s.select("id"))
     return tree.join(wanted, "id", "left_semi")
 
 
 def closure(tree: DataFrame) -> DataFrame:
     """(id, ancestor, distance) of every node and each directory above it, by doubling: the rounds grow with the
-    logarithm of the depth. A cycle is an error."""
+    logarithm of the depth, the rows with nodes times depth. A cycle is an error."""
     pairs = settled(tree.where(F.col("parentId").isNotNull()).select("id", F.col("parentId").alias("ancestor"), F.lit(1).alias("distance")))
     reach = 1
     while True:
@@ -107,44 +123,84 @@ def closure(tree: DataFrame) -> DataFrame:
         pairs, reach = settled(pairs.unionByName(more)), 2 * reach
 
 
-def ancestors(tree: DataFrame, ids: list[str]) -> DataFrame:
-    """(id, ancestor, distance) of the named nodes: one small join a level. A cycle is an error."""
-    spark = tree.sparkSession
+def chains(tree: DataFrame, ids: list[str]) -> dict[str, list[str]]:
+    """The directories above each named node that exists, nearest first, ``/`` or a missing one last. Each job climbs
+    two levels of all of them. A cycle is an error."""
     up = tree.select("id", "parentId")
-    at = settled(_one("id", ids, spark).join(up, "id").select("id", F.col("parentId").alias("ancestor"), F.lit(1).alias("distance")))
-    out, n = at, 1
-    while not at.isEmpty():
-        if not at.where("id = ancestor").isEmpty():
-            raise QueryError("the nodes form a cycle")
-        n += 1
-        step = at.select("id", F.col("ancestor").alias("__a")).join(up.select(F.col("id").alias("__a"), F.col("parentId").alias("ancestor")), "__a")
-        at = settled(step.select("id", "ancestor", F.lit(n).alias("distance")))
-        if not at.join(out, ["id", "ancestor"], "left_semi").isEmpty():
-            raise QueryError("the nodes form a cycle")
-        out = settled(out.unionByName(at))
+    two = up.join(up.select(F.col("id").alias("parentId"), F.col("parentId").alias("next")), "parentId", "left")
+    parent: dict[str, str | None] = {}
+    ask = {i for i in ids if i}
+    while ask:
+        found = two.where(F.col("id").isin(list(ask))).select("id", "parentId", "next").collect()
+        parent.update(dict.fromkeys(ask - {r["id"] for r in found}))
+        for r in found:
+            parent[r["id"]] = r["parentId"]
+            if r["parentId"] is not None and (r["next"] is not None or r["parentId"] not in parent):
+                parent[r["parentId"]] = r["next"]
+        ask = {p for p in parent.values() if p is not None and p not in parent and p != ROOT}
+    out = {}
+    for i in dict.fromkeys(ids):
+        if parent.get(i) is None:
+            continue
+        way, at = [], parent[i]
+        while at is not None:
+            if at == i or at in way:
+                raise QueryError("the nodes form a cycle")
+            way.append(at)
+            at = parent.get(at)
+        out[i] = way
     return out
 
 
+def ancestors(tree: DataFrame, ids: list[str]) -> DataFrame:
+    """(id, ancestor, distance) of the named nodes. A cycle is an error."""
+    rows = [(i, a, k) for i, way in chains(tree, ids).items() for k, a in enumerate(way, 1)]
+    return tree.sparkSession.createDataFrame(rows, "id string, ancestor string, distance int")
+
+
 def top_selected(tree: DataFrame, ids: list[str]) -> DataFrame:
     """The named nodes that no other named node lies above."""
-    chosen = _one("id", ids, tree.sparkSession)
-    above = ancestors(tree, ids).join(chosen.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
-    return tree.join(chosen, "id", "left_semi").join(above, "id", "left_anti")
+    return tree.where(F.col("id").isin(_tops(tree, ids)))
+
+
+def _tops(tree: DataFrame, ids: list[str]) -> list[str]:
+    ways, named = chains(tree, ids), set(ids)
+    return [i for i in dict.fromkeys(ids) if i and not named & set(ways.get(i, ()))]
 
 
 def roll_ups(tree: DataFrame) -> DataFrame:
     """(id, ctotal, cftotal, csize, childLastIndex) of every parent: the live nodes below it, the files among
-    them, their sizes, and the last key of its direct children. Sums of zero are null."""
+    them, their sizes, and the last key of its direct children. Sums of zero are null.
+
+    The children of each parent are added up once. After that only parents are left, each with a pointer
+    to the one above. In round k a parent has the sums of the nodes at most 2**k levels below it and points
+    2**k levels up; the sums of all that point to it complete the next 2**k levels. So the rounds grow with
+    the logarithm of the depth, and each has one row a parent. Two rounds are one job. A cycle is an error.
+    """
     nodes = live(tree)
-    spot = closure(nodes)
-    facts = nodes.select("id", F.when(F.col("isDir"), 0).otherwise(1).alias("file"), F.coalesce("size", F.lit(0)).alias("bytes"), F.col("index").alias("key"))
-    sums = spot.join(facts, "id").groupBy(F.col("ancestor").alias("id")).agg(
+    sums = ["ctotal", "cftotal", "csize"]
+    direct = nodes.where(F.col("parentId").isNotNull()).groupBy(F.col("parentId").alias("id")).agg(
         F.count("*").alias("ctotal"),
-        F.sum("file").cast("long").alias("cftotal"),
-        F.sum("bytes").cast("long").alias("csize"),
-        F.max(F.when((F.col("distance") == 1) & (F.col("key") != ""), F.col("key"))).alias("childLastIndex"),
+        F.sum(F.when(F.col("isDir"), 0).otherwise(1)).cast("long").alias("cftotal"),
+        F.sum(F.coalesce("size", F.lit(0))).cast("long").alias("csize"),
+        F.max(F.when(F.col("index") != "", F.col("index"))).alias("childLastIndex"),
     )
-    return sums.select("id", *[F.when(F.col(c) != 0, F.col(c)).alias(c) for c in ("ctotal", "cftotal", "csize")], "childLastIndex")
+    at = settled(direct.join(nodes.select("id", F.col("parentId").alias("up")), "id", "left"))
+    reach, parents = 1, None
+    while not at.where("up IS NOT NULL").isEmpty():
+        parents = at.count() if parents is None else parents
+        if reach > 2 * parents:
+            raise QueryError("the nodes form a cycle")
+        before = at
+        for _ in range(2):
+            below = at.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+            further = at.select(F.col("id").alias("up"), F.col("up").alias("__up"))
+            at = at.join(below, "id", "left").join(further, "up", "left")
+            at = at.select("id", *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in sums], "childLastIndex", F.col("__up").alias("up"))
+        at = settled(at)
+        release(before)
+        reach *= 4
+    return at.select("id", *[F.when(F.col(c) != 0, F.col(c)).alias(c) for c in sums], "childLastIndex")
 
 
 def refreshed(tree: DataFrame) -> DataFrame:
@@ -191,6 +247,7 @@ class Changed:
     tree: DataFrame
     ids: list[str] = field(default_factory=list)
     deleted: int = 0
+    states: dict[str, str] | None = None
 
 
 def _key_of(tree: DataFrame, node: str, parent: str) -> str | None:
@@ -228,18 +285,68 @@ def _parent_exists(tree: DataFrame, parent: str) -> None:
 
 def stamped_up(tree: DataFrame, parents: list[str], modif: int) -> DataFrame:
     """Directories, and all above them, with the time of the last change below them."""
-    named = [p for p in parents if p and p != ROOT]
-    if not named:
-        return tree
-    spark = tree.sparkSession
-    above = ancestors(tree, named).select(F.col("ancestor").alias("id")).unionByName(_one("id", named, spark)).distinct()
-    touched = above.withColumn("__up", F.lit(True))
+    ways = chains(tree, [p for p in parents if p and p != ROOT])
+    return _stamped_at(tree, {i for p, way in ways.items() for i in (p, *way)}, modif)
+
+
+def _stamped_at(tree: DataFrame, ids: set[str], modif: int) -> DataFrame:
     if "cmodif" not in tree.columns:
         tree = tree.withColumn("cmodif", F.lit(None).cast("long"))
-    out = tree.join(touched, "id", "left").withColumn("cmodif", F.when(F.col("__up"), F.lit(modif)).otherwise(F.col("cmodif")))
+    if not ids:
+        return tree
+    return tree.withColumn("cmodif", F.when(F.col("id").isin(sorted(ids)), F.lit(modif)).otherwise(F.col("cmodif"))).select(*tree.columns)
+
+
+def contribution() -> list[Column]:
+    """What a node adds to the roll-ups of each directory above it."""
+    old = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return [(1 + old("ctotal")).alias("dt"), (F.when(F.col("isDir"), 0).otherwise(1) + old("cftotal")).alias("df"), (old("size") + old("csize")).cast("long").alias("ds")]
+
+
+def shifted(tree: DataFrame, deltas: DataFrame, modif: int, refresh: list[str] | DataFrame) -> DataFrame:
+    """The tree with (id, dt, df, ds) of ``deltas``, sums by direct parent, added to these directories and all above
+    them, never below zero, and with ``cmodif``. The last key of the directories in ``refresh`` is looked up anew.
+
+    The directories' chains are climbed as frames, two levels a job: nothing is gathered however many there are.
+    """
+    links = tree.select("id", F.col("parentId").alias("up"))
+    size = ["dt", "df", "ds"]
+    summed = lambda df: df.groupBy("id").agg(*[F.sum(c).cast("long").alias(c) for c in size])
+    at = settled(summed(deltas.where(F.col("id") != ROOT)).join(links, "id"))
+    every = [at]
+    while True:
+        one = summed(every[-1].where((F.col("up") != ROOT) & F.col("up").isNotNull()).select(F.col("up").alias("id"), *size)).join(links, "id")
+        two = summed(one.where((F.col("up") != ROOT) & F.col("up").isNotNull()).select(F.col("up").alias("id"), *size)).join(links, "id")
+        level = settled(one.withColumn("last", F.lit(False)).unionByName(two.withColumn("last", F.lit(True))))
+        if level.isEmpty():
+            break
+        if len(every) > 10_000:
+            raise QueryError("the nodes form a cycle")
+        every[-1] = every[-1].select("id", *size, "up")
+        every.append(level.where("NOT last").select("id", *size, "up"))
+        every.append(level.where("last").select("id", *size, "up"))
+    total = every[0].select("id", *size)
+    for e in every[1:]:
+        total = total.unionByName(e.select("id", *size))
+    total = summed(total).withColumn("__hit", F.lit(True))
+    named = _ids(refresh, tree.sparkSession)
+    last = live(tree).join(named.select(F.col("id").alias("parentId")), "parentId", "left_semi").groupBy(F.col("parentId").alias("id")).agg(F.max(F.when(F.col("index") != "", F.col("index"))).alias("__last"))
+    last = named.join(last, "id", "left").withColumn("__again", F.lit(True))
+    out = tree.join(total, "id", "left").join(last, "id", "left")
+    for c, d in zip(("ctotal", "cftotal", "csize"), size, strict=True):
+        new = F.greatest(F.coalesce(c, F.lit(0)) + F.coalesce(d, F.lit(0)), F.lit(0))
+        out = out.withColumn(c, F.when(F.col("__hit") & (new != 0), new.cast("long")).when(~F.coalesce("__hit", F.lit(False)), F.col(c)))
+    out = out.withColumn("childLastIndex", F.when(F.col("__again"), F.col("__last")).otherwise(F.col("childLastIndex")))
+    out = out.withColumn("cmodif", F.when(F.col("__hit"), F.lit(modif)).otherwise(F.col("cmodif")))
     return out.select(*tree.columns)
 
 
+def _managed(tree: DataFrame) -> DataFrame:
+    """The tree with all managed columns, null where it lacks them."""
+    kinds = {"cmodif": "long", "ctotal": "long", "cftotal": "long", "csize": "long", "childLastIndex": "string"}
+    return tree.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in tree.columns})
+
+
 def create_nodes(tree: DataFrame, nodes: list[dict[str, Any]], parent_id: str, modif: int, place: Place | None = None) -> Changed:
     """New children of a directory; nodes whose id is there already stay as they are."""
     if not nodes:
@@ -249,13 +356,19 @@ def create_nodes(tree: DataFrame, nodes: list[dict[str, Any]], parent_id: str, m
     keys = keys_for(tree, parent_id, len(made), place)
     for node, key in zip(made, keys, strict=True):
         node["index"] = node["index"] or key
-    out = writes.insert_many(tree, writes.rows_of(tree.sparkSession, made, tree.schema))
-    return Changed(stamped_up(refreshed(settled(rebalanced(out, parent_id))), [parent_id], modif), [n["id"] for n in made])
+    tree = _managed(tree)
+    rows = writes.rows_of(tree.sparkSession, made, tree.schema)
+    new = rows.join(tree.select("id"), "id", "left_anti")
+    out = settled(rebalanced(writes.insert_many(tree, rows), parent_id))
+    for c in ("ctotal", "cftotal", "csize"):
+        new = new if c in new.columns else new.withColumn(c, F.lit(None).cast("long"))
+    deltas = new.select(F.lit(parent_id).alias("id"), *contribution())
+    return Changed(shifted(out, deltas, modif, [parent_id]), [n["id"] for n in made])
 
 
 def update_nodes(tree: DataFrame, filter_: dict[str, Any], update: dict[str, Any], modif: int, deep: bool = False) -> Changed:
     """Contents only: the place in the tree and managed columns cannot be set, an id even less. ``deep`` takes the
-    nodes below along."""
+    nodes below along. The nodes that are hit stay a frame, whatever their number."""
     values = {k: v for k, v in (update.get("$set") or {}).items() if k not in ("parentId", *MANAGED)}
     if "id" in values:
         raise QueryError("a node keeps its id")
@@ -265,48 +378,50 @@ def update_nodes(tree: DataFrame, filter_: dict[str, Any], update: dict[str, Any
         check_size(values["size"])
     if "isDir" in values and not isinstance(values["isDir"], bool):
         raise QueryError("isDir is true or false")
+    tree = _managed(tree)
     nodes = live(tree)
-    hit = nodes.filter(filters.compile_filter(filter_, nodes.schema)).select("id", "parentId")
+    hit = nodes.filter(filters.compile_filter(filter_, nodes.schema)).select("id")
     if deep:
-        below = descendants(nodes, [r[0] for r in hit.select("id").toLocalIterator()])
-        hit = hit.unionByName(below.select("id", "parentId")).distinct()
+        hit = descendants(nodes, hit, include_self=True).select("id")
     hit = settled(hit)
-    parents = [r[0] for r in hit.select("parentId").distinct().toLocalIterator()]
-    if not parents:
-        return Changed(tree)
-    marked = tree.join(hit.select("id", F.lit(True).alias("__hit_node")), "id", "left")
-    out = writes.update_many(marked, {"__hit_node": True}, {**update, "$set": {"modif": modif, **values}}).drop("__hit_node")
-    if {"index", "isDir", "size"} & values.keys():
-        out = refreshed(settled(out))
-    return Changed(stamped_up(out, parents, modif), [])
+    marked = tree.join(hit.withColumn("__hit_node", F.lit(True)), "id", "left")
+    changed = writes.update_many(marked, {"__hit_node": True}, {**update, "$set": {"modif": modif, **values}})
+    out = settled(changed.drop("__hit_node"))
+    size = lambda df: df.join(hit, "id", "left_semi").select(F.col("parentId").alias("id"), *contribution())
+    minus = size(tree).select("id", *[(-F.col(c)).alias(c) for c in ("dt", "df", "ds")])
+    deltas = settled(size(out).unionByName(minus))
+    return Changed(shifted(out, deltas, modif, deltas if "index" in values else []), [])
 
 
-def delete_nodes(tree: DataFrame, ids: list[str], modif: int, real: bool = True, clock: Any = None) -> Changed:
+def delete_nodes(tree: DataFrame, ids: list[str] | DataFrame, modif: int, real: bool = True, clock: Any = None) -> Changed:
     """Subtrees, taken out or marked as deleted."""
-    gone = settled(descendants(tree, ids, include_self=True).select("id", "parentId", *([writes.GONE] if writes.GONE in tree.columns else [])))
+    tree = _managed(tree)
+    gone = descendants(tree, ids, include_self=True)
     if not real and writes.GONE in tree.columns:
-        gone = gone.where("_isDeleted IS NULL OR _isDeleted = false")
+        gone = live(gone)
+    gone = settled(gone)
     n = gone.count()
     if not n:
         return Changed(tree)
-    parents = [r[0] for r in gone.select("parentId").join(gone.select(F.col("id").alias("parentId")), "parentId", "left_anti").distinct().toLocalIterator()]
     if real:
         out = tree.join(gone.select("id"), "id", "left_anti")
     else:
         marked = tree.join(gone.select("id", F.lit(True).alias("__gone")), "id", "left")
         out = writes.update_many(marked, {"__gone": True}, {"$set": {writes.GONE: True, writes.DELETED: clock, "modif": modif}}).drop("__gone")
-    return Changed(stamped_up(refreshed(settled(out)), parents, modif), deleted=n)
+    tops = live(gone).join(live(gone).select(F.col("id").alias("parentId")), "parentId", "left_anti")
+    deltas = settled(tops.select(F.col("parentId").alias("id"), *contribution()).select("id", *[(-F.col(c)).alias(c) for c in ("dt", "df", "ds")]))
+    return Changed(shifted(settled(out), deltas, modif, deltas), deleted=n)
 
 
 def undelete_nodes(tree: DataFrame, ids: list[str], modif: int) -> Changed:
     """Subtrees that were marked as deleted, and the directories above them, are live again."""
     below = descendants(tree, ids, include_self=True).select("id")
-    above = ancestors(tree, ids).select(F.col("ancestor").alias("id"))
-    back = settled(below.unionByName(above).distinct())
+    above = sorted({a for way in chains(tree, ids).values() for a in way})
+    back = settled(below.unionByName(_one("id", above, tree.sparkSession)).distinct())
     marked = tree.join(back.withColumn("__back", F.lit(True)), "id", "left")
     columns = [c for c in (writes.GONE, writes.DELETED) if c in tree.columns]
     out = writes.update_many(marked, {"__back": True}, {"$unset": {c: 1 for c in columns}}).drop("__back")
-    return Changed(stamped_up(refreshed(settled(out)), ids, modif), ids)
+    return Changed(stamped_up(settled(refreshed(settled(out))), ids, modif), ids)
 
 
 def conflicts(tree: DataFrame, nodes: DataFrame, parent_id: str, unique_by: str) -> DataFrame:
@@ -320,156 +435,238 @@ def conflicts(tree: DataFrame, nodes: DataFrame, parent_id: str, unique_by: str)
     return a.join(b, "__v").select("source", "target")
 
 
-def move_nodes(tree: DataFrame, ids: list[str], parent_id: str, modif: int, rule: Conflicts | None = None, place: Place | None = None, expect: dict[str, str] | None = None, real_delete: bool = True) -> Changed:
+def first_conflicts(tree: DataFrame, nodes: DataFrame, parent: str | Column, rule: Conflicts) -> DataFrame:
+    """(source, parent, target, isDir, modif): for each node the first live sibling in its future directory that has
+    the same value. ``nodes`` has the columns of the value's path, ``id``, and ``parent`` names the directory."""
+    value = lambda df: filters.resolve(rule.unique_by, filters.fields_of(df.schema)).column
+    here = live(tree).join(nodes.select("id"), "id", "left_anti")
+    a = nodes.select(F.col("id").alias("source"), (F.lit(parent) if isinstance(parent, str) else parent).alias("parent"), value(nodes).alias("__v")).where("__v IS NOT NULL")
+    b = here.select(F.col("parentId").alias("parent"), value(here).alias("__v"), F.struct(F.col("id").alias("target"), "isDir", "modif").alias("t"))
+    return a.join(b, ["parent", "__v"]).groupBy("source", "parent").agg(F.min("t").alias("t")).select("source", "parent", "t.*")
+
+
+def _gives_way(rule: Conflicts, node: Any, other: Any) -> str:
+    """``stay`` (the node does not come), ``merge`` (two directories), or ``replace`` (the other one goes)."""
+    if rule.mode == "skip":
+        return "stay"
+    if rule.mode in ("merge", "mergeByModif"):
+        if node["isDir"] and other["isDir"]:
+            return "merge"
+        if rule.mode == "mergeByModif" and (other["modif"] or 0) > (node["modif"] or 0):
+            return "stay"
+    return "stay" if not rule.file_over_dir and not node["isDir"] and other["isDir"] else "replace"
+
+
+def move_nodes(tree: DataFrame, ids: list[str], parent_id: str, modif: int, rule: Conflicts | None = None, place: Place | None = None, expect: dict[str, str] | None = None, real_delete: bool = True, clock: Any = None) -> Changed:
     """Nodes, with all below them, to another directory. Named nodes that lie below other named ones go along.
 
     ``expect`` gives the directory that a caller last saw each node in; a difference is an error.
     """
     rule = rule or Conflicts()
     _parent_exists(tree, parent_id)
-    nodes = top_selected(live(tree), ids)
-    rows = {r["id"]: r for r in nodes.collect()}
-    moving = [i for i in dict.fromkeys(ids) if i in rows]
+    tree = _managed(tree)
+    nodes, named = live(tree), set(ids)
+    ways = chains(nodes, [*ids, parent_id])
+    tops = [i for i in dict.fromkeys(ids) if i and not named & set(ways.get(i, ()))]
+    rows = {r["id"]: r for r in nodes.where(F.col("id").isin(tops)).select("id", "parentId", "name", "isDir", "modif").collect()}
+    moving = [i for i in tops if i in rows]
     for i, parent in (expect or {}).items():
         if i in rows and rows[i]["parentId"] != parent:
             raise QueryError(f"{i} has been moved meanwhile")
     if not moving:
         return Changed(tree)
-    if parent_id != ROOT:
-        above = {r[0] for r in ancestors(tree, [parent_id]).select("ancestor").collect()} | {parent_id}
-        if above & set(moving):
-            raise QueryError("a node cannot go into itself")
+    if {parent_id, *ways.get(parent_id, ())} & set(moving):
+        raise QueryError("a node cannot go into itself")
     names: dict[str, str] = {}
+    merges: list[tuple[str, str]] = []
     if rule.mode == "newName" and rule.unique_by == "name":
-        here = live(tree).where((F.col("parentId") == parent_id) & ~F.col("id").isin(moving)).select("name")
-        names = dict(zip(moving, unique_names([rows[i]["name"] for i in moving], [r[0] for r in here.collect() if r[0]]), strict=True))
-    else:
-        tree, moving = _cleared(tree, moving, rows, parent_id, modif, rule, real_delete)
+        names = dict(zip(moving, free_names(tree, parent_id, [rows[i]["name"] for i in moving], moving), strict=True))
+    elif rule.unique_by != "id":
+        met = {r["source"]: r for r in first_conflicts(tree, nodes.where(F.col("id").isin(moving)), parent_id, rule).collect()}
+        choice = {i: _gives_way(rule, rows[i], met[i]) for i in moving if i in met}
+        merges = [(i, met[i]["target"]) for i, c in choice.items() if c == "merge"]
+        gone = [met[i]["target"] for i, c in choice.items() if c == "replace"]
+        moving = [i for i in moving if choice.get(i, "replace") == "replace"]
+        if gone:
+            tree = settled(delete_nodes(tree, gone, modif, real_delete, clock).tree)
+    if merges:
+        tree = settled(merged_directories(tree, tree.sparkSession.createDataFrame(merges, "source string, target string"), modif, rule, real_delete, clock))
     if not moving:
         return Changed(tree, [])
     keys = keys_for(tree, parent_id, len(moving), place)
     moves = tree.sparkSession.createDataFrame([(i, parent_id, k, names.get(i, rows[i]["name"])) for i, k in zip(moving, keys, strict=True)], "id string, __p string, __k string, __n string")
     out = tree.join(moves, "id", "left")
+    there = F.col("__p").isNotNull()
     for column, new in (("parentId", "__p"), ("index", "__k"), ("name", "__n")):
-        out = out.withColumn(column, F.coalesce(new, column) if column != "name" else F.when(F.col("__p").isNotNull(), F.col("__n")).otherwise(F.col("name")))
-    out = out.withColumn("modif", F.when(F.col("__p").isNotNull(), F.lit(modif)).otherwise(F.col("modif"))).select(*tree.columns)
-    parents = list({rows[i]["parentId"] for i in moving} | {parent_id})
-    return Changed(stamped_up(refreshed(settled(rebalanced(out, parent_id))), parents, modif), moving)
-
-
-def _cleared(tree: DataFrame, moving: list[str], rows: dict[str, Any], parent_id: str, modif: int, rule: Conflicts, real_delete: bool) -> tuple[DataFrame, list[str]]:
-    """The tree without the siblings that give way, and the nodes that still move."""
-    if rule.unique_by == "id":
-        return tree, moving
-    nodes = live(tree).where(F.col("id").isin(moving))
-    met = conflicts(tree, nodes, parent_id, rule.unique_by).join(live(tree).select(F.col("id").alias("target"), "isDir", "modif"), "target").orderBy("source", "target").collect()
-    first = {}
-    for m in met:
-        first.setdefault(m["source"], m)
-    stay, gone = [], []
-    for i in moving:
-        other = first.get(i)
-        if other is None:
-            stay.append(i)
-            continue
-        if rule.mode == "skip":
-            continue
-        if rule.mode in ("merge", "mergeByModif"):
-            if rows[i]["isDir"] and other["isDir"]:
-                children = [r[0] for r in live(tree).where(F.col("parentId") == i).select("id").collect()]
-                if children:
-                    tree = settled(move_nodes(tree, children, other["target"], modif, rule, real_delete=real_delete).tree)
-                tree = settled(delete_nodes(tree, [i], modif, real_delete).tree)
-                continue
-            if rule.mode == "mergeByModif" and (other["modif"] or 0) > (rows[i]["modif"] or 0):
-                continue
-        if not rule.file_over_dir and not rows[i]["isDir"] and other["isDir"]:
-            continue
-        gone.append(other["target"])
-        stay.append(i)
-    if gone:
-        tree = settled(delete_nodes(tree, gone, modif, real_delete).tree)
-    return tree, stay
-
-
-def set_nodes(tree: DataFrame, nodes: list[dict[str, Any]], modif: int, rule: Conflicts | None = None, update_only: bool = False, real_delete: bool = True) -> Changed:
-    """Make the tree hold these nodes: conflicts give way, new ones are made parents first, known ones are moved
-    and then updated, deleted ones come back. An id may not come twice."""
-    rule = rule or Conflicts()
+        out = out.withColumn(column, F.when(there, F.col(new)).otherwise(F.col(column)))
+    out = out.withColumn("modif", F.when(there, F.lit(modif)).otherwise(F.col("modif"))).select(*tree.columns)
+    sizes = tree.where(F.col("id").isin(moving))
+    minus = sizes.select(F.col("parentId").alias("id"), *contribution()).select("id", *[(-F.col(c)).alias(c) for c in ("dt", "df", "ds")])
+    deltas = sizes.select(F.lit(parent_id).alias("id"), *contribution()).unionByName(minus)
+    parents = sorted({rows[i]["parentId"] for i in moving} | {parent_id})
+    return Changed(shifted(settled(rebalanced(out, parent_id)), deltas, modif, parents), moving)
+
+
+def merged_directories(tree: DataFrame, pairs: DataFrame, modif: int, rule: Conflicts, real_delete: bool = True, clock: Any = None) -> DataFrame:
+    """The tree with each source directory's children moved into its target (source, target), and the source deleted
+    with what stayed in it. Pairs of directories that meet on the way merge too, level by level: one join each."""
+    value = lambda df: filters.resolve(rule.unique_by, filters.fields_of(df.schema)).column
+    pairs = settled(pairs)
+    sources, moves, gone = pairs.select(F.col("source").alias("id")), None, None
+    while True:
+        nodes = live(tree)
+        kids = nodes.join(pairs.select(F.col("source").alias("parentId"), "target"), "parentId")
+        kids = kids.select("id", "target", value(kids).alias("__v"), "isDir", "modif")
+        there = nodes.join(pairs.select(F.col("target").alias("parentId")).distinct(), "parentId", "left_semi")
+        there = there.select(F.col("parentId").alias("target"), value(there).alias("__v"), F.struct(F.col("id").alias("o"), F.col("isDir").alias("odir"), F.col("modif").alias("omodif")).alias("t"))
+        met = kids.join(there.where("__v IS NOT NULL").groupBy("target", "__v").agg(F.min("t").alias("t")), ["target", "__v"], "left")
+        both = F.col("isDir") & F.col("t.odir")
+        newer = F.lit(rule.mode == "mergeByModif") & (F.coalesce("t.omodif", F.lit(0)) > F.coalesce("modif", F.lit(0)))
+        kept = F.lit(not rule.file_over_dir) & ~F.col("isDir") & F.col("t.odir")
+        what = F.when(F.col("t").isNull(), "move").when(both, "merge").when(newer | kept, "stay").otherwise("replace")
+        level = settled(met.select("id", "target", F.col("t.o").alias("o"), what.alias("what")))
+        come = level.where("what IN ('move', 'replace')").select("id", F.col("target").alias("__p"))
+        moves = come if moves is None else moves.unionByName(come)
+        away = level.where("what = 'replace'").select(F.col("o").alias("id"))
+        gone = away if gone is None else gone.unionByName(away)
+        pairs = level.where("what = 'merge'").select(F.col("id").alias("source"), F.col("o").alias("target"))
+        if pairs.isEmpty():
+            break
+        sources = sources.unionByName(pairs.select(F.col("source").alias("id")))
+    # new keys follow the target's last one
+    last = live(tree).groupBy(F.col("parentId").alias("__p")).agg(F.max(F.when(F.col("index") != "", F.col("index"))).alias("__last"))
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy("id"))
+    key = F.when(F.col("__last").isNotNull(), F.concat("__last", _digits(rank.cast("long"), 5))).otherwise(F.lit(""))
+    keyed = moves.join(last, "__p", "left").select("id", "__p", key.alias("__k"))
+    out = tree.join(keyed, "id", "left")
+    there = F.col("__p").isNotNull()
+    out = out.withColumns({"parentId": F.coalesce("__p", "parentId"), "index": F.coalesce("__k", "index"), "modif": F.when(there, F.lit(modif)).otherwise(F.col("modif"))}).select(*tree.columns)
+    out = delete_nodes(settled(out), settled(gone.unionByName(sources)), modif, real_delete, clock).tree
+    return refreshed(settled(out))
+
+
+def set_nodes(tree: DataFrame, nodes: list[dict[str, Any]], modif: int, rule: Conflicts | None = None, update_only: bool = False, real_delete: bool = True, clock: Any = None, place: Place | None = None, set_mode: str = "default") -> Changed:
+    """Make the tree hold these nodes: conflicts give way, new ones are made, known ones are moved and updated,
+    deleted ones come back. An id may not come twice. ``place`` is where the nodes of each directory go, by
+    default after its last key; ``set_mode`` is that of :func:`writes.set_many`: ``default``, ``merge`` or
+    ``overwrite``. The whole request is one plan: one join finds conflicts, one writes all nodes."""
+    rule, spark = rule or Conflicts(), tree.sparkSession
+    if set_mode not in ("default", "merge", "overwrite"):
+        raise QueryError(f"{set_mode} is no way to set a node")
     ids = [n["id"] for n in nodes if n.get("id")]
     if len(ids) != len(set(ids)):
         raise QueryError("an id comes twice")
     if not nodes:
         return Changed(tree)
-    known = {r["id"]: r.asDict() for r in tree.where(F.col("id").isin(ids)).collect()} if ids else {}
+    tree = _managed(tree)
+    known = {r["id"]: r.asDict(recursive=True) for r in tree.where(F.col("id").isin(ids)).collect()} if ids else {}
     full = []
     for n in nodes:
         old = known.get(n.get("id"), {})
-        merged = {**{k: v for k, v in old.items() if v is not None and k not in (*MANAGED, find.ROW)}, **n}
-        merged.setdefault("id", writes.new_id())
-        merged.setdefault("parentId", ROOT)
-        merged.setdefault("modif", modif)
-        full.append(check_node(merged))
+        base = {"parentId": ROOT, "modif": modif, **{k: old[k] for k in ("parentId", "name", "isDir", "size", "index") if old.get(k) is not None}}
+        full.append({**check_node({"id": writes.new_id(), **base, "modif": modif, **n}), "__given": n})
     if update_only:
         full = [n for n in full if n["id"] in known and not known[n["id"]].get(writes.GONE)]
-    changed: list[str] = []
-    renamed: dict[str, str] = {}
-    by_parent: dict[str, list[dict[str, Any]]] = {}
-    for n in full:
-        by_parent.setdefault(n["parentId"], []).append(n)
-    for parent, group in by_parent.items():
-        if rule.mode == "newName" and rule.unique_by == "name":
-            here = [r[0] for r in live(tree).where((F.col("parentId") == parent) & ~F.col("id").isin([n["id"] for n in group])).select("name").collect()]
-            for n, name in zip(group, unique_names([n["name"] for n in group], [h for h in here if h]), strict=True):
+    if not full:
+        return Changed(tree)
+    chosen = {n["id"] for n in full}
+    gone: list[str] = []
+    merged: dict[str, str] = {}
+    if rule.mode == "newName" and rule.unique_by == "name":
+        for parent in dict.fromkeys(n["parentId"] for n in full):
+            group = [n for n in full if n["parentId"] == parent]
+            for n, name in zip(group, free_names(tree, parent, [n["name"] for n in group], sorted(chosen)), strict=True):
                 n["name"] = name
-        elif rule.unique_by != "id":
-            probe = writes.rows_of(tree.sparkSession, group, tree.schema)
-            met = conflicts(tree, probe, parent, rule.unique_by).join(live(tree).select(F.col("id").alias("target"), "isDir", "modif"), "target").orderBy("source", "target").collect()
-            seen: dict[str, Any] = {}
-            for m in met:
-                seen.setdefault(m["source"], m)
-            for n in group:
-                other = seen.get(n["id"])
-                if other is None:
-                    continue
-                both = n["isDir"] and other["isDir"]
-                if rule.mode == "skip" or rule.mode == "mergeByModif" and not both and (other["modif"] or 0) > n["modif"] or not rule.file_over_dir and not n["isDir"] and other["isDir"]:
-                    n["__skip"] = True
-                elif rule.mode in ("merge", "mergeByModif") and both:
-                    renamed[n["id"]] = other["target"]
-                else:
-                    tree = settled(delete_nodes(tree, [other["target"]], modif, real_delete).tree)
-                    changed.append(other["target"])
-    for source, target in renamed.items():  # a merged directory's children go into the one that was there
-        below = [r[0] for r in live(tree).where(F.col("parentId") == source).select("id").collect()]
-        if below:
-            tree = settled(move_nodes(tree, below, target, modif, rule, real_delete=real_delete).tree)
-        if source in known:
-            tree = settled(delete_nodes(tree, [source], modif, real_delete).tree)
-    full = [{**n, "parentId": renamed.get(n["parentId"], n["parentId"])} for n in full if n["id"] not in renamed and not n.get("__skip")]
-    waiting = [n for n in full if n["id"] not in known]
-    while waiting:
-        have = {ROOT} | {r[0] for r in live(tree).where(F.col("id").isin([n["parentId"] for n in waiting])).select("id").collect()}
-        ready = [n for n in waiting if n["parentId"] in have]
-        if not ready:
-            raise QueryError(f"no directory {waiting[0]['parentId']}")
-        for parent in dict.fromkeys(n["parentId"] for n in ready):
-            made = create_nodes(tree, [n for n in ready if n["parentId"] == parent], parent, modif)
-            tree = settled(made.tree)
-            changed += made.ids
-        waiting = [n for n in waiting if n["parentId"] not in have]
+    elif rule.unique_by != "id":
+        probe = writes.rows_of(spark, [{k: v for k, v in n.items() if k != "__given"} for n in full], tree.schema)
+        met = {r["source"]: r for r in first_conflicts(tree, probe, F.col("parentId"), rule).collect()}
+        choice = {n["id"]: _gives_way(rule, n, met[n["id"]]) for n in full if n["id"] in met}
+        gone = [met[i]["target"] for i, c in choice.items() if c == "replace"]
+        merged = {i: met[i]["target"] for i, c in choice.items() if c == "merge"}
+        full = [n for n in full if choice.get(n["id"], "replace") == "replace"]
+    for n in full:  # the children of a merged directory go into the one that was there
+        n["parentId"] = merged.get(n["parentId"], n["parentId"])
+    _check_parents(tree, full)
+    if gone:
+        tree = settled(delete_nodes(tree, gone, modif, real_delete, clock).tree)
+    if old := [(i, t) for i, t in merged.items() if i in known]:
+        tree = settled(merged_directories(tree, spark.createDataFrame(old, "source string, target string"), modif, rule, real_delete, clock))
+    back = [n["id"] for n in full if (known.get(n["id"]) or {}).get(writes.GONE)]
+    if back:
+        tree = settled(undelete_nodes(tree, back, modif).tree)
+    parents = sorted({n["parentId"] for n in full} | {known[n["id"]]["parentId"] for n in full if n["id"] in known})
+    comers = [n for n in full if not n["__given"].get("index") and (n["id"] not in known or known[n["id"]]["parentId"] != n["parentId"] or place)]
+    for parent in dict.fromkeys(n["parentId"] for n in comers):
+        group = [n for n in comers if n["parentId"] == parent]
+        for n, key in zip(group, keys_for(tree, parent, len(group), place or (Place(to_end=True) if any(n["id"] in known for n in group) else None)), strict=True):
+            n["index"] = key
+    docs = []
     for n in full:
-        old = known.get(n["id"])
-        if old is None:
-            continue
-        if old.get(writes.GONE):
-            tree = settled(undelete_nodes(tree, [n["id"]], modif).tree)
-        if old["parentId"] != n["parentId"]:
-            tree = settled(move_nodes(tree, [n["id"]], n["parentId"], modif, place=None if n["index"] else Place(to_end=True)).tree)
-        values = {k: v for k, v in n.items() if k not in ("id", "parentId", "__skip", writes.GONE, writes.DELETED, *MANAGED) and v is not None and not (k == "index" and not v)}
-        tree = settled(update_nodes(tree, {"id": n["id"]}, {"$set": {**values, "modif": modif}}, modif).tree)
-        changed.append(n["id"])
-    return Changed(tree, changed)
+        given = {k: v for k, v in n["__given"].items() if k not in MANAGED}
+        values = {k: n[k] for k in ("id", "parentId", "name", "isDir", "index", "size", "modif")} if n["id"] not in known or set_mode == "overwrite" else {"id": n["id"], "parentId": n["parentId"], "index": n["index"], "modif": n["modif"], "name": n["name"]}
+        docs.append({**given, **values})
+    rows = writes.rows_of(spark, docs, tree.schema) if docs else None
+    if rows is not None:
+        kept = [c for c in rows.columns if c not in MANAGED and c not in (writes.GONE, writes.DELETED)]
+        tree = writes.set_many(tree, rows.select(*kept), merge=set_mode == "merge", overwrite=set_mode == "overwrite")
+        for parent in dict.fromkeys(n["parentId"] for n in comers):
+            tree = rebalanced(tree, parent)
+        tree = settled(tree)
+    out = settled(refreshed(tree))
+    chains(out, [n["id"] for n in full if n["id"] in known])  # a node that went below itself is an error
+    return Changed(stamped_up(out, parents, modif), [*gone, *[n["id"] for n in full]])
+
+
+def _check_parents(tree: DataFrame, nodes: list[dict[str, Any]]) -> None:
+    """Every node's directory is there, or comes with it and hangs together with one that is."""
+    new = {n["id"]: n for n in nodes}
+    asked = {n["parentId"] for n in nodes} - {ROOT}
+    have = {ROOT} | {r[0] for r in live(tree).where(F.col("id").isin(sorted(asked)) & F.col("isDir")).select("id").collect()} if asked else {ROOT}
+    for n in nodes:
+        met, at = set(), n["parentId"]
+        while at not in have:
+            if at in met or at not in new or not new[at]["isDir"]:
+                raise QueryError(f"no directory {at}")
+            met.add(at)
+            at = new[at]["parentId"]
+
+
+def free_names(tree: DataFrame, parent_id: str, wanted: list[str], without: list[str]) -> list[str]:
+    """The names, numbered up where a live sibling (``without`` aside) or an earlier one of them has them.
+
+    Siblings are asked in two ways only: which of the names are taken, and for each stem how many of its
+    numbers are, by the count of free ones before them; so no more rows come back than names are wanted.
+    """
+    here = live(tree).where((F.col("parentId") == parent_id) & ~F.col("id").isin(without or [""])).select("name")
+    taken = {r[0] for r in here.where(F.col("name").isin(list(dict.fromkeys(wanted)))).distinct().collect()}
+    asked: dict[tuple[str, str, int], None] = {}
+    for name in wanted:
+        asked.setdefault(file_names.split(file_names.numbered(name)))
+    if not taken and len(set(wanted)) == len(wanted):
+        return list(wanted)
+    m = len(wanted)
+    probes = tree.sparkSession.createDataFrame(list(asked), "stem string, ext string, first long")
+    numbers = here.distinct().select(F.regexp_extract("name", file_names.NUMBERED, 1).alias("stem"), F.regexp_extract("name", file_names.NUMBERED, 2).try_cast("long").alias("n"), F.regexp_extract("name", file_names.NUMBERED, 3).alias("ext")).where("n IS NOT NULL")
+    met = numbers.join(F.broadcast(probes), ["stem", "ext"]).where("n >= first")
+    before = F.row_number().over(Window.partitionBy("stem", "ext", "first").orderBy("n")) - 1
+    free = met.withColumn("free", F.col("n") - F.col("first") - before).where(F.col("free") < m)
+    gaps: dict[tuple[str, str, int], dict[int, int]] = {}
+    for r in free.groupBy("stem", "ext", "first", "free").agg(F.count("*").alias("c")).collect():
+        gaps.setdefault((r["stem"], r["ext"], r["first"]), {})[r["free"]] = r["c"]
+    used, out = set(taken), []
+    for name in wanted:
+        if name in used:
+            stem, ext, first = file_names.split(file_names.numbered(name))
+            at, shift = 0, 0
+            while True:
+                shift += gaps.get((stem, ext, first), {}).get(at, 0)
+                name = file_names.joined(stem, ext, first + at + shift)
+                if name not in used:
+                    break
+                at += 1
+        used.add(name)
+        out.append(name)
+    return out
 
 
 def rebalanced(tree: DataFrame, parent_id: str, longest: int = 32) -> DataFrame:
@@ -493,26 +690,34 @@ def _digits(number: Column, width: int) -> Column:
 
 
 def repaired_names(tree: DataFrame, parent_id: str) -> DataFrame:
-    """The tree with numbered names where a directory's live children share one; the oldest keeps its name."""
-    here = live(tree).where(F.col("parentId") == parent_id)
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("modif", "id"))
-    twice = here.withColumn("__r", rank).where("__r > 1").select("id", "name").orderBy("name", "id").collect()
-    if not twice:
-        return tree
-    taken = [r[0] for r in here.select("name").distinct().collect()]
-    new = tree.sparkSession.createDataFrame(list(zip([r["id"] for r in twice], unique_names([r["name"] for r in twice], taken), strict=True)), "id string, __name string")
+    """The tree with numbered names where a directory's live children share one; the oldest keeps its name, the others
+    get the least numbers that are free, by their age. All of it is two windows over the names' stems."""
+    here = live(tree).where(F.col("parentId") == parent_id).select("id", "name", "modif")
+    part = lambda k: F.regexp_extract("name", file_names.NUMBERED, k)
+    plain = part(2) == ""
+    stem = F.when(~plain, part(1)).otherwise(F.regexp_replace("name", file_names.EXTENSION, ""))
+    ext = F.when(~plain, part(3)).otherwise(F.regexp_extract("name", file_names.EXTENSION, 1))
+    rows = here.withColumn("__r", F.row_number().over(Window.partitionBy("name").orderBy("modif", "id"))).select("id", "name", "modif", "__r", stem.alias("stem"), ext.alias("ext"), part(2).try_cast("long").alias("n"))
+    # numbers that are taken, by how many free ones lie below them; and names that are wanted, by their turn
+    group = Window.partitionBy("stem", "ext")
+    taken = rows.where("__r = 1 AND n >= 1").withColumn("at", F.col("n") - F.row_number().over(group.orderBy("n"))).select("stem", "ext", "at", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("id"))
+    twice = rows.where("__r > 1").withColumn("at", F.row_number().over(group.orderBy("modif", "id")) - 1).select("stem", "ext", "at", F.lit(1).alias("turn"), "id")
+    below = F.sum(1 - F.col("turn")).over(group.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    new = taken.unionByName(twice).withColumn("number", F.col("at") + 1 + below).where("id IS NOT NULL")
+    new = new.select("id", F.concat("stem", F.lit(" ("), F.col("number").cast("string"), F.lit(")"), "ext").alias("__name"))
     return tree.join(new, "id", "left").withColumn("name", F.coalesce("__name", "name")).select(*tree.columns)
 
 
 def copy_nodes(tree: DataFrame, ids: list[str], parent_id: str, modif: int, place: Place | None = None) -> Changed:
     """Deep copies under new ids; names are numbered where they are taken."""
     _parent_exists(tree, parent_id)
+    tree = _managed(tree)
     nodes = live(tree)
-    tops = {r["id"]: r for r in top_selected(nodes, ids).collect()}
+    tops = {r["id"]: r["name"] for r in top_selected(nodes, ids).select("id", "name").collect()}
     chosen = [i for i in dict.fromkeys(ids) if i in tops]
     if not chosen:
         return Changed(tree)
-    names = unique_names([tops[i]["name"] for i in chosen], [r[0] for r in nodes.where(F.col("parentId") == parent_id).select("name").collect() if r[0]])
+    names = free_names(tree, parent_id, [tops[i] for i in chosen], [])
     keys = keys_for(tree, parent_id, len(chosen), place)
     # a copy's id follows from the old one and the call: rows that are worked out again get the same id
     salt = writes.new_id()
@@ -529,7 +734,8 @@ def copy_nodes(tree: DataFrame, ids: list[str], parent_id: str, modif: int, plac
         }
     ).select(*tree.columns)
     out = tree.unionByName(writes.numbered_after(tree, copied).select(*tree.columns))
-    return Changed(stamped_up(refreshed(settled(rebalanced(out, parent_id))), [parent_id], modif), chosen)
+    deltas = nodes.where(F.col("id").isin(chosen)).select(F.lit(parent_id).alias("id"), *contribution())
+    return Changed(shifted(settled(rebalanced(out, parent_id)), deltas, modif, [parent_id]), chosen)
 
 
 def list_by_cursor(tree: DataFrame, parent_id: str, **options: Any) -> find.Page:
@@ -551,15 +757,8 @@ def would_overwrite(tree: DataFrame, nodes: DataFrame, parent_id: str, unique_by
 
 def dead_nodes(tree: DataFrame) -> DataFrame:
     """Nodes that do not hang together with ``/``, cycles among them."""
-    spark = tree.sparkSession
-    tops = [ROOT]
-    links = tree.select("id", "parentId")
-    level = settled(links.join(_one("parentId", tops, spark), "parentId", "left_semi").select("id"))
-    seen = level
-    while not level.isEmpty():
-        level = settled(links.join(level.select(F.col("id").alias("parentId")), "parentId", "left_semi").select("id").join(seen, "id", "left_anti"))
-        seen = settled(seen.unionByName(level))
-    return tree.join(seen, "id", "left_anti")
+    tops = tree.where(F.col("parentId") == ROOT).select("id")
+    return tree.join(descendants(tree, tops, include_self=True).select("id"), "id", "left_anti")
 
 
 def without_dead(tree: DataFrame) -> DataFrame:

@@ -329,8 +329,16 @@ class TreeTable(DocTable):
     def update_nodes(self, filter_: dict[str, Any], update: dict[str, Any], deep: bool = False) -> None:
         self._change(lambda t, m: tree.update_nodes(t, filter_, update, m, deep))
 
-    def set_nodes(self, nodes: list[dict[str, Any]], rule: tree.Conflicts | None = None, update_only: bool = False) -> list[str]:
-        return self._change(lambda t, m: tree.set_nodes(t, nodes, m, rule, update_only, not self.options.mark_delete)).ids
+    def set_nodes(self, nodes: list[dict[str, Any]], rule: tree.Conflicts | None = None, update_only: bool = False, place: tree.Place | None = None, set_mode: str = "default", presync: bool = False) -> tree.Changed:
+        """``presync`` also tells which of the nodes that come with ``oldModif`` and ``oldCmodif`` are out of date or gone."""
+        states = None
+        if presync:
+            seen = self.spark.createDataFrame([(str(n["id"]), n.get("oldModif"), n.get("oldCmodif")) for n in nodes if n.get("id")], "id string, modif long, cmodif long")
+            states = {r["id"]: r["state"] for r in tree.presync(self.df, seen).collect()}
+        plain = [{k: v for k, v in n.items() if k not in ("oldModif", "oldCmodif")} for n in nodes]
+        done = self._change(lambda t, m: tree.set_nodes(t, plain, m, rule, update_only, not self.options.mark_delete, self.now(), place, set_mode))
+        done.states = states
+        return done
 
     def delete_nodes(self, ids: list[str], real_delete: bool = False) -> int:
         real = real_delete or not self.options.mark_delete
@@ -340,7 +348,7 @@ class TreeTable(DocTable):
         self._change(lambda t, m: tree.undelete_nodes(t, ids, m))
 
     def move_nodes(self, ids: list[str], parent_id: str, rule: tree.Conflicts | None = None, place: tree.Place | None = None) -> list[str]:
-        return self._change(lambda t, m: tree.move_nodes(t, ids, parent_id, m, rule, place, real_delete=not self.options.mark_delete)).ids
+        return self._change(lambda t, m: tree.move_nodes(t, ids, parent_id, m, rule, place, real_delete=not self.options.mark_delete, clock=self.now())).ids
 
     def copy_nodes(self, ids: list[str], parent_id: str, place: tree.Place | None = None) -> None:
         self._change(lambda t, m: tree.copy_nodes(t, ids, parent_id, m, place))
