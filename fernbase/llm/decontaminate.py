@@ -3,23 +3,28 @@
 The normalised benchmark items are put into one suffix automaton over their words. Each document's words
 are streamed through it: at every word the automaton's state and the length of the longest suffix that
 occurs in some item are known. Where that length reaches the window's, the window's words are hit. The
-automaton is of the benchmark's size, never of the corpus's; items are dealt into blocks of a bounded
-number of words, and each block's automaton is broadcast for a pass of its own, so that what is sent at
-once has a fixed bound however large the benchmark. Documents never move.
+automaton is of the benchmark's size, never of the corpus's. Items are dealt into blocks of at most
+``most_words`` words; a longer item is cut into pieces that overlap by a window less a word. Tasks build the
+blocks' automatons and write them to the shared folder; then one at a time comes to the driver, is
+broadcast for a pass over the documents, and is destroyed. So what is held or sent at once has a fixed
+bound however large the benchmark or an item of it. Documents never move.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, free_name, repeatable, sub_batches, text_bytes
+from .common import Written, begin, free_name, repeatable, sub_batches, text_bytes
 
+#: Words of the items of one automaton.
+MOST_WORDS = 100_000
 #: Word characters of the normal form: 0-9, a-z after lower-casing A-Z, and all bytes from 0x80.
 _KEEP = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -41,6 +46,8 @@ class ItemAutomaton:
         self.full: dict[int, list] = {}
         self.short: dict[int, dict[int, list]] = {}
         coded = [(item, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for item, words in items if words]
+        if not coded:
+            self.vocabulary = {}
         self.least = min([window, *(len(c) for _, c in coded)])
         for _, codes in coded:
             last = 0
@@ -152,18 +159,40 @@ class ItemAutomaton:
         return spans, items
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, most_words: int) -> list[list[tuple[object, list[bytes]]]]:
-    """The items in blocks of at most ``most_words`` words (one item at least), streamed to the driver."""
-    blocks: list[list[tuple[object, list[bytes]]]] = []
-    size = 0
-    for item, text in benchmark.select(item_col, text_col).toLocalIterator():
-        words = words_of((text or "").encode())
-        if not blocks or size + len(words) > most_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, words))
-        size += len(words)
-    return blocks
+def pieces_of(words: list[bytes], window: int, most_words: int) -> list[list[bytes]]:
+    """The words of an item in pieces of at most ``most_words`` (a window at least) that together hold its windows."""
+    step = max(1, most_words - window + 1)
+    return [words[k : k + step + window - 1] for k in range(0, max(1, len(words) - window + 1), step)]
+
+
+def automatons(benchmark: DataFrame, window: int, item_col: str, text_col: str, most_words: int) -> Written:
+    """A written table (automaton): one pickled automaton for each block of items, built where the items lie."""
+    spark = benchmark.sparkSession
+    begin(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str | None, list[bytes]]] = []
+        size = 0
+
+        def build() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(ItemAutomaton(held, window))], pa.binary())], ["automaton"])
+
+        for batch in sub_batches(batches, "text"):
+            for item, text in zip(batch.column("item").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                for words in pieces_of(words_of(text), window, most_words):
+                    if held and size + len(words) > most_words:
+                        yield build()
+                        held, size = [], 0
+                    if words:
+                        held.append((item, words))
+                        size += len(words)
+        if held:
+            yield build()
+
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    items = items.coalesce(1 + size // (8 * most_words))  # so that a small benchmark makes one block, however many files it has
+    return Written(items.mapInArrow(run, "automaton binary"), "benchmark-automatons")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -181,17 +210,21 @@ FOUND = "doc_id long, place long, n_words long, n_hit long, items array<string>,
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scanner(docs: DataFrame, block: list[tuple[object, list[bytes]]], window: int):
-    """A function from texts to (words, merged spans, items), around a broadcast automaton."""
-    sent = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(block, window))
+class Scanner:
+    """From texts to (words, merged spans, items), by a broadcast automaton or, without items, none."""
+
+    def __init__(self, spark: SparkSession, automaton: bytes | None):
+        self.sent = spark.sparkContext.broadcast(pickle.loads(automaton)) if automaton else None
 
-    def scan(texts: list[bytes]) -> Iterator[Scan]:
+    def __call__(self, texts: list[bytes]) -> Iterator[Scan]:
         for text in texts:
             words = words_of(text)
-            spans, items = sent.value.scan(words) if sent.value.vocabulary else ([], set())
+            spans, items = self.sent.value.scan(words) if self.sent else ([], set())
             yield words, merged(spans), items
 
-    return scan
+    def close(self) -> None:
+        if self.sent:
+            self.sent.destroy()
 
 
 def _found(ids: pa.Array, places: pa.Array, n_words: list[int], items: list[set], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
@@ -201,7 +234,7 @@ def _found(ids: pa.Array, places: pa.Array, n_words: list[int], items: list[set]
             places,
             pa.array(n_words, pa.int64()),
             pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-            pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string())),
+            pa.array([sorted(x - {None}) + [None] * (None in x) for x in items], pa.list_(pa.string())),
             pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
         ],
         ["doc_id", "place", "n_words", "n_hit", "items", "spans"],
@@ -209,33 +242,44 @@ def _found(ids: pa.Array, places: pa.Array, n_words: list[int], items: list[set]
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = 200_000
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = MOST_WORDS
 ) -> DataFrame:
-    """doc_id, place (of the row in the input), n_words, n_hit, items (array<string>, sorted as strings),
+    """doc_id, place (of the row in the input), n_words, n_hit, items (array<string>, sorted as strings, null last),
     spans (array of [start, end) in words).
 
     A window is ``window`` consecutive words of an item, or the whole of an item that is shorter but not
-    empty. Null texts have no words; items without words are ignored; an empty benchmark hits nothing;
-    repeated rows repeat. Columns other than the named ones are not read. A benchmark of over
-    ``most_words`` words is gone through in blocks, one pass over the documents for each.
+    empty. Null texts have no words; items without words are ignored, items without an id count as one; an
+    empty benchmark hits nothing, an empty table gives no rows; repeated rows repeat; texts and items of any
+    length are read whole. Columns other than the named ones are not read, whatever their names. With one
+    block of items the result is one lazy pass; with more, each block's pass is written before the next.
     """
-    begin(docs.sparkSession)
-    docs = repeatable(docs)
+    spark = docs.sparkSession
+    blocks = automatons(benchmark, window, item_col, item_text_col, most_words)
+    n = blocks.df.count()
+    begin(spark)
+    docs = repeatable(docs) if n > 1 else docs
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
 
-    def one_pass(block: list[tuple[object, list[bytes]]]) -> DataFrame:
-        scan = _scanner(docs, block, window)
-
+    def one_pass(scan: Scanner, every: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sub_batches(batches, "text"):
                 words, spans, items = zip(*scan(text_bytes(batch.column("text"))), strict=True)
-                yield _found(batch.column("doc_id"), batch.column("place"), list(map(len, words)), items, spans)
+                out = _found(batch.column("doc_id"), batch.column("place"), list(map(len, words)), items, spans)
+                yield out if every else out.filter(pa.array([bool(s) for s in spans]))
 
         return rows.mapInArrow(run, FOUND)
 
-    passes = [one_pass(b) for b in blocks_of(benchmark, item_col, item_text_col, most_words) or [[]]]
-    if len(passes) == 1:
-        return passes[0]
+    automaton = (r["automaton"] for r in blocks.df.toLocalIterator())
+    if n <= 1:
+        out = one_pass(Scanner(spark, next(automaton, None)), True)
+        blocks.drop()
+        return out
+    passes = []
+    for k, block in enumerate(automaton):
+        scan = Scanner(spark, bytes(block))
+        passes.append(Written(one_pass(scan, k == 0), "contamination"))  # further passes only add hits
+        scan.close()
+    blocks.drop()
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,9 +287,9 @@ def find_contamination(
             spans = [merged([(y["start"], y["end"]) for y in s]) for s in x["spans"]]
             yield _found(batch.column("doc_id"), batch.column("place"), x["n_words"], [set(i) for i in x["items"]], spans)
 
-    every = passes[0]
+    every = passes[0].df
     for other in passes[1:]:
-        every = every.unionByName(other)
+        every = every.unionByName(other.df)
     grouped = every.groupBy("place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     return grouped.mapInArrow(combine, FOUND)
 
@@ -256,7 +300,8 @@ def is_contaminated(share: int = 20) -> F.Column:
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """Per document: counts, the items whose windows occur, and whether it counts as contaminated."""
+    """Per document: counts, the items whose windows occur, and whether it counts as contaminated. Nulls, empty
+    tables and the like are as in :func:`find_contamination`."""
     found = find_contamination(docs, benchmark, window)
     return found.select(
         "doc_id",
@@ -268,18 +313,25 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 13
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", most_words: int = 200_000) -> DataFrame:
-    """The input without contaminated documents, whole rows as they were. With one block of items each row
-    is decided on its own and nothing moves."""
-    begin(docs.sparkSession)
-    blocks = blocks_of(benchmark, "item_id", "text", most_words) or [[]]
-    if len(blocks) > 1:
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = MOST_WORDS
+) -> DataFrame:
+    """The input without contaminated documents, whole rows as they were, repeated ones and null ids included. A null
+    or empty text is clean, an empty table stays empty, an empty benchmark leaves all. With one block of items
+    each row is decided on its own and nothing moves."""
+    spark = docs.sparkSession
+    blocks = automatons(benchmark, window, item_col, item_text_col, most_words)
+    if blocks.df.count() > 1:
+        blocks.drop()
         docs = repeatable(docs)
-        found = find_contamination(docs, benchmark, window, id_col, text_col, most_words=most_words)
+        found = find_contamination(docs, benchmark, window, id_col, text_col, item_col, item_text_col, most_words)
         place = free_name(docs, "place")
         gone = found.where(is_contaminated()).select(F.col("place").alias(place))
         return docs.withColumn(place, F.monotonically_increasing_id()).join(gone, place, "left_anti").drop(place)
-    scan = _scanner(docs, blocks[0], window)
+    one = blocks.df.first()
+    blocks.drop()
+    scan = Scanner(spark, bytes(one["automaton"]) if one else None)
+    begin(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, text_col):

@@ -145,7 +145,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
 
     Labels are learnt only from rows whose crc32(doc_id as text) mod ``modulus`` is not ``held_out``; labels
     other than 0 and 1 and null ids are ignored, a repeated label counts each time. Texts that are null or
-    empty have a score too. An empty table gives no rows; other columns are not read.
+    empty have a score too; texts of any length are read whole; repeated rows repeat. An empty table gives
+    no rows; other columns are not read, whatever their names.
     """
     stats = Written(document_statistics(docs), "quality-stats").df
     model = _fitted(stats, labels, modulus, held_out)
@@ -161,9 +162,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
 
 
 def accepted(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The input's rows whose score reaches the threshold, as they were: each is judged where it lies."""
-    stats = Written(document_statistics(docs, text_col=text_col), "quality-stats").df
-    model = _fitted(stats, labels, modulus, held_out)
+    """The input's rows whose score reaches the threshold, as they were: each is judged where it lies.
+
+    Statistics are worked out again for that, as this costs less than moving texts to meet their scores. Null
+    and empty texts are judged like any other, repeated rows repeat, null ids do not matter, an empty table
+    stays empty."""
+    stats = Written(document_statistics(docs, text_col=text_col), "quality-stats")
+    model = _fitted(stats.df, labels, modulus, held_out)
+    stats.drop()
     begin(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,9 @@ Fingerprints are made where the text is. Only distinct fingerprints are compared
 radius r agree on at least ``blocks - r`` of their blocks of bits, so each is dealt out under every choice
 of that many blocks; with 8 blocks and r = 2 a bucket shares 48 bits, and holds at most 2**16 distinct
 fingerprints whatever the data. In a bucket the bit planes are stored vertically, 64 fingerprints to a
-word; distances of many pairs are counted at once by carry-save counters that stop at r + 1, and a block
-is abandoned once all of its distances exceed the radius. A bucket gives a spanning star of each of
+word; distances of many pairs are counted at once by bit-sliced counters: carry-save adders take two planes'
+differences and a counter's bit to a sum and a carry for the next bit, and a block is abandoned once all of
+its distances exceed the radius. A bucket gives a spanning star of each of
 its linked sets, never all pairs. The stars are joined to components by alternating large-star and
 small-star steps, written out after each.
 """
@@ -84,29 +85,74 @@ def bit_planes(fps: np.ndarray, planes: list[int]) -> np.ndarray:
     return np.array(rows, np.uint64).reshape(len(planes), -1)
 
 
+def carry_save(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three bits of each lane as two: their sum modulo two, and the carry."""
+    either = a ^ b
+    return either ^ c, (a & b) | (either & c)
+
+
+class Counters:
+    """Numbers in bit slices: word k holds bit k of 64 lanes' counts. Counts that no longer fit, all of them beyond
+    ``most``, are only marked as such."""
+
+    def __init__(self, cells: int, most: int):
+        self.most = most
+        self.bits = [np.zeros(cells, np.uint64) for _ in range(most.bit_length())]
+        self.over = np.zeros(cells, np.uint64)
+
+    def add(self, ones: list[np.ndarray]) -> None:
+        """Add some one-bit numbers to each lane: pairs of them by an adder, a last one by itself."""
+        for k in range(len(self.bits)):
+            carries = []
+            while len(ones) > 1:
+                self.bits[k], carry = carry_save(self.bits[k], ones.pop(), ones.pop())
+                carries.append(carry)
+            if ones:
+                one = ones.pop()
+                carries.append(self.bits[k] & one)
+                self.bits[k] = self.bits[k] ^ one
+            ones = carries
+        for carry in ones:
+            self.over = self.over | carry
+
+    def beyond(self) -> np.ndarray:
+        """The lanes whose counts exceed ``most``."""
+        more, equal = self.over, ~self.over
+        for k in range(len(self.bits) - 1, -1, -1):
+            if self.most >> k & 1:
+                equal = equal & self.bits[k]
+            else:
+                more = more | (equal & self.bits[k])
+                equal = equal & ~self.bits[k]
+        return more
+
+    def keep(self, cells: np.ndarray) -> None:
+        self.bits, self.over = [b[cells] for b in self.bits], self.over[cells]
+
+
+#: Planes whose differences are counted between two looks at which cells to abandon.
+STEP = 4
+
+
 def near_pairs(query: np.ndarray, stored: np.ndarray, radius: int, where: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j) of all fingerprints query[i] and stored[j] that differ in at most ``radius`` bits.
 
-    A cell is one query against one vertical word of 64 stored fingerprints. ``more[k]`` holds, bit by bit,
-    whether more than k differences were met so far; a plane's differences are carried through these
-    counters from the top. Every few planes the cells with all 64 beyond the radius are abandoned.
+    A cell is one query against one vertical word of 64 stored fingerprints. Every few planes the cells with
+    all 64 beyond the radius are abandoned.
     """
     where = list(range(64)) if where is None else where
     planes = bit_planes(stored, where)
     words = planes.shape[1]
     row, word = np.repeat(np.arange(len(query)), words), np.tile(np.arange(words), len(query))
-    more = [np.zeros(len(row), np.uint64) for _ in range(radius + 1)]
-    for k, p in enumerate(where):
-        sign = (np.uint64(0) - ((query >> np.uint64(p)) & np.uint64(1)))[row]
-        differs = planes[k][word] ^ sign
-        for j in range(radius, 0, -1):
-            more[j] |= more[j - 1] & differs
-        more[0] |= differs
-        if k % 4 == 3:
-            alive = more[radius] != ALL
-            if not alive.all():
-                row, word, more = row[alive], word[alive], [m[alive] for m in more]
-    near = np.unpackbits((~more[radius]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = Counters(len(row), radius)
+    for at in range(0, len(where), STEP):
+        sign = [np.uint64(0) - ((query >> np.uint64(p)) & np.uint64(1)) for p in where[at : at + STEP]]
+        counts.add([planes[at + k][word] ^ s[row] for k, s in enumerate(sign)])
+        alive = counts.beyond() != ALL
+        if not alive.all():
+            row, word = row[alive], word[alive]
+            counts.keep(alive)
+    near = np.unpackbits((~counts.beyond()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     cell, bit = np.nonzero(near)
     i, j = row[cell], word[cell] * 64 + bit
     real = j < len(stored)
@@ -207,9 +253,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, blocks: int
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at ``radius`` or fewer differing bits, component_id is the smallest doc_id reachable.
-    Texts without words, null texts among them, have fingerprint zero, which links like any other. Null
-    ids are ignored as component ids; repeated rows repeat; an empty table gives no rows; columns
-    other than id and text are not read.
+    Texts without words, null texts among them, have fingerprint zero, which links like any other; texts of any
+    length are read whole. Null ids are ignored as component ids; repeated rows repeat; an empty table gives
+    no rows; columns other than id and text are not read, whatever their names.
     """
     spark = docs.sparkSession
     fp = Written(fingerprints(docs, size, id_col, text_col), "simhash-fp")

@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Lexicons. From a bounded sample of labelled documents (``most_rows`` a class; documents whose lowest shingle
-   hash is the same count once, so that a group of copies is one witness) come words, and word beginnings
-   shared by several words, that toxic documents use many times more often.
+1. Lexicons. From a bounded sample of labelled documents (``most_rows`` a class; documents that have the same
+   words count once, so that a group of copies is one witness) come all words, and word beginnings shared
+   by several words, that toxic documents use many times more often.
 2. Voters. Groups of lexicon words, counts and rates of beginnings, disguised spellings, and style
    patterns each vote on every document, or do not.
 3. Label model. A generative model of the votes given the hidden label: a tree of voters (each depends on the
@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -93,8 +94,9 @@ class Lexicon:
         return [*groups, *(int(bool(v)) for v in votes)], features
 
 
-def _shingle_sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
-    """(label, word, n): in how many sampled documents of the label the word occurs, copies counted once."""
+def _word_sets(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
+    """(label, words): the different words of each sampled document; documents of a label with the same words are
+    one row."""
     sample = None
     for label in (0, 1):
         some = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
@@ -102,27 +104,21 @@ def _shingle_sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataF
     begin(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in sub_batches(batches, "text"):
-            marks, words = [], []
-            for text in text_bytes(batch.column("text")):
-                split = text.split()
-                least = min((xxh64_intdigest(b" ".join(split[i : i + 5])) for i in range(max(1, len(split) - 4))), default=0)
-                marks.append(least - (1 << 63))
-                words.append(sorted(set(_WORD.findall(text.decode().lower()))))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(marks, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["label", "mark", "words"])
+            words = [sorted(set(_WORD.findall(text.decode().lower()))) for text in text_bytes(batch.column("text"))]
+            marks = [hashlib.sha256(" ".join(w).encode()).digest() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(marks, pa.binary()), pa.array(words, pa.list_(pa.string()))], ["label", "mark", "words"])
 
     # at most 2 * most_rows ids are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
-    once = rows.mapInArrow(run, "label int, mark long, words array<string>").groupBy("label", "mark").agg(F.max("words").alias("words"))
-    return once
+    return rows.mapInArrow(run, "label int, mark binary, words array<string>").dropDuplicates(["label", "mark"]).drop("mark")
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_odds: float = 2.3, most_entries: int = 2000) -> Lexicon:
-    """``labels``: (doc_id, label). Words and beginnings whose log odds reach ``least_odds``, and whose support
-    is five documents or one in 200 of the toxic ones; the weightiest ``most_entries`` of each kind."""
-    sample = Written(_shingle_sample(docs, labels, most_rows), "toxic-sample")
+def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_odds: float = 2.3) -> Lexicon:
+    """``labels``: (doc_id, label). All words and beginnings whose log odds reach ``least_odds``, and whose support
+    is five documents or one in 200 of the toxic ones. The sample's bound bounds them too: no more pass than
+    200 times the words of a sampled document."""
+    sample = Written(_word_sets(docs, labels, most_rows), "toxic-sample")
     once = sample.df
     size = {r["label"]: (r["n"], r["types"]) for r in once.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("types")).collect()}
     if size.get(0, (0, 0))[1] == 0 or size.get(1, (0, 0))[1] == 0:
@@ -134,12 +130,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, l
     words = table.df
     odds = F.log((F.col("a") + 0.5) / t1) - F.log((F.col("b") + 0.5) / t0)
     good = words.where(F.col("a") >= least).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-    found = {r["word"]: r["odds"] for r in good.orderBy(F.desc("odds"), "word").limit(most_entries).collect()}
+    found = {r["word"]: r["odds"] for r in good.collect()}
     cut = F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in BEGINNINGS])
     parts = words.where("a + b > 0").select(F.explode(cut).alias("start"), "a", "b").where("start is not null")
     summed = parts.groupBy("start").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("a").alias("top"))
     starts = summed.where((F.col("a") >= 2 * least) & (F.col("top") < 0.5 * F.col("a"))).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-    begun = {r["start"]: r["odds"] for r in starts.orderBy(F.desc("odds"), "start").limit(most_entries).collect()}
+    begun = {r["start"]: r["odds"] for r in starts.collect()}
     sample.drop()
     table.drop()
     # a longer beginning adds nothing where a shorter one is as telling
@@ -254,8 +250,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_o
 
     Labels are learnt only from rows whose crc32(doc_id as text) mod ``modulus`` is not ``held_out``; labels
     other than 0 and 1 and null ids are ignored, of several labels of one id the larger holds. Without
-    labels of both kinds every score is the share of toxic labels, one half if there are none. Null and
-    empty texts have a score too; an empty table gives no rows; other columns are not read.
+    labels of both kinds every score is the share of toxic labels, one half if there are none. Known labels
+    that may be learnt from also stand for the posterior of their documents. Null and empty texts have a
+    score too; texts of any length are read whole, by the same rules; repeated rows repeat; an empty table
+    gives no rows; other columns are not read, whatever their names.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~fold("doc_id", modulus, held_out))
