@@ -56,10 +56,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``: a row for each that is left, none for an empty table. What the
+    stages say of nulls, empty and very long texts, ties and repeated rows holds for all of them together; extra
+    columns travel along as far as the last stage, which reads the id and the text. A stage's table is
+    deleted when the next one has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = Written(docs, f"pipeline-{name}").df
+            written = Written(docs, f"pipeline-{name}")
+            if before:
+                before.drop()
+            docs, before = written.df, written
     return docs
