@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -31,10 +32,14 @@ def sort_keys(sort: Sort) -> list[tuple[str, bool]]:
     return [(s[1:], True) if s.startswith("-") else (s, False) for s in sort]
 
 
-def _padded(column: Column, digits: int = 20) -> Column:
-    """Text with its runs of digits padded, so that 2 comes before 10."""
-    longer = F.regexp_replace(column, r"(\d+)", "0" * digits + "$1")
-    return F.regexp_replace(longer, rf"0*(\d{{{digits}}})", "$1")
+def _padded(column: Column) -> Column:
+    """Text whose runs of digits begin with their length, so that 2 comes before 10; leading zeros do not count."""
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_replace(part, "^0+(?=[0-9])", "")
+        return F.when(part.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(F.regexp_extract_all(column, F.lit("([0-9]+|[^0-9]+)"), 1), one), "")
 
 
 def order_columns(df: DataFrame, sort: Sort, natural: bool = False, case_sensitive: bool = True, numeric: bool = False) -> list[Column]:
@@ -125,12 +130,14 @@ def find_many(
     numeric_ordering: bool = False,
     hide_deleted: bool = False,
     keep_row: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Filter, sort, offset and limit, project. A limit of 0 is none. Without sort the order is that of insertion."""
+    """Filter, sort, offset and limit, project. A limit of 0 is none. Without a sort, a limit and an offset count by
+    insertion; rows without any of these come in no order, unless ``ordered`` asks for that of insertion."""
     limit, offset = _bounded("limit", limit), _bounded("offset", offset)
     out = df.filter(filters.compile_filter(filters.visible(filter_, hide_deleted), df.schema))
     keys = order_columns(df, sort, natural_sort, case_sensitive, numeric_ordering)
-    if keys and (sort or limit or offset):
+    if keys and (sort or limit or offset or ordered):
         out = out.orderBy(*keys)
     if offset:
         out = out.offset(offset)
@@ -203,7 +210,8 @@ def cursor_frame(df: DataFrame, filter_: dict[str, Any] | None = None, *, page_s
     """The rows after a cursor, one more than a page, by key and insertion number: no offset is counted off.
 
     A cursor is a value of the key, which skips all of its rows, or (value, number), which skips just those
-    up to that row; a null key is a value like any other, and comes first ascending.
+    up to that row; a null key is a value like any other, and comes first ascending. A table without
+    insertion numbers goes by ``id`` instead.
     """
     if filters.mentions(filter_, sort_key):
         raise QueryError(f"the filter must leave {sort_key} to the cursor")
@@ -211,7 +219,8 @@ def cursor_frame(df: DataFrame, filter_: dict[str, Any] | None = None, *, page_s
     if found.column is None:
         raise QueryError(f"no field {sort_key}")
     out = df.filter(filters.compile_filter(filters.visible(filter_, hide_deleted), df.schema))
-    tie = ROW in df.columns and sort_key != ROW
+    tie_key = ROW if ROW in df.columns or "id" not in df.columns else "id"
+    tie = tie_key in df.columns and sort_key != tie_key
     column = found.column
     if cursor is not None:
         value, row = cursor if isinstance(cursor, (tuple, list)) else (cursor, None)
@@ -222,12 +231,12 @@ def cursor_frame(df: DataFrame, filter_: dict[str, Any] | None = None, *, page_s
             after = (column < F.lit(value)) | column.isNull() if descending else column > F.lit(value)
             equal_key = column == F.lit(value)
         if row is not None and tie:
-            after = after | (equal_key & (F.col(ROW) > F.lit(row)))
+            after = after | (equal_key & (F.col(tie_key) > F.lit(row)))
         out = out.filter(after)
-    keys = [column.desc_nulls_last() if descending else column.asc_nulls_first(), *([F.col(ROW).asc()] if tie else [])]
+    keys = [column.desc_nulls_last() if descending else column.asc_nulls_first(), *([F.col(tie_key).asc()] if tie else [])]
     out = out.orderBy(*keys).limit(page_size + 1).withColumn("__key", column)
-    if ROW in df.columns:
-        out = out.withColumn("__row", F.col(ROW))
+    if tie_key in df.columns:
+        out = out.withColumn("__row", F.col(tie_key))
     if projection:
         spec = dict.fromkeys(projection, 1) if isinstance(projection, (list, tuple)) else dict(projection)
         if any(v not in (0, False, -1) for v in spec.values()):
@@ -252,12 +261,11 @@ def list_paging_by_cursor(df: DataFrame, filter_: dict[str, Any] | None = None,
 
 
 def each_batch(df: DataFrame, filter_: dict[str, Any] | None, work: Callable[[list[Row], Callable[[], None], int], None], *, page_size: int = 100, sort: Sort = None, **options: Any) -> int:
-    """Call ``work(rows, stop, number)`` for each batch of one streamed, sorted result; the number of batches.
-
-    The plan runs once; the driver holds one partition at a time, not the result."""
+    """Call ``work(rows, stop, number)`` for each batch of one streamed result, in the order of the sort or of
+    insertion; the number of batches. The plan runs once; the driver holds one partition at a time, not the result."""
     stopped: list[bool] = []
     number = 0
-    for rows in _batches(find_many(df, filter_, sort=sort, **options).toLocalIterator(prefetchPartitions=True), page_size):
+    for rows in _batches(find_many(df, filter_, sort=sort, **{"ordered": True, **options}).toLocalIterator(prefetchPartitions=True), page_size):
         number += 1
         work(rows, lambda: stopped.append(True), number)
         if stopped:
@@ -277,14 +285,33 @@ def _batches(rows: Iterator[Row], size: int) -> Iterator[list[Row]]:
 
 
 def for_each(df: DataFrame, filter_: dict[str, Any] | None, work: Callable[[Row, int], None], **options: Any) -> None:
-    for i, row in enumerate(find_many(df, filter_, **options).toLocalIterator(prefetchPartitions=True)):
+    """Call ``work(row, number)`` for each row, in the order of the sort or of insertion."""
+    for i, row in enumerate(find_many(df, filter_, **{"ordered": True, **options}).toLocalIterator(prefetchPartitions=True)):
         work(row, i)
 
 
-def explain(df: DataFrame, filter_: dict[str, Any] | None = None, **options: Any) -> dict[str, Any]:
-    """What runs for a query: the physical plan, the filters that the reader gets, and whether all is scanned."""
+def explain(df: DataFrame, filter_: dict[str, Any] | None = None, analyze: bool = False, **options: Any) -> dict[str, Any]:
+    """What runs for a query: the physical plan, the filters that the reader gets, whether all is scanned and why, and
+    how long planning took. ``analyze`` also runs it: its rows and how long that took."""
+    began = time.perf_counter()
     out = find_many(df, filter_, **options)
     plan = out._jdf.queryExecution().executedPlan().toString()
+    planned = time.perf_counter()
     pushed = [x for m in re.findall(r"PushedFilters: \[([^\]]*)\]", plan) for x in re.split(r", (?=[A-Z])", m) if x]
     read = re.findall(r"ReadSchema: (\S+)", plan)
-    return {"strategy": "columns", "plan": plan, "pushed_filters": pushed, "read_schema": read, "full_scan": not pushed}
+    reasons = []
+    for path in sorted(filters.paths(filter_)):
+        found = filters.resolve(path, filters.fields_of(df.schema))
+        if found.column is None:
+            reasons.append(f"{path}: no such field")
+        elif isinstance(found.kind, (T.ArrayType, T.VariantType)):
+            reasons.append(f"{path}: values of type {found.kind.simpleString()} are looked at row by row")
+        elif not any(re.search(rf"\b{re.escape(path)}\b", p) for p in pushed):
+            reasons.append(f"{path}: no condition on it that a reader takes")
+    if not filter_:
+        reasons.append("there is no filter")
+    report = {"strategy": "columns", "plan": plan, "pushed_filters": pushed, "read_schema": read, "full_scan": not pushed, "reasons": reasons, "plan_ms": round(1000 * (planned - began), 3)}
+    if analyze:
+        report["rows"] = out.count()
+        report["run_ms"] = round(1000 * (time.perf_counter() - planned), 3)
+    return report

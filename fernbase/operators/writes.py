@@ -7,6 +7,7 @@ may shuffle or broadcast either side. ``clock`` is the one time that all rows of
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import uuid
 from typing import Any
 
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from ..errors import QueryError
 from ..functions import values as V
 from ..plans import filters, updates
+from ..sources.scratch import settled
 from .find import ROW, Sort, order_columns
 
 CREATED, UPDATED, DELETED, GONE = "_createDate", "_updateDate", "_deleteDate", "_isDeleted"
@@ -26,8 +28,30 @@ def new_id() -> str:
     return uuid.uuid4().hex
 
 
+#: Hidden columns of documents that are to be set: the paths with dots that each one names, and its fields that are null.
+PATHS, NULLS = "__paths", "__nulls"
+
+
+def patch_rows(spark: Any, docs: list[dict[str, Any]], schema: T.StructType | None = None) -> DataFrame:
+    """Documents for :func:`set_many`, which besides their fields tell which of them are paths with dots, and which
+    are null: a path changes what lies at it and nothing beside it, a null empties the field."""
+    paths = [sorted(k for k in d if "." in k) for d in docs]
+    nulls = [sorted(k for k, v in d.items() if v is None and "." not in k and k != "id") for d in docs]
+    fields = list(schema.fields) if schema else []
+    marks = [(PATHS, paths)] * any(paths) + [(NULLS, nulls)] * any(nulls)
+    if not marks:
+        return rows_of(spark, docs, schema)
+    wide = T.StructType([*fields, *[T.StructField(name, T.ArrayType(T.StringType())) for name, _ in marks]])
+    marked = [{**d, **{name: values[k] for name, values in marks}} for k, d in enumerate(docs)]
+    out = rows_of(spark, marked, wide)
+    every = sorted({p for some in paths for p in some})
+    return out.withColumn(PATHS, F.col(PATHS).alias(PATHS, metadata={"paths": every})) if every else out
+
+
 def rows_of(spark: Any, docs: list[dict[str, Any]], schema: T.StructType | None = None) -> DataFrame:
-    """Documents as a frame, in the types of ``schema`` where it has the field; a missing id gets a new one."""
+    """Documents as a frame, in the types of ``schema`` where it has the field; a missing id gets a new one. A key
+    with dots is a path: its value lies in objects of these names."""
+    docs = [_unfolded(d) for d in docs]
     fields: dict[str, T.DataType] = {f.name: f.dataType for f in schema.fields} if schema else {}
     kind = T.StructType([T.StructField(n, t) for n, t in fields.items() if n != ROW])
     if "id" not in fields:
@@ -41,6 +65,16 @@ def rows_of(spark: Any, docs: list[dict[str, Any]], schema: T.StructType | None
     return spark.createDataFrame(made, kind)
 
 
+def _unfolded(doc: dict[str, Any]) -> dict[str, Any]:
+    if not any("." in k for k in doc):
+        return doc
+    out: dict[str, Any] = {k: dict(v) if isinstance(v, dict) else v for k, v in doc.items() if "." not in k}
+    for path, value in doc.items():
+        if "." in path:
+            _put(out, path, value)
+    return out
+
+
 def _filled(kind: Any) -> Any:
     """The type without objects that have no fields, which cannot be stored."""
     if isinstance(kind, T.StructType):
@@ -137,10 +171,13 @@ def insert_many(df: DataFrame, docs: DataFrame, unique: list[list[str]] | None =
         if keys == ["id"]:
             continue
         some = [F.col(f"`{k}`").isNotNull() for k in keys]
-        known = df.select(*keys).where(filters._fold(some, True)).distinct()
+        if any(k not in new.columns for k in keys):
+            continue
         blank = new.where(~filters._fold(some, True))
         full = _first(new.where(filters._fold(some, True)).withColumn("__k", F.struct(*keys)), "__k").drop("__k")
-        new = blank.unionByName(full.join(known, keys, "left_anti"))
+        if all(k in df.columns for k in keys):
+            full = full.join(df.select(*keys).where(filters._fold(some, True)).distinct(), keys, "left_anti")
+        new = blank.unionByName(full)
     have, new = aligned(df, numbered_after(df, new.drop("__at")))
     return have.unionByName(new)
 
@@ -160,29 +197,46 @@ def set_many(
     """Upsert by id. Of documents with one id the last counts, each applied to the state before.
 
     By default the documents' fields replace the stored ones: those named in ``present``, all of the frame's
-    by default, of which a null leaves what is there. ``merge`` goes into objects and unites arrays;
+    by default, of which a null leaves what is there; frames of :func:`patch_rows` also set nulls, and change
+    what lies at a path with dots and nothing beside it. ``merge`` goes into objects and unites arrays;
     ``overwrite`` replaces whole rows but keeps the creation date where a clock is given.
     """
+    paths = docs.schema[PATHS].metadata["paths"] if PATHS in docs.columns else []
+    marks = first_of_each(docs, last=True).select("id", *[c for c in (PATHS, NULLS) if c in docs.columns]) if {PATHS, NULLS} & set(docs.columns) else None
+    docs = docs.drop(PATHS, NULLS)
     new = first_of_each(docs, last=True)
     if clock is not None:
         new = _stamped(new, clock, UPDATED)
     have, new = aligned(df, new)
     fields = [c for c in have.columns if c not in ("id", ROW)]
     touched = set(present if present is not None else docs.columns) | ({UPDATED} if clock is not None else set())
-    both = have.select("id", F.struct(*[F.col(f"`{c}`") for c in have.columns if c != "id"]).alias("o")).join(new.select("id", F.struct(*[F.col(f"`{c}`") for c in fields]).alias("n")), "id", "left")
+    fresh_side = new.select("id", F.struct(*[F.col(f"`{c}`") for c in fields]).alias("n"))
+    if marks is not None:
+        fresh_side = fresh_side.join(marks, "id")
+    both = have.select("id", F.struct(*[F.col(f"`{c}`") for c in have.columns if c != "id"]).alias("o")).join(fresh_side, "id", "left")
     matched = F.col("n").isNotNull()
 
+    def patched(c: str, old: Column, fresh: Column, after: Column, kind: T.DataType) -> Column:
+        mine = [p for p in paths if p.split(".")[0] == c]
+        if mine:  # a field that only comes by paths is changed at these, else taken whole
+            at = old
+            for p in mine:
+                value_at = fresh
+                for part in p.split(".")[1:]:
+                    value_at = value_at.getField(part)
+                at = F.when(F.array_contains(PATHS, p), updates._rebuilt(at, kind, p.split(".")[1:], lambda _, v=value_at: v)).otherwise(at)
+            after = F.when(F.arrays_overlap(F.col(PATHS), F.array(*[F.lit(p) for p in mine])), at).otherwise(after)
+        return F.when(F.array_contains(NULLS, c), F.lit(None)).otherwise(after) if marks is not None and NULLS in marks.columns else after
+
     def value(c: str) -> Column:
         old, fresh = F.col("o").getField(c), F.col("n").getField(c)
         kind = have.schema[c].dataType
         if overwrite:
             after = F.coalesce(old, fresh) if clock is not None and c == CREATED else fresh
-        elif c not in touched:
-            return old
         elif merge:
-            after = merged(old, fresh, kind)
+            after = merged(old, fresh, kind) if c in touched else old
         else:
-            after = F.coalesce(fresh, old)
+            after = patched(c, old, fresh, F.coalesce(fresh, old) if c in touched else old, kind)
         return F.when(matched, after).otherwise(old)
 
     kept = both.select("id", *[(F.col("o").getField(c) if c == ROW or insert_only else value(c)).alias(c) for c in have.columns if c != "id"]).select(*have.columns)
@@ -233,7 +287,9 @@ def upsert_row(filter_: dict[str, Any], update: dict[str, Any]) -> dict[str, Any
 def _put(doc: dict[str, Any], path: str, value: Any) -> None:
     *way, last = path.split(".")
     for part in way:
-        doc = doc.setdefault(part, {})
+        if not isinstance(doc.get(part), dict):
+            doc[part] = {}
+        doc = doc[part]
     doc[last] = value
 
 
@@ -285,31 +341,102 @@ def update_counts(df: DataFrame, filter_: dict[str, Any] | None, update: dict[st
 def bulk_update(df: DataFrame, items: list[dict[str, Any]], *, hide_deleted: bool = False, clock: dt.datetime | None = None) -> DataFrame:
     """A list of ``{filter, update, options}``, each an update_one on what the ones before it left.
 
-    Items that name one id each are collapsed: the table is scanned once, whatever their number, as long
-    as they are alike in operators and fields; otherwise they are folded one by one.
+    Items that name one id each, whatever their updates, are one join and one scan for a stretch of them: a
+    row meets its own items in their order. Other items pick their row by a filter, which may depend on any
+    item before; each is a step of its own, and every few steps are written out, so that plans stay small.
     """
     alike = _by_id(items)
     if alike is not None and not hide_deleted:
         return _set_by_id(df, alike, clock)
-    for item in items:
-        options = item.get("options") or {}
-        before = df
-        df = update_one(df, item["filter"], item["update"], sort=options.get("sort"), hide_deleted=hide_deleted, clock=clock)
-        if options.get("upsert"):
-            df = _upserted(before, df, item["filter"], item["update"], hide_deleted, clock)
+    steps = 0
+    for named, group in itertools.groupby(items, key=_names_id):
+        group = list(group)
+        for at in range(0, len(group), STRETCH if named else 1):
+            part = group[at : at + STRETCH] if named else [group[at]]
+            df = _each_by_id(df, part, hide_deleted, clock) if named else _one_by_filter(df, part[0], hide_deleted, clock)
+            steps += 1
+            if steps % 8 == 0:
+                df = settled(df)
     return df
 
 
+#: Items by id that one plan applies.
+STRETCH = 200
+
+
+def _names_id(item: dict[str, Any]) -> bool:
+    f = item["filter"]
+    return set(f) == {"id"} and not isinstance(f["id"], (dict, list)) and f["id"] is not None
+
+
+def _one_by_filter(df: DataFrame, item: dict[str, Any], hide_deleted: bool, clock: dt.datetime | None) -> DataFrame:
+    options = item.get("options") or {}
+    after = update_one(df, item["filter"], item["update"], sort=options.get("sort"), hide_deleted=hide_deleted, clock=clock)
+    return _upserted(df, after, item["filter"], item["update"], hide_deleted, clock) if options.get("upsert") else after
+
+
+def _each_by_id(df: DataFrame, items: list[dict[str, Any]], hide_deleted: bool, clock: dt.datetime | None) -> DataFrame:
+    """Items by id in one plan: each row is joined to the numbers of its updates, and these are applied in turn. The
+    first upsert of an id that is not there makes its row, which then meets the items after it."""
+    spark, found = df.sparkSession, []
+    turns: dict[str, list[int]] = {}
+    after: dict[str, list[int]] = {}
+    made: list[dict[str, Any]] = []
+    for item in items:
+        update = updates.check(item["update"])
+        if update not in found:
+            found.append(update)
+        id_, n = str(item["filter"]["id"]), found.index(update)
+        turns.setdefault(id_, []).append(n)
+        if id_ in after:
+            after[id_].append(n)
+        elif (item.get("options") or {}).get("upsert"):
+            after[id_] = []
+            made.append({**upsert_row(item["filter"], update), "id": id_})
+    schema = df.schema
+    for update in found:
+        schema = updates.widen(schema, _with_clock(update, clock))
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "id string, __turns array<int>")
+    rows = updates.extended(df, schema)
+    if "id" in schema.names and not isinstance(schema["id"].dataType, T.StringType):
+        raise QueryError("ids are texts")
+    rows = rows.join(frame(turns), "id", "left")
+    if made:
+        new = rows_of(spark, made, schema)
+        if clock is not None:
+            new = _stamped(new, clock, CREATED, UPDATED)
+        new = numbered_after(df, new.join(df.select("id"), "id", "left_anti"))
+        left, new = aligned(rows, new.join(frame(after), "id"))
+        rows, schema = left.unionByName(new), T.StructType([f for f in left.schema.fields if f.name != "__turns"])
+    seen = filters.two_valued(filters.compile_filter(filters.visible({}, hide_deleted), schema))
+    for k in range(max(map(len, turns.values()))):
+        turn = F.when(seen, F.get("__turns", k))
+        cases: dict[str, list[tuple[int, Column]]] = {}
+        for n, update in enumerate(found):
+            if any(k < len(t) and t[k] == n for t in (*turns.values(), *after.values())):
+                for c, new in updates.apply(schema, _with_clock(update, clock)).items():
+                    cases.setdefault(c, []).append((n, new))
+
+        def value(c: str) -> Column:
+            out = F.col(f"`{c}`")
+            for n, new in cases.get(c, ()):
+                out = F.when(turn == n, new).otherwise(out)
+            return out.alias(c)
+
+        rows = rows.select(*[value(c) for c in schema.names], "__turns")
+    return rows.select(*schema.names)
+
+
 def _by_id(items: list[dict[str, Any]]) -> list[dict[str, Any]] | None:
     """The rows that plain ``$set`` updates by id amount to, the last of an id winning; None if they are others."""
     rows: dict[str, dict[str, Any]] = {}
     for item in items:
-        f, u = item["filter"], item["update"]
-        if set(f) != {"id"} or isinstance(f["id"], (dict, list)) or set(u) != {"$set"} or (item.get("options") or {}).get("upsert"):
+        u = item["update"]
+        if not _names_id(item) or set(u) != {"$set"} or (item.get("options") or {}).get("upsert"):
             return None
         if any("." in k or k == "id" or v is None for k, v in u["$set"].items()):
             return None
-        rows.setdefault(str(f["id"]), {}).update(u["$set"])
+        rows.setdefault(str(item["filter"]["id"]), {}).update(u["$set"])
     return [{"id": k, **v} for k, v in rows.items()]
 
 

@@ -398,6 +398,18 @@ def mentions(filter_: dict[str, Any] | None, name: str) -> bool:
     return name in filter_ or (isinstance(filter_.get("$not"), dict) and name in filter_["$not"])
 
 
+def paths(filter_: dict[str, Any] | None) -> set[str]:
+    """The fields that a filter names, inside logical operators too."""
+    out: set[str] = set()
+    for key, value in (filter_ or {}).items():
+        if not key.startswith("$"):
+            out.add(key)
+            continue
+        for part in value if isinstance(value, (list, tuple)) else [value]:
+            out |= paths(part) if isinstance(part, dict) else set()
+    return out
+
+
 def visible(filter_: dict[str, Any] | None, hide_deleted: bool) -> dict[str, Any]:
     """The filter with soft-deleted rows hidden, unless it speaks of them itself. The input is not changed."""
     filter_ = dict(filter_ or {})

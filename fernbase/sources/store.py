@@ -1,8 +1,11 @@
 """Versioned Parquet snapshots of a table.
 
 ``<root>/v-<n>`` holds the rows of version n, ``<root>/_meta-<n>.json`` its name and indexes, ``<root>/_CURRENT``
-the current number. A commit writes a new folder, claims its number by creating a file that must not exist,
-and replaces the pointer in one rename. Two writers that start from one version cannot both commit it.
+the current number. A commit writes a new folder and its description, claims the number by a file that must
+not exist and names them, moves them to their places, and replaces the pointer in one rename. Two writers
+that start from one version cannot both commit it. All steps after the claim can be done by anyone: where a
+writer died between them, the next one finishes its commit. Versions are kept for a while, so that
+frames read from them go on working.
 All access is through Hadoop's file systems, so any that Spark reads will do.
 """
 
@@ -23,7 +26,7 @@ POINTER = "_CURRENT"
 class Store:
     """One table's folder. ``compression`` is Parquet's codec, such as ``zstd``."""
 
-    def __init__(self, spark: SparkSession, root: str, compression: str = "snappy", keep: int = 2):
+    def __init__(self, spark: SparkSession, root: str, compression: str = "snappy", keep: int = 5):
         self.spark, self.root, self.compression, self.keep = spark, root.rstrip("/"), compression, keep
 
     def _path(self, name: str) -> Any:
@@ -43,13 +46,8 @@ class Store:
             stream.close()
 
     def _write(self, name: str, text: str, new: bool = False) -> None:
-        """Write a small file; ``new`` fails if it is there, otherwise it is replaced in one step."""
+        """Write a small file in one step; ``new`` fails if it is there, otherwise it is replaced."""
         fs = self._fs()
-        if new:
-            stream = fs.create(self._path(name), False)
-            stream.write(bytearray(text.encode()))
-            stream.close()
-            return
         hidden = f"_{name}.{uuid.uuid4().hex}"
         stream = fs.create(self._path(hidden), True)
         stream.write(bytearray(text.encode()))
@@ -57,8 +55,12 @@ class Store:
         jvm = self.spark._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(name).toUri() if self._path(name).toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self._path(hidden), self._path(name), options)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE if new else jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        try:
+            context.rename(self._path(hidden), self._path(name), options)
+        except Exception:
+            fs.delete(self._path(hidden), False)
+            raise
 
     def version(self) -> int:
         text = self._read(POINTER)
@@ -85,24 +87,40 @@ class Store:
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
         out = df.coalesce(files) if files else df
         out.write.option("compression", self.compression).parquet(f"{self.root}/{folder}")
-        fs = self._fs()
+        claim = json.dumps({"folder": folder, "meta": {**(meta or {}), "schema": schema.jsonValue()}})
         try:
-            self._write(f"_claim-{new}", folder, new=True)
+            self._write(f"_claim-{new}", claim, new=True)
         except Exception as e:
-            fs.delete(self._path(folder), True)
+            self._fs().delete(self._path(folder), True)
+            self._finish(new)
             raise ConflictError(f"version {new} of {self.root} has been claimed") from e
-        fs.rename(self._path(folder), self._path(f"v-{new}"))
-        self._write(f"_meta-{new}.json", json.dumps({**(meta or {}), "schema": schema.jsonValue()}))
-        self._write(POINTER, str(new))
+        self._finish(new)
         self._drop_old(new)
         return new
 
+    def _finish(self, version: int) -> None:
+        """What is left to do of a claimed version, whoever claimed it; nothing if it is current already."""
+        text = self._read(f"_claim-{version}")
+        if text is None or self.version() >= version:
+            return
+        claim, fs = json.loads(text), self._fs()
+        if not fs.exists(self._path(f"v-{version}")):
+            fs.rename(self._path(claim["folder"]), self._path(f"v-{version}"))
+        self._write(f"_meta-{version}.json", json.dumps(claim["meta"]))
+        self._write(POINTER, str(version))
+
     def _drop_old(self, current: int) -> None:
         fs = self._fs()
         old = current - self.keep
         if old > 0:
-            for name in (f"v-{old}", f"_meta-{old}.json"):
+            for name in (f"v-{old}", f"_meta-{old}.json", f"_claim-{old}"):
                 fs.delete(self._path(name), True)
+            for found in fs.globStatus(self._path(f"x-{old}-*")) or []:
+                fs.delete(found.getPath(), True)
+
+    def has(self, path: str) -> bool:
+        """Whether a folder is there and was written to its end."""
+        return self._fs().exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
 
     def drop(self) -> None:
         self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.root), True)

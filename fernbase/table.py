@@ -98,11 +98,51 @@ class DocTable:
         return self.options.presets[name]
 
     def find(self, filter_: dict[str, Any] | None = None, **options: Any) -> DataFrame:
-        """Matching rows as a frame: nothing runs yet."""
-        return _hooked(self.hooks.check_output, find.find_many(self.df, self._filter(filter_), **self._options(options)))
+        """Matching rows as a frame: nothing runs yet. An index on a field that the filter fixes narrows the rows first."""
+        filter_ = self._filter(filter_)
+        return _hooked(self.hooks.check_output, find.find_many(self._narrowed(filter_), filter_, **self._options(options)))
+
+    def _narrowed(self, filter_: dict[str, Any]) -> DataFrame:
+        """The rows that an index leaves to look at: a semi-join on the ids that a side table has for the values."""
+        side = self._probe(filter_)
+        if side is None:
+            return self.df
+        return self.df.join(side[1], "id", "left_semi")
+
+    def _probe(self, filter_: dict[str, Any]) -> tuple[str, DataFrame] | None:
+        """The first index that has values for an equality or ``$in`` of the filter, and the ids that it gives."""
+        if self._staged is not None:
+            return None
+        for index in self.options.indexes:
+            key = index["keys"][0] if index.get("side") else None
+            if key is None or key not in filter_:
+                continue
+            wanted = filter_[key].get("$in") if isinstance(filter_[key], dict) else [filter_[key]]
+            path = f"{self.store.root}/x-{self.store.version()}-{key}"
+            if not wanted or any(not isinstance(v, (str, int, float)) or isinstance(v, bool) for v in wanted) or not self.store.has(path):
+                continue
+            rows = self.spark.read.parquet(path)
+            text = isinstance(rows.schema["val"].dataType, T.StringType)
+            if all(isinstance(v, str) == text for v in wanted):
+                return key, rows.where(F.col("val").isin(list(wanted))).select("id").distinct()
+        return None
+
+    def _write_sides(self, version: int) -> None:
+        """The side tables of a version: (val, id) of each element of an indexed field, sorted by value, so that a
+        reader prunes files and row groups by it."""
+        rows = self.store.read(version)
+        for index in self.options.indexes:
+            key = index["keys"][0]
+            if not index.get("side") or key not in rows.columns:
+                continue
+            kind = rows.schema[key].dataType
+            value = F.explode(F.array_distinct(F.col(f"`{key}`"))) if isinstance(kind, T.ArrayType) else F.col(f"`{key}`")
+            pairs = rows.select(value.alias("val"), "id").where("val IS NOT NULL")
+            pairs.repartitionByRange("val", "id").sortWithinPartitions("val").write.mode("overwrite").parquet(f"{self.store.root}/x-{version}-{key}")
 
     def find_many(self, filter_: dict[str, Any] | None = None, **options: Any) -> list[Row]:
-        return self.find(filter_, **options).collect()
+        """Matching rows as a list, in the order of the sort or of insertion."""
+        return self.find(filter_, **{"ordered": True, **options}).collect()
 
     def find_one(self, filter_: dict[str, Any] | None = None, **options: Any) -> Row | None:
         return self.find(filter_, **{**options, "limit": 1}).first()
@@ -128,8 +168,11 @@ class DocTable:
     def for_each(self, filter_: dict[str, Any] | None, work: Callable[[Row, int], None], **options: Any) -> None:
         find.for_each(self.df, self._filter(filter_), work, **self._options(options))
 
-    def explain(self, filter_: dict[str, Any] | None = None, **options: Any) -> dict[str, Any]:
-        return find.explain(self.df, self._filter(filter_), **self._options(options))
+    def explain(self, filter_: dict[str, Any] | None = None, analyze: bool = False, **options: Any) -> dict[str, Any]:
+        filter_ = self._filter(filter_)
+        side = self._probe(filter_)
+        report = find.explain(self._narrowed(filter_), filter_, analyze, **self._options(options))
+        return {**report, "index": side[0] if side else None, "full_scan": report["full_scan"] and side is None}
 
     def as_lookup(self, local_key: str, target_key: str, as_: str | None = None, projection: find.Projection = None) -> lookup.Lookup:
         return lookup.Lookup(self.df, local_key, target_key, as_, projection, self.options.mark_delete)
@@ -148,7 +191,7 @@ class DocTable:
                 yield self
                 if self._depth == 1 and self._staged is not None:
                     self._check_unique(self._staged)
-                    self.store.commit(self._staged, self._base, self._meta())
+                    self._write_sides(self.store.commit(self._staged, self._base, self._meta()))
             finally:
                 self._depth -= 1
                 if self._depth == 0:
@@ -175,7 +218,7 @@ class DocTable:
         return _hooked(self.hooks.check_input, frame)
 
     def _typed(self, docs: list[dict[str, Any]]) -> T.StructType:
-        named = {k for d in docs for k in d} | {"id"}
+        named = {k.split(".")[0] for d in docs for k in d} | {"id"}
         return T.StructType([f for f in self.df.schema.fields if f.name in named and f.name != find.ROW])
 
     def _clock(self) -> dt.datetime | None:
@@ -194,6 +237,8 @@ class DocTable:
         return self._write(lambda df: writes.set_doc(df, new, self._clock()))
 
     def set_many(self, docs: DataFrame | list[dict[str, Any]], **options: Any) -> dict[str, int]:
+        if not isinstance(docs, DataFrame) and not (options.get("merge") or options.get("overwrite")):
+            docs = writes.patch_rows(self.spark, docs, self._typed(docs))
         new = self._docs(docs)
         return self._write(lambda df: writes.set_many(df, new, clock=self._clock(), **options))
 
@@ -253,30 +298,35 @@ class DocTable:
     def drop(self) -> None:
         self.store.drop()
 
-    def compact(self, files: int = 1) -> None:
-        """Rewrite the rows into few files, in the order of the first index: its keys' ranges then prune files and
-        row groups, as an index would."""
+    def compact(self, files: int | None = None) -> None:
+        """Rewrite the rows into few files, by default of 128 MB, in the order of the first index: its keys' ranges
+        then prune files and row groups, as an index would."""
+        if files is None:
+            files = 1 + int(str(self.store.read()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // (128 << 20)
         keys = next((list(i["keys"]) for i in self.options.indexes if i.get("keys")), [])
         with self.transaction():
             base = self.store.version()
             rows = self.store.read()
             if keys:
                 rows = rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
-            self.store.commit(rows, base, self._meta(), files)
-            self._base = base + 1
+            self._base = self.store.commit(rows, base, self._meta(), files)
+            self._write_sides(self._base)
 
     def close(self) -> None:
         _TABLES.pop((self.spark.sparkContext.applicationId, self.store.root), None)
 
     def define_indexes(self, indexes: list[dict[str, Any]], rebuild: bool = False) -> None:
-        """``{keys: [...], unique: bool, disabled: bool}``. Unique ones are checked now and on every commit; the others
-        are kept as hints on how to sort and bucket."""
+        """``{keys: [...], unique: bool, side: bool, disabled: bool}``. Unique ones are checked now and on every commit.
+        With ``side`` a table of the first key's values, an array's elements each, is written beside every
+        snapshot, and an equality or ``$in`` on it is answered from there; the others say how to sort."""
         found = ([] if rebuild else self.options.indexes) + [i for i in indexes if not i.get("disabled")]
         unique = [list(i["keys"]) for i in found if i.get("unique")]
         for keys in unique:
             if writes.broken_unique(self.df, keys).first() is not None:
                 raise UniqueError(f"{keys} is not unique")
         self.options.indexes, self.options.unique = found, unique
+        if self._depth == 0:
+            self._write_sides(self.store.version())
 
     def drop_indexes(self) -> None:
         self.options.indexes, self.options.unique = [], []

@@ -43,16 +43,16 @@ def test_same_rows_as_sql(spark, sql, name):
 
 def test_write_verbs_over_whole_tables(spark, sql):
     buyers, new = sql.sql("SELECT (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), (SELECT count(*) FROM supplier)").fetchall()[0]
-    row = queries.QUERIES["write_changes_whole"](spark, SF).first()
+    row = queries.QUERIES["write_changes"](spark, SF).first()
     assert buyers > 50 and (row.modified, row.inserted, row.removed) == (buyers, new, 0)
     for name in ("insert_skip_existing", "set_many_shallow", "set_many_overwrite", "set_many_update_only", "set_many_insert_only", "set_many_set_on_insert", "set_with_clock", "insert_unique_key"):
-        ids = {r.id for r in queries.QUERIES[f"{name}_whole"](spark, SF).select("id").collect()}
+        ids = {r.id for r in queries.QUERIES[name](spark, SF).select("id").collect()}
         assert {str(k) for (k,) in sql.sql("SELECT c_custkey FROM customer").fetchall()} <= ids
 
 
 def test_filters_and_lookups_over_whole_tables(spark, sql):
     """Every row is on one side of each filter, and every row of a lookup's or projection's table is there."""
-    count = {name: queries.QUERIES[f"{name}_whole"](spark, SF).count() for name in ("filter_null", "filter_exists", "filter_in_null", "filter_nin_null", "lookup_one", "lookup_null_key", "find_exclude", "find_dotted_projection", "soft_delete_view")}
+    count = {name: queries.QUERIES[name](spark, SF).count() for name in ("filter_null", "filter_exists", "filter_in_null", "filter_nin_null", "lookup_one", "lookup_null_key", "find_exclude", "find_dotted_projection", "soft_delete_view")}
     orders, people = sql.sql("SELECT (SELECT count(*) FROM orders), (SELECT count(*) FROM customer)").fetchall()[0]
     assert count["filter_null"] + count["filter_exists"] == count["filter_in_null"] + count["filter_nin_null"] == orders
     assert count["lookup_one"] == count["lookup_null_key"] == orders
