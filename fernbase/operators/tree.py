@@ -87,21 +87,24 @@ def descendants(tree: DataFrame, roots: list[str] | DataFrame, include_self: boo
     """All nodes below the roots that exist; a node that was met is not met again, so a cycle ends. Two levels are
     one job: the children of the last level, and theirs."""
     links = tree.select("id", "parentId")
-    start = settled(_ids(roots, tree.sparkSession).join(links.select("id"), "id", "left_semi").withColumn("last", F.lit(True)))
-    seen = [start]
+    level = _ids(roots, tree.sparkSession).join(links.select("id"), "id", "left_semi")
+    seen: list[DataFrame] = []
     while True:
-        above = seen[-1].where("last").select(F.col("id").alias("parentId"))
-        met = seen[0].select("id")
-        for s in seen[1:]:
-            met = met.unionByName(s.select("id"))
-        one = links.join(above, "parentId", "left_semi").select("id")
+        one = links.join(level.select(F.col("id").alias("parentId")), "parentId", "left_semi").select("id")
         two = links.join(one.select(F.col("id").alias("parentId")), "parentId", "left_semi").select("id")
-        both = one.withColumn("last", F.lit(False)).unionByName(two.withColumn("last", F.lit(True)))
-        level = settled(both.groupBy("id").agg(F.max("last").alias("last")).join(met, "id", "left_anti"))
-        seen.append(level)
-        if level.where("last").isEmpty():
+        step = one.withColumn("far", F.lit(1)).unionByName(two.withColumn("far", F.lit(2)))
+        if not seen:
+            step = level.withColumn("far", F.lit(0)).unionByName(step)
+        step = step.groupBy("id").agg(F.min("far").alias("far"))  # of a cycle's nodes the nearer place
+        for s in seen:
+            step = step.join(s, "id", "left_anti")
+        seen.append(settled(step))
+        level = seen[-1].where("far = 2")
+        if level.isEmpty():
             break
-    wanted = seen[0].select("id") if include_self else seen[0].select("id").limit(0)
+    if not include_self:
+        seen[0] = seen[0].where("far > 0")
+    wanted = seen[0].select("id")
     for s in seen[1:]:
         wanted = wanted.unionByName(s.select("id"))
     return tree.join(wanted, "id", "left_semi")
@@ -312,19 +315,19 @@ def shifted(tree: DataFrame, deltas: DataFrame, modif: int, refresh: list[str] |
     links = tree.select("id", F.col("parentId").alias("up"))
     size = ["dt", "df", "ds"]
     summed = lambda df: df.groupBy("id").agg(*[F.sum(c).cast("long").alias(c) for c in size])
-    at = settled(summed(deltas.where(F.col("id") != ROOT)).join(links, "id"))
-    every = [at]
+    higher = lambda df: summed(df.where((F.col("up") != ROOT) & F.col("up").isNotNull()).select(F.col("up").alias("id"), *size)).join(links, "id")
+    level = summed(deltas.where(F.col("id") != ROOT)).join(links, "id")
+    every: list[DataFrame] = []
     while True:
-        one = summed(every[-1].where((F.col("up") != ROOT) & F.col("up").isNotNull()).select(F.col("up").alias("id"), *size)).join(links, "id")
-        two = summed(one.where((F.col("up") != ROOT) & F.col("up").isNotNull()).select(F.col("up").alias("id"), *size)).join(links, "id")
-        level = settled(one.withColumn("last", F.lit(False)).unionByName(two.withColumn("last", F.lit(True))))
+        one = higher(level)
+        two = higher(one).withColumn("far", F.lit(2))
+        step = one.withColumn("far", F.lit(1)).unionByName(two)
+        every.append(settled(step if every else level.withColumn("far", F.lit(0)).unionByName(step)))
+        level = every[-1].where("far = 2").drop("far")
         if level.isEmpty():
             break
         if len(every) > 10_000:
             raise QueryError("the nodes form a cycle")
-        every[-1] = every[-1].select("id", *size, "up")
-        every.append(level.where("NOT last").select("id", *size, "up"))
-        every.append(level.where("last").select("id", *size, "up"))
     total = every[0].select("id", *size)
     for e in every[1:]:
         total = total.unionByName(e.select("id", *size))

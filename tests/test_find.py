@@ -27,6 +27,40 @@ def test_numeric_and_case_order(spark):
     assert [r.s for r in find.find_many(df, {}, sort=["s"], numeric_ordering=True, case_sensitive=False).collect()] == ["f01", "f2", "F3", "f10"]
 
 
+def test_long_numbers_in_order(spark):
+    """Runs of digits of any length, leading zeros aside."""
+    names = ["v1" + "0" * k for k in range(25)] + ["v007", "v9", "w", "v"]
+    df = spark.createDataFrame([(n,) for n in names], "s string")
+    got = [r.s for r in find.find_many(df, {}, sort=["s"], numeric_ordering=True).collect()]
+    assert got == sorted(names, key=lambda n: (n[0], int(n[1:] or -1)))
+
+
+def test_lists_are_in_insertion_order(people):
+    mixed = people.repartition(7, "name")
+    rows: list = []
+    find.for_each(mixed, {"age": {"$ne": 22}}, lambda r, i: rows.append((i, r.id)))
+    assert rows == list(enumerate(r.id for r in find.find_many(people, {"age": {"$ne": 22}}, sort=["_id"]).collect()))
+    batches: list = []
+    find.each_batch(mixed, {}, lambda some, stop, k: batches.append([r.id for r in some]), page_size=9)
+    assert sum(batches, []) == [str(i) for i in range(60)]
+
+
+def test_cursors_without_insertion_numbers_go_by_id(people):
+    rows, seen, cursor = people.drop("_id"), [], None
+    while True:
+        page = find.list_paging_by_cursor(rows, {}, sort_key="age", cursor=cursor, page_size=7)
+        seen += [r.id for r in page.rows]
+        if page.next_cursor is None:
+            break
+        cursor = page.next_cursor
+    assert sorted(seen) == sorted(r.id for r in rows.collect())
+
+
+def test_explain_gives_reasons_and_times(people):
+    report = find.explain(people, {"tags": "t1", "none": 3}, analyze=True)
+    assert report["rows"] == 0 and report["run_ms"] > 0 and {r.split(":")[0] for r in report["reasons"]} == {"tags", "none"}
+
+
 def test_pages_join_up(people):
     every = [r.id for r in find.find_many(people, {"age": {"$ne": 22}}, sort=["-age", "id"]).collect()]
     paged, k = [], 1

@@ -55,6 +55,38 @@ def test_snapshots_and_conflicts(table, spark):
     assert table.count() == 1
 
 
+def test_a_dead_writers_commit_is_finished(table, spark, monkeypatch):
+    """A writer that stops after its claim: the next one gets a conflict once, and finds that commit done."""
+    table.insert_one({"id": "1"})
+    with monkeypatch.context() as m:
+        m.setattr(type(table.store), "_finish", lambda self, version: (_ for _ in ()).throw(RuntimeError("gone")))
+        with pytest.raises(RuntimeError):
+            table.insert_one({"id": "2"})
+    other = DocTable(spark, table.store.root)
+    assert other.count() == 1
+    with pytest.raises(ConflictError):
+        other.insert_one({"id": "3"})
+    assert sorted(r.id for r in other.find_many({})) == ["1", "2"]
+    other.insert_one({"id": "3"})
+    assert other.count() == 3
+
+
+def test_side_tables_follow_every_version(spark, tmp_path):
+    t = DocTable(spark, f"file://{tmp_path}/x", "tags array<string>, n int", Options(indexes=[{"keys": ["tags"], "side": True}]))
+    assert t.find_many({"tags": "a"}) == [] and t.explain({"tags": "a"})["index"] is None  # no version has one yet
+    t.insert_many([{"id": "1", "tags": ["a", "b", "a"], "n": 1}, {"id": "2", "tags": [], "n": 2}, {"id": "3", "tags": ["b"], "n": 3}])
+    ids = lambda f: [r.id for r in t.find_many(f)]
+    assert t.explain({"tags": "a"})["index"] == "tags" and ids({"tags": "a"}) == ["1"] and ids({"tags": {"$in": ["b", "c"]}}) == ["1", "3"]
+    t.update_many({"n": 3}, {"$push": {"tags": "a"}})
+    assert ids({"tags": "a"}) == ["1", "3"] and ids({"tags": "a", "n": {"$gt": 1}}) == ["3"]
+    assert t.explain({"tags": {"$ne": "a"}})["index"] is None and t.explain({"tags": 5})["index"] is None
+    with t.transaction():
+        t.delete("1")
+        assert ids({"tags": "a"}) == ["3"]  # inside a transaction the staged rows are read
+    t.compact()
+    assert ids({"tags": "a"}) == ["3"] and t.explain({"tags": "a"})["index"] == "tags"
+
+
 def test_transactions(table):
     with table.transaction():
         table.insert_one({"id": "1", "n": 1})
@@ -201,11 +233,21 @@ def test_order_keys():
 @pytest.fixture
 def files(spark, tmp_path):
     t = TreeTable(spark, f"file://{tmp_path}/tree", Options(mark_delete=True), now=lambda: NOW)
+    rows = [("d1", "/", True, 0), ("d2", "/", True, 0), ("e", "d1", True, 0), ("f1", "d1", False, 5), ("f2", "e", False, 7), ("f3", "e", False, 1), ("f4", "d2", False, 2)]
+    names = {"f1": "f.txt", "f2": "f.txt", "f3": "g.txt", "f4": "f.txt"}
+    frame = spark.createDataFrame([(i, p, names.get(i, i), d, n, "", 1) for i, p, d, n in rows], "id string, parentId string, name string, isDir boolean, size long, index string, modif long")
+    t.insert_many(tree.refreshed(frame))
+    return t
+
+
+def test_tree_is_made_node_by_node(files, spark, tmp_path):
+    t = TreeTable(spark, f"file://{tmp_path}/made", now=lambda: NOW)
     t.create_nodes([{"id": "d1", "name": "d1", "isDir": True}, {"id": "d2", "name": "d2", "isDir": True}])
     t.create_nodes([{"id": "e", "name": "e", "isDir": True}, {"id": "f1", "name": "f.txt", "size": 5}], "d1")
     t.create_nodes([{"id": "f2", "name": "f.txt", "size": 7}, {"id": "f3", "name": "g.txt", "size": 1}], "e")
-    t.create_nodes([{"id": "f4", "name": "f.txt", "size": 2}], "d2")
-    return t
+    t.create_nodes([{"id": "f4", "name": "f.txt", "size": 2}, {"id": "f1", "name": "there already"}], "d2")
+    shown = lambda x: sorted((r.id, r.parentId, r.name, r.size, r.ctotal, r.cftotal, r.csize) for r in x.find_many({}))
+    assert shown(t) == shown(files) and right(t)
 
 
 def sums(t, node):
@@ -302,6 +344,50 @@ def test_tree_order_keys(spark, files):
     assert sorted(r.name for r in names.where("parentId = 'd2'").collect()) == ["s", "s (1)", "s (2)", "s (3)"]
 
 
+def test_free_names_are_those_of_the_plain_rule(spark, files):
+    import random
+
+    rng = random.Random(4)
+    pool = ["a.txt", "a (1).txt", "a (2).txt", "a (7).txt", "b", "b (1)", ".x", ".x (1)", "a(1).txt", "c.tar.gz", "c.tar (1).gz", "(1)", "a (01).txt"]
+    for _ in range(4):
+        there, wanted = rng.sample(pool, rng.randrange(9)), [rng.choice(pool) for _ in range(6)]
+        rows = spark.createDataFrame([(str(k), "p", n) for k, n in enumerate(there)] + [("z", "q", "a (1).txt")], "id string, parentId string, name string")
+        assert tree.free_names(rows, "p", wanted, []) == unique_names(wanted, there), (there, wanted)
+
+
+def test_repaired_names_are_free(spark):
+    names = ["s.txt"] * 4 + ["s (2).txt"] * 2 + ["s (1)", "t"] * 2 + ["u"]
+    rows = spark.createDataFrame([(f"{k:02}", "p", n, k) for k, n in enumerate(names)], "id string, parentId string, name string, modif long")
+    got = {r.id: r.name for r in tree.repaired_names(rows, "p").collect()}
+    assert len(set(got.values())) == len(names)
+    assert all(got[f"{k:02}"] == n for k, n in enumerate(names) if names.index(n) == k)
+    assert {got["01"], got["02"], got["03"], got["05"]} == {"s (1).txt", "s (3).txt", "s (4).txt", "s (5).txt"}
+
+
+def test_roll_ups_of_random_trees(spark):
+    import random
+
+    rng = random.Random(2)
+    parents = {f"n{k}": (f"n{rng.randrange(max(0, k - 4), k)}" if k and rng.random() < 0.95 else "/") for k in range(120)}
+    folders = set(parents.values())
+    df = spark.createDataFrame([(n, p, n in folders, int(n[1:]), n) for n, p in parents.items()], "id string, parentId string, isDir boolean, size long, index string")
+    want = {}
+    for n in parents:
+        at = parents[n]
+        while True:
+            t = want.setdefault(at, [0, 0, 0])
+            t[0], t[1], t[2] = t[0] + 1, t[1] + (n not in folders), t[2] + int(n[1:])
+            if at == "/":
+                break
+            at = parents[at]
+    got = {r.id: (r.ctotal, r.cftotal or 0, r.csize or 0) for r in tree.roll_ups(df).collect()}
+    assert got == {k: tuple(v) for k, v in want.items()}
+    assert {r.id: r.childLastIndex for r in tree.roll_ups(df).collect()} == {p: max(n for n in parents if parents[n] == p) for p in folders}
+    loop = df.union(spark.createDataFrame([("x", "y", True, 0, ""), ("y", "x", True, 0, "")], df.schema))
+    with pytest.raises(QueryError):
+        tree.roll_ups(loop)
+
+
 def test_deep_trees(spark):
     n = 130
     rows = [(f"n{k}", f"n{k - 1}" if k else "/", k < n - 1, 1) for k in range(n)]

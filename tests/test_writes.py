@@ -131,3 +131,49 @@ def test_clock_and_soft_delete(df):
     assert rows["1"]._isDeleted and rows["1"]._deleteDate == now and rows["2"]._isDeleted is None
     assert sorted(state(writes.delete_many(df, {"n": {"$gt": 0}}))) == ["2", "3"]
     assert sorted(state(writes.delete_one(df, {}, sort=["-n"]))) == ["2", "3"]
+
+
+def test_paths_and_nulls_of_set_many(spark, df):
+    """A key with dots changes what lies at its path and nothing beside it; a null empties the field."""
+    docs = [{"id": "1", "info.a": 8}, {"id": "2", "info.b.c": 6, "n": 3}, {"id": "3", "info.a": None, "s": None}, {"id": "9", "info.b.c": 1}]
+    out = {r.id: r for r in writes.set_many(df, writes.patch_rows(spark, docs, df.schema)).collect()}
+    assert out["1"].info.asDict(recursive=True) == {"a": 8, "b": {"c": 2}} and out["1"].n == 5
+    assert out["2"].info.asDict(recursive=True) == {"a": None, "b": {"c": 6}} and out["2"].n == 3 and out["2"].tags == []
+    assert out["3"].info is None or out["3"].info.a is None
+    assert out["3"].s is None and out["3"].n == -1
+    assert out["9"].info.b.c == 1
+    assert writes.rows_of(spark, [{"id": "1", "a.b": 5, "a": {"c": 1}}]).first().a.asDict() == {"b": 5, "c": 1}
+
+
+def test_bulk_updates_one_after_the_other(spark):
+    """Random lists of items by id and by filter against a plain fold over dictionaries."""
+    import random
+
+    rng = random.Random(8)
+    start = [{"id": str(k), "n": k, "s": "abc"[k % 3]} for k in range(6)]
+    df = spark.createDataFrame([(d["id"], d["n"], d["s"]) for d in start], "id string, n long, s string")
+    for _ in range(4):
+        items, rows = [], [dict(d) for d in start]
+        for _ in range(9):
+            by = {"id": str(rng.randrange(8))} if rng.random() < 0.8 else {"s": rng.choice("abcz")}
+            op = rng.choice([{"$inc": {"n": rng.randrange(5)}}, {"$set": {"s": rng.choice("abc")}}, {"$mul": {"n": 2}, "$set": {"s": "z"}}, {"$max": {"n": 4}}])
+            items.append({"filter": by, "update": op, "options": {"upsert": "id" in by and rng.random() < 0.4}})
+        for item in items:
+            key, value = next(iter(item["filter"].items()))
+            hit = sorted((r for r in rows if r.get(key) == value), key=lambda r: r["id"])
+            if hit:
+                fresh = updated(hit[0], item["update"])
+                hit[0].clear()
+                hit[0].update(fresh)
+            elif item["options"]["upsert"]:
+                rows.append(writes.upsert_row(item["filter"], item["update"]))
+        got = sorted((r.id, r.n, r.s) for r in writes.bulk_update(df, items).collect())
+        assert got == sorted((r["id"], r.get("n"), r.get("s")) for r in rows), items
+
+
+def test_bulk_updates_by_id_are_one_join(spark):
+    df = spark.createDataFrame([(str(k), k) for k in range(50)], "id string, n long")
+    items = [{"filter": {"id": str(k)}, "update": {"$inc": {"n": k % 3}}} for k in range(50)] * 2
+    plan = writes.bulk_update(df, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert sorted(r.n for r in writes.bulk_update(df, items).collect()) == sorted(k + 2 * (k % 3) for k in range(50))
