@@ -307,11 +307,12 @@ def covered_spans(rows: DataFrame, window: int, grams: tuple[int, ...]) -> Writt
         made.append(inner)
         parts = words.where("hot").select(*CONTENT, F.col("number").alias("place")).join(inner.df, "place").select(*CONTENT, "spans")
         spans = search_segments(words.where("NOT hot").drop("hot", "number"), window).unionByName(parts)
-    spans = written(spans.where("size(spans) > 0"), "substring-spans")
+    # written, so that the join below has two plain sides and a hot segment's copies can be split over tasks
+    found = reps.select(*CONTENT, F.col("doc_id").alias("rep")).join(spans.where("size(spans) > 0"), CONTENT, "left")
+    found = written(found, "substring-spans")
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + window - 1).alias("b")))
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
-    of_each = shared.join(reps.select(*CONTENT, F.col("doc_id").alias("rep")), CONTENT).join(spans, CONTENT, "left")
-    each = of_each.select("place", F.when(F.col("doc_id") > F.col("rep"), whole).otherwise(moved).alias("spans")).where("size(spans) > 0")
+    each = shared.join(found, CONTENT).select("place", F.when(F.col("doc_id") > F.col("rep"), whole).otherwise(moved).alias("spans")).where("size(spans) > 0")
     out = Written(each.groupBy("place").agg(F.flatten(F.collect_list("spans")).alias("spans")), "substring-covered", narrow=True)
     for table in made:
         table.drop()
