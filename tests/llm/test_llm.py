@@ -403,6 +403,30 @@ def test_words_that_share_a_hash(tokenizer, reference):
         assert encoder.encode([word.encode()])[0].tolist() == tokenizer.encode(word, add_special_tokens=False).ids
 
 
+def test_results_do_not_change_at_the_sizes_where_ways_do(spark, tokenizer, reference, monkeypatch):
+    """Pieces around the length that tables keep, texts around the length that is cut all at once, words around the
+    length that another hash takes, texts around the length that is cut into parts: the same results."""
+    rng = random.Random(9)
+    codec, encoder = Codec(RANKS, P.PATTERN), ChunkEncoder(P.path("word_bpe_49k.json"), most_bytes=400)
+    words = ["".join(rng.choice("etaoinshrd") for _ in range(n)) for n in (63, 64, 65, 99, 100, 101, 127, 128, 129) for _ in range(2)]
+    for w in (*words, *words, " ".join(words)):
+        assert codec.encode(w) == reference.encode_ordinary(w)
+        ids, counts = encoder.encode([w.encode(), (w + " x").encode()])
+        assert ids.tolist() == tokenizer.encode(w, add_special_tokens=False).ids + tokenizer.encode(w + " x", add_special_tokens=False).ids
+    for size in (2 * 8 * 40 - 1, 2 * 8 * 40, 2 * 8 * 40 + 1):
+        t = " ".join(words)[:size]
+        got = [list(map(int, ids.split())) for ids, _ in codec.encode_all([t.encode(), b"a b"], most_bytes=80)]
+        assert got == [reference.encode_ordinary(t), reference.encode_ordinary("a b")]
+    for size in (399, 400, 401):
+        t = " ".join(words)[:size]
+        assert encoder.encode([t.encode()])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    passage = " ".join(w[:n] for w, n in zip(words * 4, (62, 63, 64, 65, 66) * 20))
+    rows = [(1, passage), (2, f"x {passage} y"), (3, f"{'z' * 64} {passage[:-1]}")]
+    monkeypatch.setattr(substring_dedup, "MOST_WINDOWS", 7)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == repeats(rows) and got[1][2] == len(passage.split())
+
+
 def test_codec_tables_may_be_small(reference):
     codec, rng = Codec(RANKS, P.PATTERN, bits=6), random.Random(1)
     texts = ["".join(rng.choice("abAB  \n\t..,12é'sl É× 漢") for _ in range(rng.randrange(80))) for _ in range(400)]
