@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.code import ship
@@ -376,37 +376,64 @@ def deep_merged(old: Any, new: Any) -> Any:
     return new
 
 
+def _may_match(filter_: dict[str, Any], column: str) -> Column:
+    """A condition that every matching document meets: what the JVM can tell of top-level conditions by strings and
+    numbers (equal, in a list, in a range). Values that are missing, arrays or objects are left to the evaluator."""
+    out = F.lit(True)
+    for key, want in filter_.items():
+        if not re.fullmatch(r"\w+(\.[A-Za-z_]\w*)*", key):
+            continue
+        text = F.get_json_object(column, f"$.{key}")
+        number = text.try_cast("double")
+        for op, value in (want.items() if isinstance(want, dict) else [("$eq", want)]):
+            values = value if op == "$in" and isinstance(value, list) else [value]
+            plain = [not isinstance(v, bool) and (isinstance(v, str) and "\0" not in v or isinstance(v, int) and abs(v) < 1 << 1000 or isinstance(v, float) and math.isfinite(v)) for v in values]
+            if not values or not all(plain):
+                continue
+            # doubles of two numbers keep their order or are equal, so ranges take their ends in
+            if op in ("$eq", "$in"):
+                one = [text == v if isinstance(v, str) else number == float(v) for v in values]
+            elif op in ("$gt", "$gte") and not isinstance(value, str):
+                one = [number >= float(value)]
+            elif op in ("$lt", "$lte") and not isinstance(value, str):
+                one = [number <= float(value)]
+            else:
+                continue
+            may = text.isNull() | text.startswith("[") | text.startswith("{")
+            for c in one:
+                may = may | F.coalesce(c, F.lit(False))
+            out = out & may
+    return out
+
+
 def filter_documents(df: DataFrame, filter_: dict[str, Any], column: str = "data") -> DataFrame:
-    """Rows whose tagged JSON document matches. Plain equalities of strings first reduce the rows in the JVM."""
+    """Rows whose tagged JSON document matches. What the JVM can tell reduces the rows before the evaluator sees them."""
     ship(df.sparkSession)
-    narrowed = df
-    for key, want in filter_.items():
-        if isinstance(want, str) and re.fullmatch(r"\w+", key) and "\0" not in want:
-            text = F.get_json_object(column, f"$.{key}")
-            narrowed = narrowed.where((text == want) | text.startswith("[") | text.isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = [x is not None and matches(loads(x), filter_) for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
             yield batch.filter(pa.array(hit, pa.bool_()))
 
-    return narrowed.mapInArrow(run, df.schema)
+    return df.where(_may_match(filter_, column)).mapInArrow(run, df.schema)
 
 
 def update_documents(df: DataFrame, filter_: dict[str, Any], op: dict[str, Any], column: str = "data") -> DataFrame:
-    """All rows, with matching documents updated."""
+    """All rows, with matching documents updated. Those that the JVM can tell apart are not looked into."""
     ship(df.sparkSession)
+    marked = df.withColumn("__may", _may_match(filter_, column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            may, batch = batch.column(batch.num_columns - 1).to_pylist(), batch.select(batch.schema.names[:-1])
             at = batch.schema.get_field_index(column)
             out = []
-            for text in batch.column(at).to_pylist():
-                doc = loads(text) if text is not None else None
+            for text, look in zip(batch.column(at).to_pylist(), may, strict=True):
+                doc = loads(text) if look and text is not None else None
                 out.append(dumps(updated(doc, op)) if doc is not None and matches(doc, filter_) else text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return marked.mapInArrow(run, df.schema)
 
 
 def merge_documents(old: DataFrame, new: DataFrame, key: str = "id", column: str = "data") -> DataFrame:

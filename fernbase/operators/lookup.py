@@ -69,7 +69,7 @@ def lookup(df: DataFrame, spec: Lookup, bounded: bool = False) -> DataFrame:
         right = right.where(F.lit(False)).withColumn("__key", F.lit(None).cast(left_kind))
     if bounded:
         keys = df.select((F.explode(key.column) if isinstance(key.kind, T.ArrayType) else key.column).alias("__key")).distinct()
-        right = right.join(F.broadcast(keys), "__key", "left_semi")
+        right = right.join(keys, "__key", "left_semi")  # the planner sees how few they are
     if isinstance(key.kind, T.ArrayType):
         own = next((c for c in (ROW, "id") if c in df.columns), None)
         # without a number or id of its own a row gets one, written down so that both uses below see the same

@@ -2,7 +2,8 @@
 
 A framed file is a sequence of frames, each a four-byte length and a JSON document in the tagged form of
 :mod:`fernbase.functions.documents`: a header (magic, version, name, indexes, count), then the rows in
-batches in the order of their ids; gzip by default, which reading detects.
+batches of at most 1000 in the order of their ids; gzip by default, which reading detects. Tasks make the frames
+and read them; only the bytes of the one file go through the driver, a frame at a time.
 """
 
 from __future__ import annotations
@@ -13,12 +14,17 @@ import json
 import struct
 from collections.abc import Iterator
 from typing import Any, BinaryIO
+from zoneinfo import ZoneInfo
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.documents import pack, unpack
+from .code import ship
+from .scratch import new_folder
 
 MAGIC, VERSION, BATCH = "fernbase-backup", 1, 1000
 
@@ -47,33 +53,53 @@ def chosen(df: DataFrame, doc_ids: list[str] | None) -> DataFrame:
     return df.join(ids, "id", "left_semi")
 
 
-def _frame(out: BinaryIO, value: Any) -> None:
+def _frame(value: Any) -> bytes:
     data = json.dumps(pack(value), ensure_ascii=False, separators=(",", ":")).encode()
-    out.write(struct.pack(">I", len(data)))
-    out.write(data)
+    return struct.pack(">I", len(data)) + data
+
+
+def _zone(spark: SparkSession) -> str:
+    return spark.conf.get("spark.sql.session.timeZone")
 
 
 def export_stream(df: DataFrame, out: BinaryIO, name: str, indexes: list[dict[str, Any]] | None = None, compress: bool = True) -> int:
-    """Write one framed file, streaming the rows through the driver a partition at a time; the rows written."""
+    """Write one framed file; the rows written."""
+    ship(df.sparkSession)
     sink = gzip.GzipFile(fileobj=out, mode="wb", mtime=0) if compress else out
-    n = df.count()
-    _frame(sink, {"magic": MAGIC, "version": VERSION, "name": name, "indexes": indexes or [], "count": n, "schema": df.schema.json()})
-    held: list[Any] = []
+    n, schema, zone = df.count(), df.schema, _zone(df.sparkSession)
+    sink.write(_frame({"magic": MAGIC, "version": VERSION, "name": name, "indexes": indexes or [], "count": n, "schema": schema.json()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                rows = [_told(r, schema, zone) for r in batch.slice(at, BATCH).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_frame(rows)], pa.binary())], ["frame"])
+
     ordered = df.orderBy("id") if "id" in df.columns else df
-    for row in ordered.toLocalIterator(prefetchPartitions=True):
-        held.append(row.asDict(recursive=True))
-        if len(held) == BATCH:
-            _frame(sink, held)
-            held = []
-    if held:
-        _frame(sink, held)
+    for row in ordered.mapInArrow(run, "frame binary").toLocalIterator(prefetchPartitions=True):
+        sink.write(row["frame"])
     if compress:
         sink.close()
     return n
 
 
-def frames(data: BinaryIO) -> Iterator[Any]:
-    """The frames of a file, inflated if need be."""
+def _told(value: Any, kind: T.DataType, zone: str) -> Any:
+    """A value out of Arrow as rows have it: times without a zone, maps as objects."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _told(value[f.name], f.dataType, zone) for f in kind.fields}
+    if isinstance(kind, T.ArrayType):
+        return [_told(x, kind.elementType, zone) for x in value]
+    if isinstance(kind, T.MapType):
+        return {k: _told(x, kind.valueType, zone) for k, x in value}
+    if isinstance(kind, T.TimestampType):
+        return value.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+    return value
+
+
+def frames(data: BinaryIO) -> Iterator[bytes]:
+    """The frames of a file, as JSON, inflated if need be."""
     head = data.read(2)
     stream: Any = io.BufferedReader(_Joined(head, data))
     if head == b"\x1f\x8b":
@@ -85,7 +111,7 @@ def frames(data: BinaryIO) -> Iterator[Any]:
         body = stream.read(n)
         if len(body) < n:
             raise ValueError("the backup is cut off")
-        yield unpack(json.loads(body))
+        yield body
 
 
 class _Joined(io.RawIOBase):
@@ -102,29 +128,58 @@ class _Joined(io.RawIOBase):
         return len(data)
 
 
+#: Bytes of the files that frames are put into for the tasks that read them.
+PART = 64 << 20
+
+
 def import_stream(spark: SparkSession, data: BinaryIO, doc_ids: list[str] | None = None) -> tuple[dict[str, Any], DataFrame]:
-    """The header and the rows of a framed file."""
+    """The header and the rows of a framed file. Frames are copied to the shared folder, a line each (JSON has no line
+    breaks of its own); tasks read them from there."""
     every = frames(data)
-    header = next(every, None)
+    try:
+        header = json.loads(next(every, b"0"))
+    except ValueError as e:
+        raise ValueError("this is no backup") from e
     if not isinstance(header, dict) or header.get("magic") != MAGIC:
         raise ValueError("this is no backup")
-    schema = T.StructType.fromJson(json.loads(header["schema"]))
-    wanted = set(doc_ids) if doc_ids is not None else None
-    out, held = None, []
-    for batch in every:
-        held += [_row(d, schema) for d in batch if wanted is None or d.get("id") in wanted]
-        if len(held) >= 50 * BATCH:
-            part = spark.createDataFrame(held, schema)
-            out, held = part if out is None else out.unionByName(part), []
-    last = spark.createDataFrame(held, schema)
-    return header, last if out is None else out.unionByName(last)
-
-
-def _row(value: Any, kind: T.DataType) -> Any:
+    header = unpack(header)
+    schema, zone, folder = T.StructType.fromJson(json.loads(header["schema"])), _zone(spark), new_folder(spark, "frames")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    out, size, k = None, 0, 0
+    for frame in every:
+        if out is None or size > PART:
+            if out is not None:
+                out.close()
+            out, size, k = fs.create(path(f"{folder}/{k:06d}.json"), True), 0, k + 1
+        out.write(bytearray(frame + b"\n"))
+        size += len(frame)
+    if out is not None:
+        out.close()
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                docs = unpack(json.loads(line))
+                columns = [pa.array([_stored(d.get(f.name), f.dataType, zone) for d in docs], kind) for f, kind in zip(schema.fields, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return header, chosen(spark.read.schema("value string").text(folder).mapInArrow(run, schema), doc_ids)
+
+
+def _stored(value: Any, kind: T.DataType, zone: str) -> Any:
+    """A value as Arrow takes it: times in their zone, maps as pairs."""
     if value is None:
         return None
     if isinstance(kind, T.StructType):
-        return tuple(_row(value.get(f.name), f.dataType) for f in kind.fields)
+        return {f.name: _stored(value.get(f.name), f.dataType, zone) for f in kind.fields}
     if isinstance(kind, T.ArrayType):
-        return [_row(x, kind.elementType) for x in value]
-    return value
+        return [_stored(x, kind.elementType, zone) for x in value]
+    if isinstance(kind, T.MapType):
+        return [(k, _stored(x, kind.valueType, zone)) for k, x in value.items()]
+    if isinstance(kind, T.TimestampType):
+        return value.replace(tzinfo=ZoneInfo(zone))
+    return float(value) if isinstance(kind, (T.DoubleType, T.FloatType)) else value

@@ -215,6 +215,24 @@ def test_dynamic_documents(spark):
     assert set(order[:2]) == {"1", "5"} and order[2:] == ["2", "4", "3", "7", "6"]
 
 
+def test_narrowing_loses_no_document(spark):
+    """Filters over values of every kind: with the JVM's narrowing as without it."""
+    values = [None, 0, 1, -1, 2.5, 2**60, 2**60 + 1, 2**53 + 1, 1e300, float("nan"), math.inf, "1", "2.5", "", "a", "null", "[1]", True, False, [1, "a"], [], [[1]], {"b": 1}, [{"b": 1}, {"b": "a"}], {"b": [1, 2]}, NOW, b"x", "é\"\\"]
+    docs = [{"v": v} for v in values] + [{}, {"w": 1}]
+    df = spark.createDataFrame([(k, D.dumps(d)) for k, d in enumerate(docs)], "k int, data string")
+    wanted = [0, 1, 2.5, 2**60, 2**53, "1", "a", "", "null", True, "é\"\\", 1e300]
+    filters = [{"v": w} for w in wanted] + [{"v.b": w} for w in (1, "a")] + [{"v": {op: w}} for op in ("$gt", "$gte", "$lt", "$lte") for w in (0, 1, 2**60, 2**53, 2.5, "a")]
+    filters += [{"v": {"$in": [1, "a", 2**60]}}, {"v": {"$in": [None, 1]}}, {"v": {"$gt": 0, "$lt": 2**60 + 1}}, {"v": {"$ne": 1}}, {"v.0": 1}, {"v": {"$eq": "1"}}]
+    seen = 0
+    for f in filters:
+        want = [k for k, d in enumerate(docs) if D.matches(D.loads(D.dumps(d)), f)]
+        assert [r.k for r in D.filter_documents(df, f).orderBy("k").collect()] == want, f
+        seen += len(want)
+    assert seen > 60
+    after = D.update_documents(df, {"v": {"$gt": 1}}, {"$set": {"hit": 1}}).collect()
+    assert [r.k for r in after if "hit" in D.loads(r.data)] == [k for k, d in enumerate(docs) if D.matches(D.loads(D.dumps(d)), {"v": {"$gt": 1}})]
+
+
 def test_order_keys():
     a, b = order_keys.between(None, None), order_keys.between("V", None)
     assert a < b
