@@ -24,6 +24,7 @@ from .common import begin, fold, sub_batches, sum_vectors, text_bytes
 
 #: Hashed trigrams; the model is a matrix of languages by these. Steps of expectation-maximisation.
 BUCKETS, STEPS = 4096, 10
+MOST_LANGUAGES = 2000
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -57,9 +58,11 @@ def usable(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
 
 def train(docs: DataFrame, modulus: int, held_out: int) -> tuple[list[str], np.ndarray]:
     """The languages and their smoothed distributions, from all documents with a language that may be used. The
-    languages, of which a corpus has few, go through the driver."""
+    languages go through the driver; over MOST_LANGUAGES different ones are an error, as no corpus has them."""
     rows = usable(docs, modulus, held_out)
-    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    names = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"lang has over {MOST_LANGUAGES} different values: it does not name languages")
     place = {name: k for k, name in enumerate(names)}
     if not names:
         return [], np.empty((0, BUCKETS))
