@@ -1,16 +1,11 @@
 """Helpers the training-data operators share: shared scratch tables, Arrow batches, code shipping.
 
 Everything written here goes to the folder named by ``spark.checkpoint.dir``, which the driver
-and every executor can see. Only where that setting is absent and the master is local (tests, notebooks)
-is a temporary folder of the machine used; on a cluster its absence is an error.
+and every executor can see (:mod:`fernbase.sources.scratch`), and is removed when the driver ends.
 """
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,34 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.code import ship
-
-_ROOTS: dict[str, str] = {}
+from ..sources.scratch import new_folder
 
 #: Rows an Arrow batch may hold when whole texts go to Python: long texts make batches large.
 BATCH_ROWS = 256
 
 
-def shared_root(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; removed when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not top:
-            if not re.match(r"local($|\[)", spark.sparkContext.master):
-                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
-            top = "file://" + tempfile.mkdtemp(prefix="fernbase-shared-")
-        _ROOTS[app] = f"{top.rstrip('/')}/fernbase-{app}"
-        atexit.register(_remove_quietly, spark, _ROOTS[app])
-    return _ROOTS[app]
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the JVM may be gone when the interpreter ends; nothing is left to do then
-        pass
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system API."""
     jvm = spark._jvm
@@ -57,7 +30,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return new_folder(spark, name)
 
 
 #: Bytes read for each file of a narrow table, and for each partition of texts in a shuffle.
