@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +79,9 @@ class Store:
         schema = T.StructType.fromJson(self.meta(version)["schema"])
         return self.spark.read.schema(schema).parquet(f"{self.root}/v-{version}")
 
-    def commit(self, df: DataFrame, base: int, meta: dict[str, Any] | None = None, files: int | None = None) -> int:
-        """Write ``df`` as the version after ``base`` and make it current."""
+    def commit(self, df: DataFrame, base: int, meta: dict[str, Any] | None = None, files: int | None = None, check: Callable[[DataFrame], None] | None = None) -> int:
+        """Write ``df`` as the version after ``base`` and make it current. ``check`` sees the rows as they are written,
+        so that they are worked out once; if it raises, nothing has happened."""
         new = base + 1
         if self.version() != base:
             raise ConflictError(f"{self.root} is at version {self.version()}, not {base}")
@@ -87,6 +89,12 @@ class Store:
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
         out = df.coalesce(files) if files else df
         out.write.option("compression", self.compression).parquet(f"{self.root}/{folder}")
+        if check:
+            try:
+                check(self.spark.read.schema(schema).parquet(f"{self.root}/{folder}"))
+            except Exception:
+                self._fs().delete(self._path(folder), True)
+                raise
         claim = json.dumps({"folder": folder, "meta": {**(meta or {}), "schema": schema.jsonValue()}})
         try:
             self._write(f"_claim-{new}", claim, new=True)

@@ -190,8 +190,7 @@ class DocTable:
             try:
                 yield self
                 if self._depth == 1 and self._staged is not None:
-                    self._check_unique(self._staged)
-                    self._write_sides(self.store.commit(self._staged, self._base, self._meta()))
+                    self._write_sides(self.store.commit(self._staged, self._base, self._meta(), check=self._check_unique))
             finally:
                 self._depth -= 1
                 if self._depth == 0:
