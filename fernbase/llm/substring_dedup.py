@@ -35,7 +35,7 @@ from .pieces import SpanHash
 GRAMS = (8, 16, 32)
 #: Words that a shard gathers before it is searched, and words of one anchor beyond which it is split.
 SHARD_WORDS = 250_000
-HOT_WORDS = 65_536
+HOT_WORDS = 16_384
 #: Most windows of a segment, and most words of a document that are cut into segments at once.
 MOST_WINDOWS = 1024
 STRETCH = 1 << 20
