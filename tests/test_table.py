@@ -151,7 +151,8 @@ def test_define_table_is_one(spark, tmp_path):
     made(spark).close()
 
 
-def test_default_root_and_sorted_compaction(spark, tmp_path):
+def test_default_root_and_sorted_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("fernbase.table._DEFAULT", {})
     with pytest.raises(QueryError):
         define_table("bare")(spark)
     define_default_root(f"file://{tmp_path}")
