@@ -57,6 +57,7 @@ def store_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = made(spark) is made(spark)
     out = made(spark).find().select("id", "name", F.lit(one).alias("one"))
     made(spark).close()
+    define_default_root(None)
     return out
 
 

@@ -415,9 +415,11 @@ class TreeTable(DocTable):
 _DEFAULT: dict[str, str] = {}
 
 
-def define_default_root(root: str) -> None:
-    """The folder of tables that are defined by a bare name."""
-    _DEFAULT["root"] = root.rstrip("/")
+def define_default_root(root: str | None) -> None:
+    """The folder of tables that are defined by a bare name; None for none."""
+    _DEFAULT.pop("root", None)
+    if root:
+        _DEFAULT["root"] = root.rstrip("/")
 
 
 def define_table(path: str, **settings: Any) -> Callable[[SparkSession], DocTable]:
