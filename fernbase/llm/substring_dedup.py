@@ -277,8 +277,11 @@ def covered_spans(rows: DataFrame, window: int, grams: tuple[int, ...]) -> Writt
 
     found = written(find_segments(rows, window, grams[0]), "substring-segments")
     met = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    met = written(met, "substring-met", narrow=True)  # so that the join has two plain sides and a hot anchor's rows can be split
     shared = written(found.join(met, "anchor"), "substring-shared")
-    made.pop(0).drop()
+    for table in made[:2]:
+        table.drop()
+    del made[:2]
     best = F.min(F.struct("doc_id", "place", "start", "windows"))
     reps = written(shared.groupBy(*CONTENT).agg(best.alias("r")).select(*CONTENT, "r.*"), "substring-reps")
     # an anchor whose representatives are all of one document has nothing to look for
