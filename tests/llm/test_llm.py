@@ -789,7 +789,7 @@ def test_letters_are_of_category_l(spark):
     assert all(got[k].score == 0 for k in range(4))
 
 
-def plain_languages(rows, share=0.01, steps=10):
+def plain_languages(rows, share=0.02, steps=10):
     """The mixtures by plain loops: doc -> (language, proportion)."""
     def grams(t):
         b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (t or "").encode())
