@@ -261,7 +261,18 @@ def _key_of(tree: DataFrame, node: str, parent: str) -> str | None:
     return row["index"] or None
 
 
-def keys_for(tree: DataFrame, parent: str, count: int, place: Place | None = None) -> list[str]:
+def _siblings(tree: DataFrame, parent: str) -> Any:
+    """Of the keys of a directory's children: the first, the last, how many, how many different, the longest."""
+    key = F.col("index")
+    return live(tree).where((F.col("parentId") == parent) & (key != "")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"), F.countDistinct(key).alias("d"), F.max(F.length(key)).alias("l")).first()
+
+
+def _at_an_end(place: Place | None) -> bool:
+    """Whether new keys go beyond all others, so that they repeat none."""
+    return place is None or not (place.previous or place.next)
+
+
+def keys_for(tree: DataFrame, parent: str, count: int, place: Place | None = None, state: Any = None) -> list[str]:
     """Order keys for new children. By default after the last one; empty where no child has a key."""
     place = place or Place()
     if place.previous and place.next:
@@ -270,13 +281,13 @@ def keys_for(tree: DataFrame, parent: str, count: int, place: Place | None = Non
         return order_keys.after(_key_of(tree, place.previous, parent), count)
     if place.next:
         return order_keys.before(_key_of(tree, place.next, parent), count)
-    ends = live(tree).where(F.col("parentId") == parent).agg(F.min("index"), F.max("index")).first()
+    ends = state or _siblings(tree, parent)
     if place.to_start:
-        return order_keys.before(ends[0] or None, count)
+        return order_keys.before(ends["low"], count)
     if place.to_end:
-        return order_keys.after(ends[1] or None, count)
-    if parent != ROOT and ends[1]:
-        return order_keys.after(ends[1], count)
+        return order_keys.after(ends["high"], count)
+    if parent != ROOT and ends["high"]:
+        return order_keys.after(ends["high"], count)
     return [""] * count
 
 
@@ -330,12 +341,17 @@ def shifted(tree: DataFrame, deltas: DataFrame, modif: int, refresh: list[str] |
     total = every[0].select("id", *size)
     for e in every[1:]:
         total = total.unionByName(e.select("id", *size))
-    total = summed(total).withColumn("__hit", F.lit(True))
+    return _with_sums(tree, summed(total), modif, refresh)
+
+
+def _with_sums(tree: DataFrame, total: DataFrame, modif: int, refresh: list[str] | DataFrame) -> DataFrame:
+    """The tree with (id, dt, df, ds) added to these nodes."""
+    total = total.withColumn("__hit", F.lit(True))
     named = _ids(refresh, tree.sparkSession)
     last = live(tree).join(named.select(F.col("id").alias("parentId")), "parentId", "left_semi").groupBy(F.col("parentId").alias("id")).agg(F.max(F.when(F.col("index") != "", F.col("index"))).alias("__last"))
     last = named.join(last, "id", "left").withColumn("__again", F.lit(True))
     out = tree.join(total, "id", "left").join(last, "id", "left")
-    for c, d in zip(("ctotal", "cftotal", "csize"), size, strict=True):
+    for c, d in zip(("ctotal", "cftotal", "csize"), ("dt", "df", "ds"), strict=True):
         new = F.greatest(F.coalesce(c, F.lit(0)) + F.coalesce(d, F.lit(0)), F.lit(0))
         out = out.withColumn(c, F.when(F.col("__hit") & (new != 0), new.cast("long")).when(~F.coalesce("__hit", F.lit(False)), F.col(c)))
     out = out.withColumn("childLastIndex", F.when(F.col("__again"), F.col("__last")).otherwise(F.col("childLastIndex")))
@@ -343,6 +359,26 @@ def shifted(tree: DataFrame, deltas: DataFrame, modif: int, refresh: list[str] |
     return out.select(*tree.columns)
 
 
+def _climbed(tree: DataFrame, changes: list[tuple[str, tuple[int, int, int]]], ways: dict[str, list[str]], modif: int, refresh: list[str]) -> DataFrame:
+    """As :func:`shifted`, for changes (directory, sums) of a request, whose directories' chains are known."""
+    sums: dict[str, list[int]] = {}
+    for parent, change in changes:
+        for at in (parent, *ways.get(parent, ())):
+            if at != ROOT:
+                held = sums.setdefault(at, [0, 0, 0])
+                held[:] = [x + y for x, y in zip(held, change, strict=True)]
+    total = tree.sparkSession.createDataFrame([(i, *v) for i, v in sums.items()], "id string, dt long, df long, ds long")
+    return _with_sums(tree, total, modif, refresh)
+
+
+def _weight(row: Any) -> tuple[int, int, int]:
+    """:func:`contribution` of a row at hand."""
+    return 1 + (row["ctotal"] or 0), (0 if row["isDir"] else 1) + (row["cftotal"] or 0), (row["size"] or 0) + (row["csize"] or 0)
+
+
+WEIGHED = ["id", "parentId", "name", "isDir", "modif", "size", "ctotal", "cftotal", "csize"]
+
+
 def _managed(tree: DataFrame) -> DataFrame:
     """The tree with all managed columns, null where it lacks them."""
     kinds = {"cmodif": "long", "ctotal": "long", "cftotal": "long", "csize": "long", "childLastIndex": "string"}
@@ -353,19 +389,22 @@ def create_nodes(tree: DataFrame, nodes: list[dict[str, Any]], parent_id: str, m
     """New children of a directory; nodes whose id is there already stay as they are."""
     if not nodes:
         return Changed(tree)
-    _parent_exists(tree, parent_id)
+    tree = _managed(tree)
     made = [check_node({"id": writes.new_id(), **n, "parentId": parent_id, "modif": n.get("modif", modif)}) for n in nodes]
-    keys = keys_for(tree, parent_id, len(made), place)
+    have = {r["id"]: r for r in tree.where(F.col("id").isin([parent_id, *[n["id"] for n in made]])).select("id", "isDir", *([writes.GONE] if writes.GONE in tree.columns else [])).collect()}
+    if parent_id != ROOT and not (parent_id in have and have[parent_id]["isDir"] and not (writes.GONE in tree.columns and have[parent_id][writes.GONE])):
+        raise QueryError(f"no directory {parent_id}")
+    state = _siblings(tree, parent_id) if _at_an_end(place) and not any(n["index"] for n in made) else None
+    keys = keys_for(tree, parent_id, len(made), place, state)
     for node, key in zip(made, keys, strict=True):
         node["index"] = node["index"] or key
-    tree = _managed(tree)
-    rows = writes.rows_of(tree.sparkSession, made, tree.schema)
-    new = rows.join(tree.select("id"), "id", "left_anti")
-    out = settled(rebalanced(writes.insert_many(tree, rows), parent_id))
-    for c in ("ctotal", "cftotal", "csize"):
-        new = new if c in new.columns else new.withColumn(c, F.lit(None).cast("long"))
-    deltas = new.select(F.lit(parent_id).alias("id"), *contribution())
-    return Changed(shifted(out, deltas, modif, [parent_id]), [n["id"] for n in made])
+    out = writes.insert_many(tree, writes.rows_of(tree.sparkSession, made, tree.schema))
+    if state is None or _uneven(state, keys):
+        out = rebalanced(out, parent_id)
+    new = {n["id"]: n for n in reversed(made) if n["id"] not in have}  # of several with one id the first comes
+    changes = [(parent_id, (1, 0 if n["isDir"] else 1, int(n["size"]))) for n in new.values()]
+    ways = chains(live(tree), [parent_id])
+    return Changed(_climbed(settled(out), changes, ways, modif, [parent_id]), [n["id"] for n in made])
 
 
 def update_nodes(tree: DataFrame, filter_: dict[str, Any], update: dict[str, Any], modif: int, deep: bool = False) -> Changed:
@@ -465,12 +504,13 @@ def move_nodes(tree: DataFrame, ids: list[str], parent_id: str, modif: int, rule
     ``expect`` gives the directory that a caller last saw each node in; a difference is an error.
     """
     rule = rule or Conflicts()
-    _parent_exists(tree, parent_id)
     tree = _managed(tree)
     nodes, named = live(tree), set(ids)
     ways = chains(nodes, [*ids, parent_id])
     tops = [i for i in dict.fromkeys(ids) if i and not named & set(ways.get(i, ()))]
-    rows = {r["id"]: r for r in nodes.where(F.col("id").isin(tops)).select("id", "parentId", "name", "isDir", "modif").collect()}
+    rows = {r["id"]: r for r in nodes.where(F.col("id").isin([*tops, parent_id])).select(*WEIGHED).collect()}
+    if parent_id != ROOT and not (parent_id in rows and rows[parent_id]["isDir"]):
+        raise QueryError(f"no directory {parent_id}")
     moving = [i for i in tops if i in rows]
     for i, parent in (expect or {}).items():
         if i in rows and rows[i]["parentId"] != parent:
@@ -495,18 +535,20 @@ def move_nodes(tree: DataFrame, ids: list[str], parent_id: str, modif: int, rule
         tree = settled(merged_directories(tree, tree.sparkSession.createDataFrame(merges, "source string, target string"), modif, rule, real_delete, clock))
     if not moving:
         return Changed(tree, [])
-    keys = keys_for(tree, parent_id, len(moving), place)
+    state = _siblings(tree, parent_id) if _at_an_end(place) else None
+    keys = keys_for(tree, parent_id, len(moving), place, state)
     moves = tree.sparkSession.createDataFrame([(i, parent_id, k, names.get(i, rows[i]["name"])) for i, k in zip(moving, keys, strict=True)], "id string, __p string, __k string, __n string")
     out = tree.join(moves, "id", "left")
     there = F.col("__p").isNotNull()
     for column, new in (("parentId", "__p"), ("index", "__k"), ("name", "__n")):
         out = out.withColumn(column, F.when(there, F.col(new)).otherwise(F.col(column)))
     out = out.withColumn("modif", F.when(there, F.lit(modif)).otherwise(F.col("modif"))).select(*tree.columns)
-    sizes = tree.where(F.col("id").isin(moving))
-    minus = sizes.select(F.col("parentId").alias("id"), *contribution()).select("id", *[(-F.col(c)).alias(c) for c in ("dt", "df", "ds")])
-    deltas = sizes.select(F.lit(parent_id).alias("id"), *contribution()).unionByName(minus)
+    if state is None or _uneven(state, keys):
+        out = rebalanced(out, parent_id)
+    above = {**ways, **{rows[i]["parentId"]: ways[i][1:] for i in moving}}
+    changes = [(parent_id, _weight(rows[i])) for i in moving] + [(rows[i]["parentId"], tuple(-x for x in _weight(rows[i]))) for i in moving]
     parents = sorted({rows[i]["parentId"] for i in moving} | {parent_id})
-    return Changed(shifted(settled(rebalanced(out, parent_id)), deltas, modif, parents), moving)
+    return Changed(_climbed(settled(out), changes, above, modif, parents), moving)
 
 
 def merged_directories(tree: DataFrame, pairs: DataFrame, modif: int, rule: Conflicts, real_delete: bool = True, clock: Any = None) -> DataFrame:
@@ -671,13 +713,22 @@ def free_names(tree: DataFrame, parent_id: str, wanted: list[str], without: list
     return out
 
 
-def rebalanced(tree: DataFrame, parent_id: str, longest: int = 32) -> DataFrame:
+#: Characters of the longest order key that is left as it is.
+LONGEST_KEY = 32
+
+
+def _uneven(state: Any, new: list[str], longest: int = LONGEST_KEY) -> bool:
+    """Whether the keys of some siblings, with new ones that repeat none, repeat or have grown too long."""
+    return bool(state["n"]) and (state["n"] != state["d"] or state["l"] > longest) or max(map(len, new), default=0) > longest
+
+
+def rebalanced(tree: DataFrame, parent_id: str, longest: int = LONGEST_KEY) -> DataFrame:
     """The tree with new order keys for a directory's children where keys repeat or have grown too long.
 
     Keys follow the order of (key, time, id); children without keys keep theirs empty."""
     here = live(tree).where((F.col("parentId") == parent_id) & (F.col("index") != ""))
-    state = here.agg(F.count("*").alias("n"), F.countDistinct("index").alias("d"), F.max(F.length("index")).alias("l")).first()
-    if not state["n"] or state["n"] == state["d"] and state["l"] <= longest:
+    state = _siblings(tree, parent_id)
+    if not _uneven(state, [], longest):
         return tree
     width = max(2, math.ceil(math.log(state["n"] + 1, 62)) + 1)
     rank = F.row_number().over(Window.partitionBy("parentId").orderBy("index", "modif", "id"))
@@ -715,11 +766,11 @@ def copy_nodes(tree: DataFrame, ids: list[str], parent_id: str, modif: int, plac
     _parent_exists(tree, parent_id)
     tree = _managed(tree)
     nodes = live(tree)
-    tops = {r["id"]: r["name"] for r in top_selected(nodes, ids).select("id", "name").collect()}
+    tops = {r["id"]: r for r in top_selected(nodes, ids).select(*WEIGHED).collect()}
     chosen = [i for i in dict.fromkeys(ids) if i in tops]
     if not chosen:
         return Changed(tree)
-    names = free_names(tree, parent_id, [tops[i] for i in chosen], [])
+    names = free_names(tree, parent_id, [tops[i]["name"] for i in chosen], [])
     keys = keys_for(tree, parent_id, len(chosen), place)
     # a copy's id follows from the old one and the call: rows that are worked out again get the same id
     salt = writes.new_id()
@@ -736,8 +787,8 @@ def copy_nodes(tree: DataFrame, ids: list[str], parent_id: str, modif: int, plac
         }
     ).select(*tree.columns)
     out = tree.unionByName(writes.numbered_after(tree, copied).select(*tree.columns))
-    deltas = nodes.where(F.col("id").isin(chosen)).select(F.lit(parent_id).alias("id"), *contribution())
-    return Changed(shifted(settled(rebalanced(out, parent_id)), deltas, modif, [parent_id]), chosen)
+    changes = [(parent_id, _weight(tops[i])) for i in chosen]
+    return Changed(_climbed(settled(rebalanced(out, parent_id)), changes, chains(nodes, [parent_id]), modif, [parent_id]), chosen)
 
 
 def list_by_cursor(tree: DataFrame, parent_id: str, **options: Any) -> find.Page:
