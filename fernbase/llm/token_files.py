@@ -41,7 +41,7 @@ class ChunkEncoder:
 
     LONG = 100
 
-    def __init__(self, path: str, bits: int = 21, most_bytes: int = 4 << 20, plain_text: bool = False):
+    def __init__(self, path: str, bits: int = 21, most_bytes: int = 1 << 19, plain_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
