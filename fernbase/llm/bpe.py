@@ -129,7 +129,7 @@ class Transducer:
     def _agree(self, a: bytes, b: bytes) -> bool:
         """Whether tokens a and b, side by side, stay as they are: no part at a's right edge merges with the
         part at b's left edge that exists at the same time before either goes into its own larger part."""
-        if len(self.pairs) > 400_000:
+        if len(self.pairs) > 200_000:
             self.pairs.clear()
         ok, ranks = True, self.ranks
         left, right = self._spine(a, 1), self._spine(b, 0)
